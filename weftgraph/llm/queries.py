@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .mixing import mix_sources
+from .urls import filter_urls
+from .warc import archive_folder, read_archives, write_archives
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,5 +19,18 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix_sources": op1_mix_sources}
+def op4_warc_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = write_archives(_table(spark, sf_dir, "pages"), archive_folder(spark))
+    return read_archives(spark, archives, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "archive", "offset")
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(_table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mix_sources": op1_mix_sources,
+    "op4_warc_splits": op4_warc_splits,
+    "op7_url_filter": op7_url_filter,
+}
 ORACLE_SQL: dict[str, str] = {}
