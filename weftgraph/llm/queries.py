@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .mixing import mix_sources
+from .suffix_tree import score_documents
 from .urls import filter_urls
 from .warc import archive_folder, read_archives, write_archives
 
@@ -28,9 +29,14 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages"))
 
 
+def op9_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op4_warc_splits": op4_warc_splits,
     "op7_url_filter": op7_url_filter,
+    "op9_suffix_tree_lm": op9_suffix_tree_lm,
 }
 ORACLE_SQL: dict[str, str] = {}
