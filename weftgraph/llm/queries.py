@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .jaccard import near_duplicates
 from .mixing import mix_sources
 from .suffix_tree import score_documents
 from .urls import filter_urls
@@ -33,10 +34,15 @@ def op9_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_table(spark, sf_dir, "documents"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op4_warc_splits": op4_warc_splits,
     "op7_url_filter": op7_url_filter,
     "op9_suffix_tree_lm": op9_suffix_tree_lm,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 ORACLE_SQL: dict[str, str] = {}
