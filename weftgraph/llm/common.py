@@ -19,6 +19,8 @@ SLICE_BYTES = 1 << 20
 #: Bytes between words: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: The same, and all ASCII bytes that are neither letters nor digits.
+SIGNS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _BYTE = np.random.default_rng(20240611).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -82,9 +84,9 @@ def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES) -
         row = end
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_bounds(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each word, and the number of words of each row."""
-    inside = ~SPACE[data]
+    inside = ~between[data]
     filled = offsets[:-1][offsets[:-1] < offsets[1:]]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
@@ -105,9 +107,9 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * _powers(_P_INVERSE, bits)[starts] + (ends - starts).astype(np.uint64))
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, start and end of each word, A to Z in lower case if asked; and the number of words of each row."""
-    starts, ends, counts = word_bounds(data, offsets)
+    starts, ends, counts = word_bounds(data, offsets, between)
     return span_hashes(LOWER[data] if lower else data, starts, ends), starts, ends, counts
 
 

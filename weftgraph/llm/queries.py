@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import benchmark_matches
+from .fingerprints import compare_neighbours
 from .jaccard import near_duplicates
 from .mixing import mix_sources
 from .suffix_tree import score_documents
@@ -38,10 +40,20 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op5_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_neighbours(_table(spark, sf_dir, "documents"))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op4_warc_splits": op4_warc_splits,
+    "op5_edit_fingerprints": op5_edit_fingerprints,
     "op7_url_filter": op7_url_filter,
+    "op8_decontaminate": op8_decontaminate,
     "op9_suffix_tree_lm": op9_suffix_tree_lm,
     "op10_jaccard_join": op10_jaccard_join,
 }
