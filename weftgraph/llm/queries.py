@@ -11,6 +11,7 @@ from .fingerprints import compare_neighbours
 from .jaccard import near_duplicates
 from .mixing import mix_sources
 from .suffix_tree import score_documents
+from .toxicity import score_toxicity
 from .urls import filter_urls
 from .warc import archive_folder, read_archives, write_archives
 
@@ -23,6 +24,11 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_toxicity(docs, _table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op4_warc_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = write_archives(_table(spark, sf_dir, "pages"), archive_folder(spark))
     return read_archives(spark, archives, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "archive", "offset")
@@ -50,6 +56,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op3_toxicity": op3_toxicity,
     "op4_warc_splits": op4_warc_splits,
     "op5_edit_fingerprints": op5_edit_fingerprints,
     "op7_url_filter": op7_url_filter,
