@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .decontaminate import benchmark_matches
 from .fingerprints import compare_neighbours
 from .jaccard import near_duplicates
 from .mixing import mix_sources
+from .pii import replace_entities
+from .quality import grades, score_quality
 from .suffix_tree import score_documents
 from .toxicity import score_toxicity
 from .urls import filter_urls
@@ -24,6 +27,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_entities(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return score_toxicity(docs, _table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
@@ -34,6 +41,11 @@ def op4_warc_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(spark, archives, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "archive", "offset")
 
 
+def op6_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ratings = _table(spark, sf_dir, "labels").select("doc_id", grades(F.col("quality"), F.col("toxic")).alias("grade"))
+    return score_quality(_table(spark, sf_dir, "documents"), ratings)
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages"))
 
@@ -56,9 +68,11 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_pii_surrogates": op2_pii_surrogates,
     "op3_toxicity": op3_toxicity,
     "op4_warc_splits": op4_warc_splits,
     "op5_edit_fingerprints": op5_edit_fingerprints,
+    "op6_ordinal_quality": op6_ordinal_quality,
     "op7_url_filter": op7_url_filter,
     "op8_decontaminate": op8_decontaminate,
     "op9_suffix_tree_lm": op9_suffix_tree_lm,
