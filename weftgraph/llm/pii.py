@@ -48,13 +48,15 @@ PATTERN = re.compile(
     r"(?P<email>(?<![\w.+%-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9]))"
     r"|(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d))"
     r"|(?P<secret>(?<!\w)(?=[0-9A-Fa-f]*[0-9])(?=[0-9A-Fa-f]*[A-Fa-f])[0-9A-Fa-f]{32,128}(?!\w))"
+    r"|(?P<access>(?<!\w)A[KS]IA[A-Z0-9]{16}(?!\w))"
+    r"|(?P<password>(?i:(?<=password=)|(?<=passwd=)|(?<=api_key=)|(?<=secret=))[^\s\"'&,;|<>]{4,128})"
     r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
     r"|(?P<card>(?<![\w.])\d(?:[ -]?\d){12,18}(?!\w|\.\d))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,5}\)[ .-]?\d{2,4}(?:[ .-]\d{2,5}){1,3}(?!\w)|(?<!\w)\+\d{1,3}(?:[ .-]?\d{2,5}){2,5}(?!\w)|(?<![\w.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\w-]))"
     rf"|(?P<name>(?<!\w)(?P<title>{'|'.join(sorted(TITLES, key=len, reverse=True))})\.?\s(?:{_NAME}\s)?{_NAME})"
 )
-_MAYBE = re.compile(rf"[@0-9]|(?:{'|'.join(sorted(TITLES, key=len, reverse=True))})\.?\s")
+_MAYBE = re.compile(rf"[@0-9=]|(?:{'|'.join(sorted(TITLES, key=len, reverse=True))})\.?\s")
 
 
 def script(text: str) -> str:
@@ -123,6 +125,10 @@ def surrogate(kind: str, value: str, attempt: int, key: bytes = KEY) -> str:
         letters = "abcdefghijklmnopqrstuvwxyz"
         swap = lambda s: "".join(letters[draw.below(26)] if c.isalpha() else digit() if c.isdigit() else c for c in s)
         return f"{swap(local)}@{swap(name)}.{top}"
+    if kind in ("access", "password"):
+        new = lambda c: digit() if c.isdigit() else chr(97 + draw.below(26)) if c.islower() else chr(65 + draw.below(26)) if c.isupper() else c
+        keep = 4 if kind == "access" else 0
+        return value[:keep] + "".join(map(new, value[keep:]))
     if kind == "secret":
         while True:
             out = "".join("0123456789abcdef"[draw.below(16)] for _ in value)
@@ -145,7 +151,7 @@ def formatted(kind: str, surface: str, new: str) -> str:
     if kind in ("iban", "card", "ssn", "phone"):
         rest = iter(new)
         return "".join(next(rest) if c.isalnum() else c for c in surface)
-    if kind == "ip":
+    if kind in ("ip", "access", "password"):
         return new
     if kind == "family" or kind.startswith("given_"):
         return new.upper() if surface.isupper() and len(surface) > 1 else new.title() if surface[:1].isupper() else new
