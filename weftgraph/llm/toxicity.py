@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from .common import by_row, slices, span_hashes, word_bounds
 
 #: The most labelled documents of each kind that training sees, and their most bytes; longer ones are passed over, as the sample is one of documents.
-TOXIC_ROWS, CLEAN_ROWS, SAMPLE_BYTES = 1500, 3000, 24 << 20
-LANDMARKS = 300
+TOXIC_ROWS, CLEAN_ROWS, SAMPLE_BYTES = 1000, 2000, 8 << 20
+LANDMARKS = 200
 ROUNDS = 4
 DECAY, SIGN_STEP, SPAN = 0.5, 0.25, 6
 ALPHABET = 48
@@ -87,7 +87,19 @@ def mapped(words: list[bytes]) -> np.ndarray:
     for word, triple, weight in triples(words):
         np.add.at(out, (word, triple), weight)
         norm += np.bincount(word, weight * weight, len(words))
-    return out / np.sqrt(np.maximum(norm, 1e-12))[:, None]
+    out /= np.sqrt(np.maximum(norm, 1e-12))[:, None].astype(np.float32)
+    return out
+
+
+def products(words: list[bytes], table: np.ndarray) -> np.ndarray:
+    """The scaled products of each word's triples with each column of the table."""
+    out, norm = np.zeros((len(words), table.shape[1]), np.float32), np.zeros(len(words))
+    for word, triple, weight in triples(words):
+        if len(word):
+            first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            out[word[first]] += np.add.reduceat(table[triple] * weight[:, None].astype(np.float32), first, axis=0)
+            norm += np.bincount(word, weight * weight, len(words))
+    return out / np.sqrt(np.maximum(norm, 1e-12))[:, None].astype(np.float32)
 
 
 def solve_svm(z: np.ndarray, y: np.ndarray, cost: float, steps: int = 30) -> np.ndarray:
@@ -181,8 +193,8 @@ def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds
     # landmarks: words that lean to toxic documents most, and words of any kind
     lean = np.argsort(-score, kind="stable")[: landmarks // 2]
     marks = np.unique(np.concatenate([lean, rng.choice(len(words), min(len(words), landmarks - len(lean)), replace=False)]))
-    basis = mapped([words[i] for i in marks])
-    gram = basis @ basis.T
+    basis = np.ascontiguousarray(mapped([words[i] for i in marks]).T)
+    gram = basis.T @ basis
     values, vectors = np.linalg.eigh(gram.astype(float))
     good = values > 1e-4 * values.max()
     whiten = vectors[:, good] / np.sqrt(values[good])
@@ -202,9 +214,9 @@ def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds
         chosen = np.concatenate([witness[positive], witness[negative], rng.choice(flat[np.isin(rows, np.flatnonzero(y == 0))], 4000)])
         side = np.concatenate([np.ones(len(positive)), -np.ones(len(negative) + 4000)])
         unique, inverse = np.unique(chosen, return_inverse=True)
-        z = np.vstack([mapped([words[i] for i in unique[k : k + 200]]) @ basis.T for k in range(0, len(unique), 200)]) @ whiten
+        z = np.vstack([products([words[i] for i in unique[k : k + 500]], basis) for k in range(0, len(unique), 500)]) @ whiten
         w = solve_svm(z[inverse], side, cost=0.05)
-        weights, bias = basis.T.astype(float) @ (whiten @ w[:-1]), w[-1]
+        weights, bias = basis @ (whiten @ w[:-1]).astype(np.float32), w[-1]
         score = evaluate(words, weights) + bias
     size = np.bincount(rows, minlength=len(y))
     best = np.full(len(y), -3.0)
@@ -223,7 +235,7 @@ def sample(docs: DataFrame, labels: DataFrame, parts: int, toxic_rows: int = TOX
         own = known.filter(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         picked = own if picked is None else picked.unionByName(own)
     ids = docs.sparkSession.createDataFrame(picked.collect(), picked.schema)
-    each = F.octet_length("text") <= SAMPLE_BYTES // 100
+    each = F.octet_length("text") <= SAMPLE_BYTES // 40
     rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & each).join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(toxic_rows + clean_rows)
     texts, marks, room = [], [], SAMPLE_BYTES
     for r in rows.select("text", "toxic").toLocalIterator():
