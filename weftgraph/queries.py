@@ -1,4 +1,509 @@
 """Catalogue of the engine's queries over the driver's tables, with their DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .constants import GENERIC_NAMES, STOPWORDS
+from .functions import text as T
+from .operators import checks, graph, mentions, planning, vectors
+from .streaming.sessions import active_states, state_counts
+from .tables import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- text -----------------------------------------------------------------------------------------------------------
+
+_STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
+_TOKENS = r"""list_filter(regexp_extract_all(regexp_replace(lower(text), '[^\x00-\x7F\PL]|[^\x00-\x7F\PN]', 'X', 'g'), '\b[a-z][a-z0-9_-]+\b'), lambda t: t NOT IN (%s))""" % _STOP
+_PLAIN = r"""regexp_extract_all(regexp_replace(lower(text), '[^\x00-\x7F\PL]|[^\x00-\x7F\PN]', 'X', 'g'), '\b[a-z]{3,}\b')"""
+_TF = f"""tok AS (SELECT id, {_TOKENS} AS t FROM src), one AS (SELECT id, len(t) AS size, unnest(t) AS token FROM tok),
+tf AS (SELECT id, token, size, count(*) AS n FROM one GROUP BY ALL),
+idf AS (SELECT token, count(*) AS df, ln((1.0 + (SELECT count(*) FROM src)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY token),
+vec AS (SELECT id, token, n::DOUBLE / size * idf AS weight FROM tf JOIN idf USING (token)),
+norm AS (SELECT id, sqrt(sum(weight * weight)) AS norm FROM vec GROUP BY id)"""
+_DOCS = "src AS (SELECT doc_id AS id, text FROM documents)"
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
+@query(f"WITH {_DOCS}, {_TF} SELECT id AS doc_id, token, n FROM tf")
+def tokenize_counts(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.term_counts(_docs(spark, d)).select(F.col("id").alias("doc_id"), "token", "n")
+
+
+@query(f"WITH {_DOCS}, {_TF} SELECT token, df, round(idf, 9) AS idf FROM idf")
+def document_frequency_idf(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d)
+    return vectors.idf(vectors.term_counts(docs), docs).select("token", "df", F.round("idf", 9).alias("idf"))
+
+
+@query(f"WITH {_DOCS}, {_TF} SELECT id AS doc_id, round(norm, 7) AS norm FROM norm")
+def doc_vector_norms(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.norms(vectors.vectors(_docs(spark, d))).select(F.col("id").alias("doc_id"), F.round("norm", 7).alias("norm"))
+
+
+_QUERY_SQL = f"""WITH {_DOCS}, {_TF},
+qtok AS (SELECT item_id, {_TOKENS} AS t FROM benchmark), qone AS (SELECT item_id, len(t) AS size, unnest(t) AS token FROM qtok),
+qtf AS (SELECT item_id, token, size, count(*) AS n FROM qone GROUP BY ALL),
+qvec AS (SELECT item_id, token, n::DOUBLE / size * coalesce(idf, ln(2)) AS weight FROM qtf LEFT JOIN idf USING (token)),
+qnorm AS (SELECT item_id, sqrt(sum(weight * weight)) AS qn FROM qvec GROUP BY item_id),
+scores AS (SELECT item_id, id, sum(v.weight * q.weight) / (norm * qn) AS score FROM vec v JOIN qvec q USING (token) JOIN norm USING (id) JOIN qnorm USING (item_id) GROUP BY item_id, id, norm, qn),
+ranked AS (SELECT item_id, id AS doc_id, round(score, 4) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, id) AS rank FROM scores)"""
+
+
+def _nearest(spark: SparkSession, d: str, k: int) -> DataFrame:
+    docs = _docs(spark, d)
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
+    scores = vectors.with_zeros(vectors.query_scores(items, docs), items, docs, k)
+    return vectors.ranked(scores, "query_id", "id", k).select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "rank", F.round("score", 4).alias("score"))
+
+
+@query(f"{_QUERY_SQL} SELECT item_id, doc_id, rank, score FROM ranked WHERE rank <= 3")
+def doc_query_topk_tfidf(spark: SparkSession, d: str) -> DataFrame:
+    return _nearest(spark, d, 3)
+
+
+@query(f"""{_QUERY_SQL}, hit AS (SELECT item_id, count_if(coalesce(l.quality, 0) = 1) AS good FROM ranked LEFT JOIN labels l USING (doc_id) WHERE rank <= 3 GROUP BY item_id)
+SELECT count(*) AS n_queries, count_if(good > 0) AS hits, sum(good)::BIGINT AS recovered, (count(*) * 3 - sum(good))::BIGINT AS missed FROM hit""")
+def retrieval_metrics_hit_at_k(spark: SparkSession, d: str) -> DataFrame:
+    good = _nearest(spark, d, 3).join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left").groupBy("item_id").agg(F.count_if(F.coalesce("quality", F.lit(0)) == 1).alias("good"))
+    return good.agg(F.count("*").alias("n_queries"), F.count_if(F.col("good") > 0).alias("hits"), F.sum("good").alias("recovered"), (F.count("*") * 3 - F.sum("good")).alias("missed"))
+
+
+_WORDS = r"list_filter(string_split_regex(text, '[\s\p{Z}\x{85}\x0b\x1c-\x1f]+'), lambda w: w <> '')"
+
+
+@query(f"""SELECT doc_id, len({_WORDS})::BIGINT AS words, md5(CASE WHEN len({_WORDS}) <= 80 THEN text ELSE array_to_string(list_slice({_WORDS}, 1, 80), ' ') END) AS cut FROM documents""")
+def truncate_and_wordcount(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", T.word_count(F.col("text")).alias("words"), F.md5(T.truncated(F.col("text"))).alias("cut"))
+
+
+@query(r"SELECT p_partkey, 'entity:' || regexp_replace(regexp_replace(replace(lower(p_name), '.', ''), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, coalesce(map {'PROMO': 'product', 'STANDARD': 'tool'}[split_part(p_type, ' ', 1)], 'concept') AS kind FROM part")
+def slugify_part_names(spark: SparkSession, d: str) -> DataFrame:
+    kinds = F.create_map(*map(F.lit, ("PROMO", "product", "STANDARD", "tool")))
+    return table(spark, d, "part").select("p_partkey", T.slug(F.col("p_name")).alias("slug"), F.coalesce(F.try_element_at(kinds, F.split_part("p_type", F.lit(" "), F.lit(1))), F.lit("concept")).alias("kind"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'critical' WHEN '2-HIGH' THEN 'high' WHEN '5-LOW' THEN 'low' ELSE 'medium' END AS priority, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders""")
+def recode_priority(spark: SparkSession, d: str) -> DataFrame:
+    codes = F.create_map(*map(F.lit, ("1-URGENT", "critical", "2-HIGH", "high", "5-LOW", "low")))
+    return table(spark, d, "orders").select("o_orderkey", F.coalesce(F.try_element_at(codes, "o_orderpriority"), F.lit("medium")).alias("priority"), T.iso_day(F.col("o_orderdate").cast("string")).alias("day"))
+
+
+@query(r"""WITH s AS (SELECT page_id, regexp_extract_all(html, '(?is)<a\s+href="([^"]+)">(.*?)</a>', 1) AS ids, regexp_extract_all(html, '(?is)<a\s+href="([^"]+)">(.*?)</a>', 2) AS texts FROM pages),
+e AS (SELECT page_id, unnest(ids) AS span_id, unnest(texts) AS content, generate_subscripts(ids, 1) - 1 AS pos FROM s)
+SELECT page_id, span_id, trim(content) AS content FROM e QUALIFY row_number() OVER (PARTITION BY page_id, span_id ORDER BY pos DESC) = 1""")
+def html_span_extract(spark: SparkSession, d: str) -> DataFrame:
+    return mentions.last_wins(_links(spark, d).withColumn("k", F.struct("page_id", "span_id")), "k", "pos").select("page_id", "span_id", F.trim("content").alias("content"))
+
+
+def _links(spark: SparkSession, d: str) -> DataFrame:
+    pattern = F.lit(r'(?is)<a\s+href="([^"]+)">(.*?)</a>')
+    pairs = F.arrays_zip(F.regexp_extract_all("html", pattern, 1).alias("i"), F.regexp_extract_all("html", pattern, 2).alias("c"))
+    return table(spark, d, "pages").select("page_id", F.posexplode(pairs).alias("pos", "s")).select("page_id", "pos", F.col("s.i").alias("span_id"), F.col("s.c").alias("content"))
+
+
+@query(r"""WITH s AS (SELECT page_id, regexp_extract_all(html, '(?is)<a\s+href="([^"]+)">(.*?)</a>', 1) AS ids FROM pages), e AS (SELECT page_id, unnest(ids) AS span_id, generate_subscripts(ids, 1) - 1 AS pos FROM s)
+SELECT page_id, span_id, pos::BIGINT AS pos, min(pos) OVER w::BIGINT AS first FROM e WINDOW w AS (PARTITION BY page_id, span_id) QUALIFY row_number() OVER (PARTITION BY page_id, span_id ORDER BY pos) > 1""".replace("min(pos) OVER w::BIGINT", "(min(pos) OVER w)::BIGINT"))
+def duplicate_span_ids(spark: SparkSession, d: str) -> DataFrame:
+    return checks.repeats(_links(spark, d), ["page_id", "span_id"], "pos").select("page_id", "span_id", F.col("pos").cast("long").alias("pos"), F.col("first").cast("long").alias("first"))
+
+
+_TAG_EVENTS = r"""ev AS (SELECT page_id AS doc, unnest(regexp_extract_all(html, '</?(?:div|p|li|ul|nav)\b')) AS tag, generate_subscripts(regexp_extract_all(html, '</?(?:div|p|li|ul|nav)\b'), 1) - 1 AS pos FROM pages),
+s AS (SELECT doc, pos, CASE WHEN tag LIKE '</%' THEN -1 ELSE 1 END AS step FROM ev), r AS (SELECT *, sum(step) OVER (PARTITION BY doc ORDER BY pos) AS total FROM s),
+dp AS (SELECT *, total - least(0, min(total) OVER (PARTITION BY doc ORDER BY pos)) AS depth FROM r), b AS (SELECT *, coalesce(lag(depth) OVER (PARTITION BY doc ORDER BY pos), 0) AS before, min(depth) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM dp)"""
+
+
+@query(f"""WITH {_TAG_EVENTS}, f AS (SELECT doc, 'nested' AS issue FROM b WHERE step = 1 AND before > 0 UNION ALL SELECT doc, 'orphan' FROM b WHERE step = -1 AND before = 0 UNION ALL SELECT doc, 'unclosed' FROM b WHERE step = 1 AND coalesce(later >= depth, true))
+SELECT doc, issue, count(*) AS n FROM f GROUP BY ALL""")
+def html_tag_balance(spark: SparkSession, d: str) -> DataFrame:
+    tags = table(spark, d, "pages").select(F.col("page_id").alias("doc"), F.posexplode(F.regexp_extract_all("html", F.lit(r"</?(?:div|p|li|ul|nav)\b"), 0)).alias("pos", "tag"))
+    events = tags.select("doc", "pos", F.when(F.col("tag").startswith("</"), -1).otherwise(1).alias("step"))
+    return checks.tag_issues(checks.tag_depths(events)).groupBy("doc", "issue").agg(F.count("*").alias("n"))
+
+
+# --- rules ----------------------------------------------------------------------------------------------------------
+
+
+def _brand_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as chunks that mention the brands of their parts in line order."""
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("chunk_id"), "l_linenumber", F.col("l_partkey").alias("p_partkey"))
+    named = lines.join(table(spark, d, "part").select("p_partkey", "p_brand"), "p_partkey")
+    return named.groupBy("chunk_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "p_brand"))), lambda x: x["p_brand"]).alias("entities")).withColumn("chunk_pos", F.col("chunk_id"))
+
+
+def _catalog(spark: SparkSession, d: str) -> DataFrame:
+    """Some brands; others are unknown."""
+    return table(spark, d, "part").filter("p_brand < 'Brand#4'").select(F.col("p_brand").alias("entity_id")).distinct()
+
+
+_CATALOG = "cat AS (SELECT DISTINCT p_brand FROM part WHERE p_brand < 'Brand#4')"
+
+
+@query(f"WITH {_CATALOG} SELECT DISTINCT p_brand AS entity_id FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand NOT IN (FROM cat)")
+def dangling_refs(spark: SparkSession, d: str) -> DataFrame:
+    return mentions.dangling(_brand_chunks(spark, d), _catalog(spark, d))
+
+
+@query("""WITH t AS (SELECT conv_id AS doc, turn AS pos, role AS chunk_id FROM conversations), dep AS (SELECT conv_id AS doc, turn AS pos, CASE role WHEN 'user' THEN 'assistant' WHEN 'assistant' THEN 'user' ELSE 'tool' END AS target FROM conversations)
+SELECT doc, pos::BIGINT AS pos, target FROM dep WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.doc = dep.doc AND t.chunk_id = dep.target AND t.pos <= dep.pos)""")
+def forward_dependency_warnings(spark: SparkSession, d: str) -> DataFrame:
+    turns = table(spark, d, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").cast("long").alias("pos"), F.col("role").alias("chunk_id"))
+    needs = turns.select("doc", "pos", F.when(F.col("chunk_id") == "user", "assistant").when(F.col("chunk_id") == "assistant", "user").otherwise("tool").alias("target"))
+    return checks.forward_references(needs, turns)
+
+
+@query(r"SELECT p_partkey, p_type || ':' || p_name AS id FROM part WHERE NOT regexp_matches(p_type || ':' || p_name, '^[a-z]+:[a-z0-9-]+$')")
+def id_format_issues(spark: SparkSession, d: str) -> DataFrame:
+    ids = table(spark, d, "part").select("p_partkey", F.concat_ws(":", "p_type", "p_name").alias("id"))
+    return ids.filter(~T.is_chunk_id(F.col("id")))
+
+
+@query("""SELECT event_id, event_type FROM events WHERE event_type IS NOT NULL AND event_type NOT IN ('view', 'click', 'purchase')""")
+def unknown_enum_issues(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").filter(checks.outside(F.col("event_type"), ("view", "click", "purchase"))).select("event_id", "event_type")
+
+
+@query(r"""WITH v AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN strftime(ts, '%Y-%m-%d') WHEN event_id % 3 = 1 THEN 'day ' || event_id ELSE NULL END AS day, json_extract_string(props, '$.k') AS version FROM events)
+SELECT event_id, day IS NOT NULL AND try_cast(day AS DATE) IS NULL AS bad_day, version IS NOT NULL AND coalesce(try_cast(version AS INT) < 1, true) AS bad_version FROM v""")
+def temporal_field_issues(spark: SparkSession, d: str) -> DataFrame:
+    day = F.when(F.col("event_id") % 3 == 0, F.date_format("ts", "yyyy-MM-dd")).when(F.col("event_id") % 3 == 1, F.concat(F.lit("day "), F.col("event_id").cast("string")))
+    return table(spark, d, "events").select("event_id", checks.bad_date(day).alias("bad_day"), checks.bad_version(F.get_json_object("props", "$.k")).alias("bad_version"))
+
+
+@query("""WITH t AS (SELECT doc_id, substr(text, 1, 60) AS context, text FROM documents), c AS (SELECT doc_id, context, len(list_filter(string_split_regex(context, '[\\s\\p{Z}\\x{85}]+'), lambda w: w <> '')) AS n FROM t)
+SELECT doc_id::VARCHAR AS chunk_id, CASE WHEN n = 0 THEN 'empty' WHEN n < 8 THEN 'short' ELSE 'long' END AS rule, CASE WHEN n = 0 THEN 'error' WHEN n < 8 THEN 'warning' ELSE 'info' END AS severity FROM c WHERE n < 8 OR n > 50""".replace("\\\\", "\\"))
+def context_quality_issues(spark: SparkSession, d: str) -> DataFrame:
+    chunks = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.substring("text", 1, 60).alias("context"), F.lit("").alias("content"))
+    return checks.context_issues(chunks)
+
+
+@query(f"""WITH s AS (SELECT source AS doc, doc_id AS pos, list_distinct({_PLAIN}) AS w FROM documents), o AS (SELECT * FROM s WHERE len(w) > 0)
+SELECT p.doc, p.pos AS a, q.pos AS b, round(len(list_intersect(p.w, q.w))::DOUBLE / len(list_distinct(list_concat(p.w, q.w))), 6) AS similarity FROM o p JOIN o q ON p.doc = q.doc AND p.pos < q.pos
+WHERE len(p.w) >= 0.59 * len(q.w) AND len(q.w) >= 0.59 * len(p.w) AND len(list_intersect(p.w, q.w))::DOUBLE / len(list_distinct(list_concat(p.w, q.w))) >= 0.6""")
+def near_duplicate_chunks(spark: SparkSession, d: str) -> DataFrame:
+    chunks = table(spark, d, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("pos"), "text")
+    return checks.near_pairs(chunks).select("doc", "a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+def _tagged(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("chunk_id"), F.array("lang", F.when(F.col("n_chars") > 200, "long").otherwise("brief"), F.lit("text")).alias("tags"))
+
+
+_TAGGED = "src AS (SELECT source AS doc, doc_id, [lang, CASE WHEN n_chars > 200 THEN 'long' ELSE 'brief' END, 'text'] AS tags FROM documents)"
+
+
+@query(f"""WITH {_TAGGED}, c AS (SELECT doc, tag, count(DISTINCT doc_id) AS n FROM (SELECT doc, doc_id, unnest(tags) AS tag FROM src) GROUP BY ALL), t AS (SELECT doc, count(*) AS total FROM src GROUP BY doc),
+u AS (SELECT doc, tag, n FROM c JOIN t USING (doc) WHERE total >= 2 AND n >= 0.8 * total QUALIFY count(*) OVER (PARTITION BY doc) > 1), g AS (SELECT doc, array_to_string(list_sort(list_distinct(tags)), ',') AS tag, count(*) AS n FROM src GROUP BY ALL HAVING count(*) > 1)
+SELECT doc, 'ubiquitous' AS rule, tag, n FROM u UNION ALL SELECT doc, 'same', tag, n FROM g""")
+def tag_overlap_issues(spark: SparkSession, d: str) -> DataFrame:
+    chunks = _tagged(spark, d)
+    common = checks.ubiquitous_tags(chunks).select("doc", F.lit("ubiquitous").alias("rule"), "tag", "n")
+    return common.unionByName(checks.same_tags(chunks).select("doc", F.lit("same").alias("rule"), F.col("tag_set").alias("tag"), "n"))
+
+
+@query("""WITH c AS (SELECT o_custkey AS doc, lower(o_orderstatus) AS category, count(*) AS n FROM orders GROUP BY ALL)
+SELECT doc, category FROM c QUALIFY n = 1 AND count(*) OVER (PARTITION BY doc) > 1 AND count_if(n = 1) OVER (PARTITION BY doc) < count(*) OVER (PARTITION BY doc)""")
+def singleton_categories(spark: SparkSession, d: str) -> DataFrame:
+    ids = table(spark, d, "orders").select(F.col("o_custkey").alias("doc"), F.concat(F.lower("o_orderstatus"), F.lit(":o"), F.col("o_orderkey").cast("string")).alias("chunk_id"))
+    return checks.singleton_categories(ids)
+
+
+@query(f"""WITH e AS (SELECT p_partkey AS entity_id, p_partkey AS pos, p_name AS name FROM part UNION ALL SELECT 0, 0, 'Tool'), f AS (SELECT entity_id, first_value(entity_id) OVER (PARTITION BY lower(trim(name)) ORDER BY pos) AS owner FROM e)
+SELECT entity_id::VARCHAR AS entity_id, 'noise' AS rule, NULL::VARCHAR AS owner FROM e WHERE lower(name) IN ({", ".join(f"'{n}'" for n in GENERIC_NAMES)}) UNION ALL SELECT entity_id::VARCHAR, 'duplicate', owner::VARCHAR FROM f WHERE owner <> entity_id""")
+def entity_noise_and_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    parts = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("entity_id"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("name"))
+    return checks.entity_issues(parts.unionByName(spark.createDataFrame([("0", 0, "Tool")], "entity_id string, pos long, name string")))
+
+
+@query(f"""WITH {_CATALOG}, r AS (SELECT l_orderkey, l_linenumber, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey)
+SELECT l_orderkey AS chunk_id, 'many' AS rule, count(*)::VARCHAR AS detail FROM r GROUP BY l_orderkey HAVING count(*) > 6
+UNION ALL SELECT l_orderkey, 'undefined', string_agg(p_brand, ',' ORDER BY l_linenumber, p_brand) FROM r WHERE p_brand NOT IN (FROM cat) GROUP BY l_orderkey""")
+def entity_link_issues(spark: SparkSession, d: str) -> DataFrame:
+    return checks.link_issues(_brand_chunks(spark, d), _catalog(spark, d))
+
+
+@query("""SELECT source AS doc, count(*) AS chunks, count(DISTINCT lang) AS langs, round(avg(n_chars), 6) AS mean_chars, count_if(n_chars < 500) AS warnings, count_if(n_chars < 100) AS errors FROM documents GROUP BY source""")
+def doc_stats_by_severity(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").groupBy(F.col("source").alias("doc")).agg(F.count("*").alias("chunks"), F.countDistinct("lang").alias("langs"), F.round(F.avg("n_chars"), 6).alias("mean_chars"), F.count_if(F.col("n_chars") < 500).alias("warnings"), F.count_if(F.col("n_chars") < 100).alias("errors"))
+
+
+# --- mentions and profiles ------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_CATALOG} SELECT p_brand AS entity_id, count(*) AS mention_count, count(DISTINCT l_orderkey) AS chunks FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand IN (FROM cat) GROUP BY 1")
+def mention_reverse_index(spark: SparkSession, d: str) -> DataFrame:
+    return mentions.mentions(_brand_chunks(spark, d), _catalog(spark, d)).groupBy("entity_id").agg(F.count("*").alias("mention_count"), F.countDistinct("chunk_id").alias("chunks"))
+
+
+def _found(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("chunk_id"), "l_linenumber", F.col("l_partkey").alias("p_partkey"), "l_returnflag").join(table(spark, d, "part"), "p_partkey").withColumnRenamed("p_brand", "entity_id")
+
+
+_CO = "m AS (SELECT DISTINCT l_orderkey AS o, p_brand AS e FROM lineitem JOIN part ON l_partkey = p_partkey), co AS (SELECT p.e AS a, q.e AS b, count(*) AS n FROM m p JOIN m q ON p.o = q.o AND p.e < q.e GROUP BY ALL)"
+
+
+@query(f"WITH {_CO} SELECT a, b, n FROM co")
+def co_mentions(spark: SparkSession, d: str) -> DataFrame:
+    return mentions.co_mentions(_found(spark, d))
+
+
+@query("""WITH m AS (SELECT p_brand AS entity_id, l_orderkey * 10 + l_linenumber AS position, p_name AS context FROM lineitem JOIN part ON l_partkey = p_partkey), r AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY position, context) AS n FROM m)
+SELECT entity_id, string_agg(context, '|' ORDER BY n) FILTER (n <= 3) AS contexts, count(*) AS mention_count FROM r GROUP BY entity_id""")
+def entity_profile_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return mentions.first_contexts(_found(spark, d).select("entity_id", (F.col("chunk_id") * 10 + F.col("l_linenumber")).alias("position"), F.col("p_name").alias("context")))
+
+
+@query(f"""WITH x AS (SELECT p_brand AS entity_id, p_partkey AS position, p_name || ' ' || p_type AS text FROM part), t AS (SELECT entity_id, position, {_TOKENS} AS t FROM x), e AS (SELECT entity_id, position, unnest(t) AS token, generate_subscripts(t, 1) AS place FROM t),
+c AS (SELECT entity_id, token, count(*) AS n, min(position * 1000 + place) AS first FROM e WHERE token <> 'small' GROUP BY ALL)
+SELECT entity_id, token, n, row_number() OVER (PARTITION BY entity_id ORDER BY n DESC, first, token) AS rank FROM c QUALIFY rank <= 8""")
+def entity_keywords_topk(spark: SparkSession, d: str) -> DataFrame:
+    parts = table(spark, d, "part")
+    texts = parts.select(F.col("p_brand").alias("entity_id"), F.col("p_partkey").alias("position"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
+    return mentions.keywords(texts, parts.select(F.col("p_brand").alias("entity_id"), F.lit("small").alias("token")).distinct())
+
+
+# --- graph ----------------------------------------------------------------------------------------------------------
+
+_BRAND_TEXT = "src AS (SELECT p_brand AS id, string_agg(p_name || ' ' || p_type, ' ' ORDER BY p_partkey) AS text FROM part GROUP BY p_brand)"
+_EDGE_SQL = """pr AS (SELECT p.id AS s, q.id AS t, sum(p.weight * q.weight) / (np.norm * nq.norm) AS score FROM vec p JOIN vec q ON p.token = q.token AND p.id < q.id JOIN norm np ON np.id = p.id JOIN norm nq ON nq.id = q.id GROUP BY p.id, q.id, np.norm, nq.norm),
+bo AS (SELECT s, t, score FROM pr UNION ALL SELECT t, s, score FROM pr), rk AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY round(score, 9) DESC, t) AS rank FROM bo WHERE score >= 0.15),
+edges AS (SELECT DISTINCT least(s, t) AS source, greatest(s, t) AS target, round(score, 4) AS score FROM rk WHERE rank <= 3)"""
+
+
+def _brand_texts(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    listed = table(spark, d, "part").groupBy(F.col("p_brand").alias("id")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", F.concat_ws(" ", *columns).alias("t")))).alias("l"))
+    return listed.select("id", F.array_join(F.transform("l", lambda x: x["t"]), " ").alias("text"))
+
+
+def _similar(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return vectors.similar_edges(vectors.cosine_pairs(vectors.vectors(_brand_texts(spark, d, *columns))))
+
+
+@query(f"WITH {_BRAND_TEXT}, {_TF}, {_EDGE_SQL} SELECT source, target, score FROM edges")
+def entity_similar_edges(spark: SparkSession, d: str) -> DataFrame:
+    return _similar(spark, d, "p_name", "p_type")
+
+
+@query(f"WITH {_BRAND_TEXT.replace(chr(39) + ' ' + chr(39) + ' || p_type', chr(39) + chr(39)).replace('p_name || ' + chr(39) * 2, 'p_name')}, {_TF}, {_EDGE_SQL} SELECT source, target, score FROM edges")
+def metadata_mode_edges(spark: SparkSession, d: str) -> DataFrame:
+    return _similar(spark, d, "p_name")
+
+
+#: A small catalogue of skills: name, preconditions, postconditions, cost, idempotent.
+SKILLS = (
+    ("browse", [], ["view"], "low", True),
+    ("inspect", ["view"], ["click"], "low", True),
+    ("register", ["view", "NOT signup"], ["signup"], "medium", False),
+    ("order", ["click", "signup"], ["purchase"], "high", False),
+    ("report", ["error"], ["click"], "medium", False),
+    ("guest-order", ["click", "NOT signup"], ["purchase"], "high", False),
+)
+
+
+def _skills(spark: SparkSession) -> DataFrame:
+    rows = [(k, n, p, q, c, i) for k, (n, p, q, c, i) in enumerate(SKILLS)]
+    return spark.createDataFrame(rows, "pos long, name string, preconditions array<string>, postconditions array<string>, cost string, idempotent boolean")
+
+
+def _list(values: list[str]) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]::VARCHAR[]"
+
+
+_SKILLS = "sk AS (SELECT * FROM (VALUES " + ", ".join(f"({k}::BIGINT, '{n}', {_list(p)}, {_list(q)}, '{c}', {i})" for k, (n, p, q, c, i) in enumerate(SKILLS)) + ") v(pos, name, pre, post, cost, idem))"
+_CAUSAL = """made AS (SELECT name AS p, pos, unnest(post) AS state FROM sk), used AS (SELECT name AS c, unnest(pre) AS state FROM sk), fst AS (SELECT state, min(pos) AS first FROM made GROUP BY state),
+met AS (SELECT p, c, arg_min(state, first * 1000) AS via FROM made JOIN used USING (state) JOIN fst USING (state) WHERE p <> c AND NOT starts_with(state, 'NOT ') GROUP BY ALL), causal AS (SELECT p AS source, c AS target, 'LEADS_TO' AS relation, via FROM met UNION ALL SELECT c, p, 'REQUIRES', via FROM met)"""
+
+
+@query(f"WITH {_SKILLS}, {_CAUSAL} SELECT source, target, relation, via FROM causal")
+def causal_edge_inference(spark: SparkSession, d: str) -> DataFrame:
+    return graph.causal_edges(_skills(spark).withColumnRenamed("name", "entity_id"))
+
+
+@query(f"WITH {_SKILLS}, {_CAUSAL}, {_BRAND_TEXT}, {_TF}, {_EDGE_SQL} SELECT source, target, 'SIMILAR' AS relation, score, NULL::VARCHAR AS via, 0::BIGINT AS stage FROM edges UNION ALL SELECT source, target, relation, NULL, via, 1 FROM causal UNION ALL SELECT 'browse', 'report', 'EVIDENCE', 0.5, NULL, 2")
+def edge_union_with_extras(spark: SparkSession, d: str) -> DataFrame:
+    extra = spark.createDataFrame([("browse", "report", "EVIDENCE", 0.5)], "source string, target string, relation string, score double")
+    return graph.merged_edges(_similar(spark, d, "p_name", "p_type").withColumn("relation", F.lit("SIMILAR")), causal_edge_inference(spark, d), extra).select("source", "target", "relation", "score", "via", "stage")
+
+
+@query("""SELECT p_brand AS id, count(DISTINCT l_orderkey) AS chunks, count(l_orderkey) AS mention_count FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY p_brand""")
+def graph_nodes_with_mentions(spark: SparkSession, d: str) -> DataFrame:
+    nodes = table(spark, d, "part").select(F.col("p_brand").alias("id")).distinct()
+    counted = _found(spark, d).groupBy(F.col("entity_id").alias("id")).agg(F.countDistinct("chunk_id").alias("chunks"), F.count("*").alias("mention_count"))
+    return nodes.join(counted, "id", "left").select("id", F.coalesce("chunks", F.lit(0)).alias("chunks"), F.coalesce("mention_count", F.lit(0)).alias("mention_count"))
+
+
+_GEO = """g AS (SELECT 'nation:' || n_nationkey AS source, 'region:' || n_regionkey AS target, 'REQUIRES' AS relation FROM nation UNION ALL SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey, 'EVIDENCE' FROM supplier
+UNION ALL SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey, CASE WHEN c_acctbal < 0 THEN 'BLOCKED_BY' ELSE 'SIMILAR' END FROM customer)"""
+
+
+def _geo(spark: SparkSession, d: str) -> DataFrame:
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    nations = table(spark, d, "nation").select(name("nation:", "n_nationkey").alias("source"), name("region:", "n_regionkey").alias("target"), F.lit("REQUIRES").alias("relation"))
+    suppliers = table(spark, d, "supplier").select(name("supplier:", "s_suppkey").alias("source"), name("nation:", "s_nationkey").alias("target"), F.lit("EVIDENCE").alias("relation"))
+    customers = table(spark, d, "customer").select(name("customer:", "c_custkey").alias("source"), name("nation:", "c_nationkey").alias("target"), F.when(F.col("c_acctbal") < 0, "BLOCKED_BY").otherwise("SIMILAR").alias("relation"))
+    return nations.unionByName(suppliers).unionByName(customers)
+
+
+def _node(spark: SparkSession, name: str) -> DataFrame:
+    return spark.createDataFrame([(name,)], "node string")
+
+
+_HOPS = f"""{_GEO}, w AS (SELECT source, target FROM g UNION SELECT target, source FROM g), h1 AS (SELECT DISTINCT target AS node FROM w WHERE source = 'region:1'), h2 AS (SELECT DISTINCT target AS node FROM w JOIN h1 ON source = node WHERE target <> 'region:1' AND target NOT IN (SELECT node FROM h1)),
+h AS (SELECT 'region:1' AS node, 0::BIGINT AS hop UNION ALL SELECT node, 1 FROM h1 UNION ALL SELECT node, 2 FROM h2)"""
+
+
+@query(f"WITH {_HOPS} SELECT node, hop FROM h")
+def khop_subgraph_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return graph.hops(_geo(spark, d), _node(spark, "region:1"))
+
+
+@query(f"WITH {_HOPS} SELECT g.* FROM g JOIN h ON source = node WHERE hop < 2 UNION ALL SELECT g.* FROM g JOIN h ON target = node WHERE hop < 2")
+def khop_subgraph_edges(spark: SparkSession, d: str) -> DataFrame:
+    edges = _geo(spark, d)
+    return graph.hop_edges(edges, graph.hops(edges, _node(spark, "region:1")))
+
+
+_DIST = f"""RECURSIVE {_GEO}, w AS (SELECT source, target, relation, CASE relation WHEN 'REQUIRES' THEN 1 WHEN 'EVIDENCE' THEN 2 ELSE 3 END AS w FROM g WHERE relation <> 'BLOCKED_BY'), b AS (SELECT * FROM w UNION ALL SELECT target, source, relation, w FROM w),
+r AS (SELECT 'region:0' AS node, 0 AS distance UNION SELECT b.target, r.distance + b.w FROM r JOIN b ON b.source = r.node WHERE r.distance + b.w <= 4), dist AS (SELECT node, min(distance)::BIGINT AS distance FROM r GROUP BY node)"""
+
+
+@query(f"WITH {_DIST} SELECT node, distance FROM dist")
+def goal_distances(spark: SparkSession, d: str) -> DataFrame:
+    return graph.distances(_geo(spark, d), _node(spark, "region:0"))
+
+
+@query(f"WITH {_DIST}, a AS (SELECT b.target AS node, relation, p.distance AS d0, b.source FROM b JOIN dist p ON p.node = b.source JOIN dist q ON q.node = b.target WHERE p.distance + b.w = q.distance), v AS (SELECT node, relation AS via FROM a QUALIFY row_number() OVER (PARTITION BY node ORDER BY d0, source, relation) = 1) SELECT node, distance, via FROM dist LEFT JOIN v USING (node)")
+def goal_distance_via_relation(spark: SparkSession, d: str) -> DataFrame:
+    edges = _geo(spark, d)
+    return graph.arriving_relations(edges, graph.distances(edges, _node(spark, "region:0")))
+
+
+_PROP = f"""{_CO}, e AS (SELECT a, b, n::DOUBLE / (SELECT max(n) FROM co) AS s FROM co), w AS (SELECT a AS x, b AS y, s FROM e UNION ALL SELECT b, a, s FROM e), deg AS (SELECT x, count(*) AS degree FROM w GROUP BY x), c AS (SELECT e, count(*)::DOUBLE AS k FROM m GROUP BY e), seed AS (SELECT e AS node, k / (SELECT max(k) FROM c) AS score FROM c ORDER BY k DESC, e LIMIT 4),
+pp AS (SELECT node, score FROM seed UNION ALL SELECT y, score * s * 0.65 / log2(2 + degree) FROM seed JOIN w ON x = node JOIN deg USING (x)), prop AS (SELECT node, max(score) AS score FROM pp GROUP BY node)"""
+
+
+@query(f"WITH {_PROP} SELECT 'all' AS key, node, round(score, 6) AS score FROM prop")
+def score_propagation(spark: SparkSession, d: str) -> DataFrame:
+    found = _found(spark, d)
+    pairs = mentions.co_mentions(found)
+    most = pairs.agg(F.max("n").alias("most"))
+    edges = pairs.crossJoin(F.broadcast(most)).select(F.col("a").alias("source"), F.col("b").alias("target"), (F.col("n") / F.col("most")).alias("score"))
+    counts = found.select("entity_id", "chunk_id").distinct().groupBy(F.col("entity_id").alias("node")).agg(F.count("*").alias("k"))
+    seeds = counts.orderBy(F.desc("k"), "node").limit(4).crossJoin(F.broadcast(counts.agg(F.max("k").alias("most")))).select(F.lit("all").alias("key"), "node", (F.col("k") / F.col("most")).alias("score"))
+    return graph.propagated(seeds, edges).select("key", "node", F.round("score", 6).alias("score"))
+
+
+@query("""WITH e AS (SELECT source, target, max(score) AS score FROM (SELECT least(a.p_brand, b.p_brand) AS source, greatest(a.p_brand, b.p_brand) AS target, CASE WHEN a.p_type = b.p_type THEN 0.85 ELSE 0.65 END AS score FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_brand <> b.p_brand) GROUP BY ALL) SELECT source, target, score::DOUBLE AS score FROM e""")
+def skill_graph_edges_maxmerge(spark: SparkSession, d: str) -> DataFrame:
+    parts = table(spark, d, "part").groupBy("p_name", "p_brand", "p_type").agg(F.count("*").alias("n"))
+    a, b = parts.select("p_name", F.col("p_brand").alias("source"), F.col("p_type").alias("ta")), parts.select("p_name", F.col("p_brand").alias("target"), F.col("p_type").alias("tb"))
+    return graph.strongest(a.join(b, "p_name").filter("source <> target").select("source", "target", F.when(F.col("ta") == F.col("tb"), 0.85).otherwise(0.65).alias("score")))
+
+
+@query(f"WITH {_CATALOG}, c AS (SELECT p_brand, p_name, count(*) AS n FROM part GROUP BY ALL) SELECT p_brand, p_name, n FROM c WHERE n >= 5 OR p_brand IN (FROM cat)")
+def min_mention_catalog(spark: SparkSession, d: str) -> DataFrame:
+    counted = table(spark, d, "part").groupBy("p_brand", "p_name").agg(F.count("*").alias("n"))
+    known = F.broadcast(_catalog(spark, d).select(F.col("entity_id").alias("p_brand"), F.lit(True).alias("known")))
+    return counted.join(known, "p_brand", "left").filter("n >= 5 OR known").select("p_brand", "p_name", "n")
+
+
+# --- planning -------------------------------------------------------------------------------------------------------
+
+_SESSIONS = "se AS (SELECT user_id AS session_id, list_sort(list_distinct(list(event_type) FILTER (event_type <> 'purchase'))) AS active FROM events WHERE event_id % 2 = 0 GROUP BY user_id)"
+_UNMET = "list_filter(pre, lambda p: CASE WHEN starts_with(p, 'NOT ') THEN list_contains(active, substr(p, 5)) ELSE NOT list_contains(active, p) END)"
+
+
+def _sessions(spark: SparkSession, d: str) -> DataFrame:
+    events = table(spark, d, "events").filter("event_id % 2 = 0")
+    states = events.groupBy(F.col("user_id").alias("session_id")).agg(F.array_sort(F.collect_set(F.when(F.col("event_type") != "purchase", F.col("event_type")))).alias("active"))
+    return states.select("session_id", F.lit("purchase").alias("goal"), "active", F.array().cast("array<string>").alias("completed"))
+
+
+@query(f"WITH {_SKILLS}, {_SESSIONS} SELECT session_id, name, array_to_string({_UNMET}, ',') AS unmet FROM se, sk")
+def precondition_check(spark: SparkSession, d: str) -> DataFrame:
+    pairs = _sessions(spark, d).crossJoin(F.broadcast(_skills(spark)))
+    return pairs.select("session_id", "name", F.array_join(planning.unmet(F.col("active"), F.col("preconditions")), ",").alias("unmet"))
+
+
+@query(f"WITH {_SKILLS}, {_SESSIONS}, c AS (SELECT session_id, name, CASE cost WHEN 'low' THEN 0 WHEN 'high' THEN 2 ELSE 1 END::BIGINT AS cost_rank, len(post) AS produces FROM se, sk WHERE len({_UNMET}) = 0) SELECT session_id, name, cost_rank, row_number() OVER (PARTITION BY session_id ORDER BY cost_rank, produces DESC, name) AS rank FROM c")
+def eligible_candidates_ranked(spark: SparkSession, d: str) -> DataFrame:
+    return planning.candidates(_sessions(spark, d), _skills(spark)).select("session_id", "name", "cost_rank", "rank")
+
+
+_USABLE = _UNMET.replace("active", "r.active")
+_PLAN = f"""RECURSIVE {_SKILLS}, {_SESSIONS}, r AS (SELECT session_id, active, []::VARCHAR[] AS done, []::BIGINT[] AS path FROM se UNION ALL
+SELECT session_id, list_sort(list_distinct(list_concat(r.active, post))), list_append(done, name), list_append(path, pos) FROM r, sk WHERE len(path) < 4 AND NOT list_contains(r.active, 'purchase') AND len({_USABLE}) = 0 AND (idem OR NOT list_contains(done, name))),
+pl AS (SELECT session_id, path FROM r WHERE list_contains(active, 'purchase') QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY len(path), path) = 1)"""
+
+
+@query(f"WITH {_PLAN} SELECT session_id, array_to_string(list_transform(path, lambda p: [{', '.join(chr(39) + s[0] + chr(39) for s in SKILLS)}][p + 1]), ',') AS path, len(path)::BIGINT AS depth FROM pl")
+def lookahead_plan(spark: SparkSession, d: str) -> DataFrame:
+    return planning.plans(_sessions(spark, d), _skills(spark), 4).select("session_id", F.array_join("path", ",").alias("path"), "depth")
+
+
+@query(None)
+def plan_step_traces(spark: SparkSession, d: str) -> DataFrame:
+    sessions = _sessions(spark, d)
+    paths = planning.plans(sessions, _skills(spark), 4).join(sessions.select("session_id", "active"), "session_id")
+    return planning.step_traces(paths, _skills(spark))
+
+
+@query(None)
+def session_loop_history(spark: SparkSession, d: str) -> DataFrame:
+    return planning.run_sessions(_sessions(spark, d), _skills(spark), 4)[0]
+
+
+@query(None)
+def completed_edge_writeback(spark: SparkSession, d: str) -> DataFrame:
+    return planning.completed_edges(session_loop_history(spark, d), _skills(spark))
+
+
+@query("""WITH l AS (SELECT user_id AS session_id, event_type AS state, CASE WHEN value > 50 THEN 'add' ELSE 'remove' END AS op FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1)
+SELECT session_id, coalesce(string_agg(state, ',' ORDER BY state) FILTER (op = 'add'), '') AS active FROM l GROUP BY session_id""")
+def active_state_set_ops(spark: SparkSession, d: str) -> DataFrame:
+    log = table(spark, d, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), F.when(F.col("value") > 50, "add").otherwise("remove").alias("op"), F.col("event_type").alias("state"))
+    return active_states(log)
+
+
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id < 20), s AS (SELECT query_id, vec_id AS id, list_cosine_similarity(q::DOUBLE[], embedding::DOUBLE[]) AS score FROM q, embeddings WHERE vec_id <> query_id)
+SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s QUALIFY rank <= 3""")
+def embedding_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
+    points = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return vectors.dense_cosine_topk(points.filter("id < 20"), points, 3).select("query_id", "id", "rank")
+
+
+@query("""WITH x(pos, key, term) AS (VALUES (0, 'the', 'article'), (1, 'AND', 'joint'), (2, 'ing', 'gerund')) SELECT item_id, text || coalesce(' ' || string_agg(term, ' ' ORDER BY pos), '') AS expanded FROM benchmark LEFT JOIN x ON contains(lower(text), lower(key)) GROUP BY item_id, text""")
+def query_expansion(spark: SparkSession, d: str) -> DataFrame:
+    terms = [("the", "article"), ("AND", "joint"), ("ing", "gerund")]
+    added = F.array_compact(F.array(*[F.when(F.contains(F.lower("text"), F.lit(key.lower())), F.lit(term)) for key, term in terms]))
+    return table(spark, d, "benchmark").select("item_id", F.concat_ws(" ", F.array("text"), added).alias("expanded"))
+
+
+@query("""SELECT doc_id, md5('<Chunk id="doc:' || doc_id || '">' || chr(10) || '<!-- Context: of ' || source || ' -->' || chr(10) || chr(10) || 'body' || chr(10) || '</Chunk>') AS injected FROM documents""")
+def context_comment_injection(spark: SparkSession, d: str) -> DataFrame:
+    wrapped = F.concat(F.lit('<Chunk id="doc:'), F.col("doc_id").cast("string"), F.lit('"> body </Chunk>'))
+    return table(spark, d, "documents").select("doc_id", F.md5(T.injected_context(wrapped, F.concat(F.lit("of "), F.col("source")))).alias("injected"))
+
+
+@query("""SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL""")
+def streaming_state_counts(spark: SparkSession, d: str) -> DataFrame:
+    return state_counts(table(spark, d, "events"))
