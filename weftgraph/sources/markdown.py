@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..operators.mentions import last_wins
 
@@ -31,7 +32,7 @@ def split_head(docs: DataFrame) -> DataFrame:
     return docs.withColumn("head", head).withColumn("body", F.when(found, F.regexp_replace("text", F.lit(HEAD), F.lit(""))).otherwise(F.col("text")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def yaml_json(heads: pd.Series) -> pd.Series:
     """YAML as JSON; null where it doesn't parse or isn't a mapping. Spark has no YAML reader."""
     import yaml
