@@ -75,8 +75,9 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Consecutive rows of a batch of about ``most`` bytes of text, with their bytes and offsets."""
-    data, offsets = utf8(batch.column(text))
+    """Consecutive rows of a batch of about ``most`` bytes of text, with their bytes and offsets. text: a column, or a field of one after a dot."""
+    column, _, field = text.partition(".")
+    data, offsets = utf8(pc.struct_field(batch.column(column), field) if field else batch.column(column))
     row = 0
     while row < batch.num_rows:
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + most, side="right")) - 1)

@@ -8,8 +8,8 @@ fragments are ranges of it. Equal sets count once, by their content key, whateve
    leaves each task as one row. Sets with too few shared shingles have no link and go no further.
 2. The sets that are left are cut into as many fragments as two linked sets of their size can differ in, and some more: at
    least one fragment must be equal. Sets with an equal fragment are candidates. First each meets only the first and last
-   set of its fragment; sets that are linked so far are one component. Then all pairs of sets with an equal fragment that
-   are still in different components are candidates. So a group of thousands of near copies is linked by a few pairs for
+   set that it shares a fragment with, then one of another component; sets that are linked so far are one component. Then
+   all pairs of sets with an equal fragment that are still in different components are candidates. So a group of thousands of near copies is linked by a few pairs for
    each, and no link between components is missed.
 3. For each candidate pair every fragment of a fixed cut counts its partial overlap separately, and the counts are summed per pair.
 
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import by_row, kept, mix, shingles, slices, words
@@ -33,6 +33,8 @@ from .components import components
 SHARED = 0.12
 PARTS = 8
 MERGE_ROWS = 2_000_000
+#: Most document ids that go to every task.
+BROADCAST_ROWS = 1_000_000
 _BITS = np.uint64(54)
 
 
@@ -97,7 +99,7 @@ def documents_sets(docs: DataFrame, n: int) -> DataFrame:
 
 
 def prefix_postings(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Rows of two kinds. shingle and set: a shingle of a set's first fragment; set null: in several sets. set and shared, shingle null: so many shingles of the set's fragment are in other sets too."""
+    """Rows of two kinds. shingle and set: a shingle of a set's first fragment; set null: in several sets of a task. shared set, and shingle the set's key to deal it by: so many shingles of the set's fragment are in other sets of its task."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -118,7 +120,7 @@ def prefix_postings(docs: DataFrame, n: int, percent: int) -> DataFrame:
             names = ["shingle", "set", "shared"]
             yield pa.record_batch([pa.array(hashes[keep].view(np.int64)), pa.array(sets[keep], mask=many[keep]), pa.nulls(int(keep.sum()), pa.int64())], names)
             known, shared = np.unique(sets[many], return_counts=True)
-            yield pa.record_batch([pa.nulls(len(known), pa.int64()), pa.array(known), pa.array(shared.astype(np.int64))], names)
+            yield pa.record_batch([pa.array(known), pa.array(known), pa.array(shared.astype(np.int64))], names)
 
         for batch in batches:
             for _, data, offsets in some_rows(batch):
@@ -135,13 +137,10 @@ def prefix_postings(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
 def survivors(docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
     """set and size of the sets that share enough of their first fragment with other sets."""
-    posted = kept(prefix_postings(docs, n, percent), "postings")
-    single = posted.filter(F.col("shingle").isNotNull())
-    # each task has sent a shingle once if it saw it in several sets, and with its set otherwise
-    shared = single.groupBy("shingle").agg(F.min("set").alias("low"), F.max("set").alias("high"), F.count_if(F.col("set").isNull()).alias("many"))
-    shared = shared.filter("many > 0 OR low <> high").select("shingle")
-    counts = single.filter(F.col("set").isNotNull()).join(shared, "shingle").select("set", F.lit(1).cast("long").alias("shared"))
-    counts = counts.unionByName(posted.filter("shingle IS NULL").select("set", "shared")).groupBy("set").agg(F.sum("shared").alias("shared"))
+    # each task has sent a shingle once if it saw it in several sets, and with its set otherwise: a group has a row or two for each task
+    group = Window.partitionBy("shingle")
+    posted = prefix_postings(docs, n, percent).select("shingle", "set", "shared", F.min("set").over(group).alias("low"), F.max("set").over(group).alias("high"), F.count_if(F.col("set").isNull()).over(group).alias("many"))
+    counts = posted.filter("set IS NOT NULL AND (shared IS NOT NULL OR many > 0 OR low <> high)").groupBy("set").agg(F.sum(F.coalesce("shared", F.lit(1))).alias("shared"))
     sizes = members.filter(F.col("set").isNotNull()).groupBy("set").agg(F.max("size").alias("size"))
     needed = F.greatest(F.lit(1), F.floor(F.lit(SHARED) * F.ceil(F.lit(percent) * F.col("size") / 100)))
     return sizes.join(counts, "set").filter(F.col("shared") >= needed).select("set", "size")
@@ -150,8 +149,10 @@ def survivors(docs: DataFrame, members: DataFrame, n: int, percent: int) -> Data
 def whole_sets(docs: DataFrame, members: DataFrame, left: DataFrame, n: int) -> DataFrame:
     """set, size and shingles (array, smallest first) of the sets that are left, each once."""
     ids = members.join(left.select("set"), "set", "left_semi").groupBy("set").agg(F.min("doc_id").alias("id"), F.count_if(F.col("doc_id").isNull()).alias("none"))
-    wanted = ids.select(F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.col("id")).alias("id")).distinct()
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("text")
+    wanted = kept(ids.select("id").distinct(), "wanted")
+    # ids of known number and small size spare a shuffle of all texts; more of them meet the texts in a shuffled join
+    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    texts = docs.select("doc_id", "text").join(side, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("text")
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,8 +162,9 @@ def whole_sets(docs: DataFrame, members: DataFrame, left: DataFrame, n: int) ->
                 yield pa.record_batch([pa.array(set_keys(sets, sizes)), pa.array(sizes), pa.ListArray.from_arrays(pa.array(ends), pa.array(sets.view(np.int64)))], ["set", "size", "shingles"])
 
     found = texts.mapInArrow(collect, "set long, size long, shingles array<long>").filter("size > 0")
+    found = kept(found.join(left.select("set"), "set", "left_semi"), "found")
     # copies of one set may stand under one id; a set is then kept once
-    return found.join(left.select("set"), "set", "left_semi").dropDuplicates(["set"])
+    return found if found.groupBy("set").count().filter("count > 1").isEmpty() else found.dropDuplicates(["set"])
 
 
 def signatures(sets: DataFrame, percent: int) -> DataFrame:
@@ -216,19 +218,29 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int, parts: int = PARTS)
 
 def set_components(sets: DataFrame, percent: int) -> DataFrame:
     """node and component of the sets that are linked to another."""
-    signed = kept(signatures(sets, percent).distinct(), "signatures")
+    signed = kept(signatures(sets, percent), "signatures")
     ends = signed.groupBy("signature").agg(F.min("set").alias("low"), F.max("set").alias("high")).filter("low <> high")
     met = kept(signed.join(ends, "signature"), "met")
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    stars = met.select(*pair("set", "low")).unionByName(met.select(*pair("set", "high"))).filter("a <> b").distinct()
-    found = kept(linked(stars, sets, percent), "links")
-    groups = kept(components(found), "groups")
-    # signatures whose sets are in several components yet: a set that is in none is its own
-    grouped = met.select("signature", "set").join(groups.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
-    mixed = grouped.groupBy("signature").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("signature")
-    open_ = kept(grouped.join(mixed, "signature", "left_semi"), "open")
+
+    def mixed(groups: DataFrame) -> DataFrame:
+        """signature, set and component where a signature's sets are in several components yet, with low, the first of its components; a set without links is its own."""
+        grouped = met.select("signature", "set").join(groups.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
+        several = grouped.groupBy("signature").agg(F.min(F.struct("component", "set")).alias("low"), F.max("component").alias("high")).filter("low.component <> high").select("signature", "low")
+        return kept(grouped.join(several, "signature"), "mixed")
+
+    # each set tries the first and the last set that it meets, then once more a set of another component: a few pairs for each set
+    tried = met.groupBy("set").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    tried = kept(tried.select(*pair("set", "low")).unionByName(tried.select(*pair("set", "high"))).filter("a <> b").distinct(), "tried")
+    found = kept(linked(tried, sets, percent), "links")
+    open_ = mixed(components(found))
+    again = open_.filter("component <> low.component").groupBy("set").agg(F.min("low.set").alias("low")).select(*pair("set", "low")).distinct().join(tried, ["a", "b"], "left_anti")
+    again = kept(again, "tried")
+    tried, found = tried.unionByName(again), kept(found.unionByName(linked(again, sets, percent)), "links")
+    # what is left: all pairs of sets that share a signature and are in different components
+    open_ = mixed(components(found)).select("signature", "set", "component")
     more = open_.alias("p").join(open_.alias("q"), (F.col("p.signature") == F.col("q.signature")) & (F.col("p.component") < F.col("q.component"))).select(*pair("p.set", "q.set")).distinct()
-    more = more.join(stars, ["a", "b"], "left_anti")
+    more = kept(more.join(tried, ["a", "b"], "left_anti"), "more")
     return components(found.unionByName(linked(more, sets, percent)))
 
 

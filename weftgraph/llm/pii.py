@@ -22,6 +22,7 @@ import unicodedata
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -199,11 +200,11 @@ def replace_entities(docs: DataFrame, key: bytes = KEY) -> DataFrame:
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [sorted({(k, v) for k, v, _, _ in found(t)}) for t in batch.column("_text").to_pylist()]
+            own = [sorted({(k, v) for k, v, _, _ in found(t)}) for t in pc.struct_field(batch.column("_row"), "text").to_pylist()]
             kind = pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string())]))
             yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array([[{"kind": k, "value": v} for k, v in x] for x in own], kind)], ["_row", "_found"])
 
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.col("text").alias("_text"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"))
     row_type = packed.schema["_row"].dataType.simpleString()
     marked = packed.mapInArrow(mark, f"_row {row_type}, _found array<struct<kind:string,value:string>>")
     hits = kept(marked.filter(F.size("_found") > 0).withColumn("_at", F.monotonically_increasing_id()), "hits")
@@ -215,7 +216,7 @@ def replace_entities(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     def swap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, numbers = [], []
-            for text, pairs in zip(batch.column("_text").to_pylist(), batch.column("_map").to_pylist(), strict=True):
+            for text, pairs in zip(pc.struct_field(batch.column("_row"), "text").to_pylist(), batch.column("_map").to_pylist(), strict=True):
                 new, out, at, n = {(p["kind"], p["value"]): p["surrogate"] for p in pairs}, [], 0, 0
                 for kind, value, start, end in found(text):
                     out += [text[at:start], formatted(kind, text[start:end], new[kind, value])]
@@ -224,7 +225,7 @@ def replace_entities(docs: DataFrame, key: bytes = KEY) -> DataFrame:
                 numbers.append(n)
             yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(texts, pa.string()), pa.array(numbers, pa.int64())], ["_row", "_text", "n_entities"])
 
-    swapped = hits.join(maps, "_at").select("_row", F.col("_row.text").alias("_text"), "_map").mapInArrow(swap, f"_row {row_type}, _text string, n_entities long")
+    swapped = hits.join(maps, "_at").select("_row", "_map").mapInArrow(swap, f"_row {row_type}, _text string, n_entities long")
     rest = marked.filter(F.size("_found") == 0).select("_row", F.col("_row.text").alias("_text"), F.lit(0).cast("long").alias("n_entities"))
 
     def column(c: str) -> Column:

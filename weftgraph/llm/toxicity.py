@@ -32,7 +32,7 @@ from .common import by_row, slices, span_hashes, word_bounds
 
 #: The most labelled documents of each kind that training sees, and their most bytes; longer ones are passed over, as the sample is one of documents.
 TOXIC_ROWS, CLEAN_ROWS, SAMPLE_BYTES = 1000, 2000, 8 << 20
-LANDMARKS = 200
+LANDMARKS = 160
 ROUNDS = 4
 DECAY, SIGN_STEP, SPAN = 0.5, 0.25, 6
 ALPHABET = 48
@@ -74,6 +74,8 @@ def triples(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
 
 def evaluate(words: list[bytes], weights: np.ndarray) -> np.ndarray:
     """The scaled product of each word's triples with the weights."""
+    if len(words) > 20_000:
+        return np.concatenate([evaluate(words[k : k + 20_000], weights) for k in range(0, len(words), 20_000)])
     total, norm = np.zeros(len(words)), np.zeros(len(words))
     for word, triple, weight in triples(words):
         total += np.bincount(word, weight * weights[triple], len(words))
@@ -82,12 +84,12 @@ def evaluate(words: list[bytes], weights: np.ndarray) -> np.ndarray:
 
 
 def mapped(words: list[bytes]) -> np.ndarray:
-    """The scaled triples of some words as rows."""
-    out, norm = np.zeros((len(words), ALPHABET**3), np.float32), np.zeros(len(words))
+    """The scaled triples of some words as columns."""
+    out, norm = np.zeros((ALPHABET**3, len(words)), np.float32), np.zeros(len(words))
     for word, triple, weight in triples(words):
-        np.add.at(out, (word, triple), weight)
+        np.add.at(out, (triple, word), weight)
         norm += np.bincount(word, weight * weight, len(words))
-    out /= np.sqrt(np.maximum(norm, 1e-12))[:, None].astype(np.float32)
+    out /= np.sqrt(np.maximum(norm, 1e-12)).astype(np.float32)
     return out
 
 
@@ -193,7 +195,7 @@ def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds
     # landmarks: words that lean to toxic documents most, and words of any kind
     lean = np.argsort(-score, kind="stable")[: landmarks // 2]
     marks = np.unique(np.concatenate([lean, rng.choice(len(words), min(len(words), landmarks - len(lean)), replace=False)]))
-    basis = np.ascontiguousarray(mapped([words[i] for i in marks]).T)
+    basis = mapped([words[i] for i in marks])
     gram = basis.T @ basis
     values, vectors = np.linalg.eigh(gram.astype(float))
     good = values > 1e-4 * values.max()
@@ -255,7 +257,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, parts: int = 5) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, scores = np.zeros(0, np.uint64), np.zeros(0)
         for batch in batches:
-            for part, data, offsets in slices(batch, "_text"):
+            for part, data, offsets in slices(batch, "_row.text"):
                 starts, ends, counts = word_bounds(data, offsets)
                 hashes = span_hashes(data, starts, ends)
                 unique, first = np.unique(hashes, return_index=True)
@@ -285,7 +287,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, parts: int = 5) -> DataFr
                 yield pa.RecordBatch.from_arrays([part.column("_row"), pa.array(machine.probability(best, hits, counts))], ["_row", "score"])
 
     columns = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns if c != "text"], F.col("text")).alias("_row"), F.col("text").alias("_text"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns if c != "text"], F.col("text")).alias("_row"))
     scored = packed.mapInArrow(run, f"_row {packed.schema['_row'].dataType.simpleString()}, score double")
     own = [F.col(f"_row.`{c}`").alias(c) for c in columns if c not in ("held_out", "score", "predicted")]
     return scored.select(*own, held_out(F.col("_row.doc_id"), parts).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
