@@ -6,11 +6,12 @@ fragments are ranges of it. Equal sets count once, by their content key, whateve
 1. The first fragment of each set, its share of the smallest hashes, is long enough that two linked sets share several
    shingles of it. Tasks collapse the shingles that they see in several sets, so that a passage of a third of all documents
    leaves each task as one row. Sets with too few shared shingles have no link and go no further.
-2. The sets that are left are cut into as many fragments as two linked sets of their size can differ in, and some more: at
-   least one fragment must be equal. Sets with an equal fragment are candidates. First each meets only the first and last
-   set that it shares a fragment with, then one of another component; sets that are linked so far are one component. Then
-   all pairs of sets with an equal fragment that are still in different components are candidates. So a group of thousands of near copies is linked by a few pairs for
-   each, and no link between components is missed.
+2. The sets that are left are ordered anew, shingles of few sets before those of many, so that passages which many documents
+   share come last. Two linked sets share a shingle of the first part of both. Sets that do are candidates, if enough of both
+   is left from that shingle on and their sizes allow a link. First each meets only the first and last
+   set that it shares such a shingle with, then one of another component; sets that are linked so far are one component. Then
+   all pairs of candidates that are still in different components are verified. So a group of thousands of near copies is
+   linked by a few pairs for each, and no link between components is missed.
 3. For each candidate pair every fragment of a fixed cut counts its partial overlap separately, and the counts are summed per pair.
 
 Defined cases: a null, empty or blank text has an empty set and is linked with nothing; a text of fewer words than a shingle
@@ -33,6 +34,9 @@ from .components import components
 SHARED = 0.12
 PARTS = 8
 MERGE_ROWS = 2_000_000
+#: A shingle of so many sets comes late in the order of candidates; at most so many of the commonest go to every task.
+COMMON = 4
+COMMON_ROWS = 1_000_000
 #: Most document ids that go to every task.
 BROADCAST_ROWS = 1_000_000
 _BITS = np.uint64(54)
@@ -69,22 +73,6 @@ def own_share(sizes: np.ndarray) -> np.ndarray:
     return np.maximum(1, np.floor(SHARED * sizes)).astype(np.int64)
 
 
-def classes(percent: int, most: int) -> np.ndarray:
-    """The smallest size of each size class up to one above most: linked sets are in the same class or in neighbours."""
-    out = [1]
-    while out[-1] <= most:
-        out.append(out[-1] * 100 // percent + 1)
-    return np.array([*out, out[-1] * 100 // percent + 1], np.int64)
-
-
-def fragments(starts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each class: the number of its fragments, and the number of empty ones from which a set's equal fragments may all be empty."""
-    largest = starts[1:] - 1
-    differ = (100 - percent) * (largest + largest * 100 // percent) // (100 + percent)
-    spare = 2 + differ // 30
-    return differ + spare, spare
-
-
 def documents_sets(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, set (content key; null if empty) and size of each row."""
 
@@ -167,38 +155,41 @@ def whole_sets(docs: DataFrame, members: DataFrame, left: DataFrame, n: int) ->
     return found if found.groupBy("set").count().filter("count > 1").isEmpty() else found.dropDuplicates(["set"])
 
 
-def signatures(sets: DataFrame, percent: int) -> DataFrame:
-    """signature and set: a hash of each fragment of a set, in its own size class and the one below."""
+def common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that most sets hold, smallest hash first, and in how many: those of COMMON sets or more, or of so many more that COMMON_ROWS of them stay."""
+    counts = kept(sets.select(F.explode("shingles").alias("shingle")).groupBy("shingle").count().filter(F.col("count") >= COMMON), "common")
+    # one row for each power of two decides how many sets make a shingle common
+    levels = dict(counts.groupBy(F.floor(F.log2("count")).cast("int").alias("level")).count().collect())
+    rows, least_count = 0, COMMON
+    for level in sorted(levels, reverse=True):
+        rows += levels[level]
+        if rows > COMMON_ROWS:
+            least_count = 2 << level
+            break
+    table = counts.filter(F.col("count") >= least_count).toArrow().sort_by("shingle")
+    return table["shingle"].to_numpy().astype(np.uint64), table["count"].to_numpy().astype(np.int64)
+
+
+def rare_first(sets: DataFrame, percent: int) -> DataFrame:
+    """signature, set, size and at: the shingles that come first in a set, rare ones before common ones, and their places. Linked sets share one of them."""
+    shared = sets.sparkSession.sparkContext.broadcast(common_shingles(sets))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, counts = shared.value
         for batch in batches:
             lists = batch.column("shingles")
-            values, ends = lists.flatten().to_numpy().view(np.uint64), lists.offsets.to_numpy().astype(np.int64)
-            sizes, keys = np.diff(ends), batch.column("set").to_numpy()
-            if not len(sizes):
-                continue
-            values, codes = values[: int(sizes.sum())], mix(values[: int(sizes.sum())] + np.uint64(5))
-            starts = classes(percent, int(sizes.max()))
-            number, spare = fragments(starts, percent)
-            own = np.searchsorted(starts, sizes, side="right") - 1
-            for down in (0, 1):
-                kind = own - down
-                use = kind >= 0
-                of = np.where(use, kind, 0)
-                piece = (values * np.uint64(1 << 10) >> np.uint64(32)) * np.repeat(number[of], sizes).astype(np.uint64) >> np.uint64(32)
-                row = np.repeat(np.arange(len(sizes)), sizes)
-                place = row.astype(np.uint64) << np.uint64(32) | piece
-                first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
-                told = mix(np.add.reduceat(codes, first) + mix(piece[first] + (np.repeat(of, sizes)[first].astype(np.uint64) << np.uint64(32))))
-                ok = use[row[first]]
-                yield pa.record_batch([pa.array(told[ok].view(np.int64)), pa.array(keys[row[first]][ok])], ["signature", "set"])
-                filled = np.bincount(row[first], minlength=len(sizes))
-                for r in np.flatnonzero(use & (number[of] - filled > spare[of] - 1)):
-                    empty = np.setdiff1d(np.arange(number[of[r]], dtype=np.uint64), piece[row == r])
-                    told = mix(mix(empty + (np.uint64(of[r]) << np.uint64(32))) + np.uint64(1))
-                    yield pa.record_batch([pa.array(told.view(np.int64)), pa.array(np.full(len(told), keys[r]))], ["signature", "set"])
-
-    return sets.select("set", "shingles").mapInArrow(sign, "signature long, set long")
+            sizes, keys = np.diff(lists.offsets.to_numpy().astype(np.int64)), batch.column("set").to_numpy()
+            values, row = lists.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(len(sizes)), sizes)
+            held = np.zeros(len(values), np.int64)
+            if len(common):
+                near = np.minimum(np.searchsorted(common, values), len(common) - 1)
+                held = np.where(common[near] == values, counts[near], 0)
+            order = np.lexsort((values, held, row))
+            at = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            first = at <= np.repeat(sizes - least(sizes, percent), sizes)
+            yield pa.record_batch([pa.array(values[order][first].view(np.int64)), pa.array(keys[row[first]]), pa.array(sizes[row[first]]), pa.array(at[first])], ["signature", "set", "size", "at"])
+
+    return sets.select("set", "shingles").mapInArrow(sign, "signature long, set long, size long, at long")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int, parts: int = PARTS) -> DataFrame:
@@ -218,14 +209,14 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int, parts: int = PARTS)
 
 def set_components(sets: DataFrame, percent: int) -> DataFrame:
     """node and component of the sets that are linked to another."""
-    signed = kept(signatures(sets, percent), "signatures")
+    signed = kept(rare_first(sets, percent), "signatures")
     ends = signed.groupBy("signature").agg(F.min("set").alias("low"), F.max("set").alias("high")).filter("low <> high")
     met = kept(signed.join(ends, "signature"), "met")
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
 
     def mixed(groups: DataFrame) -> DataFrame:
         """signature, set and component where a signature's sets are in several components yet, with low, the first of its components; a set without links is its own."""
-        grouped = met.select("signature", "set").join(groups.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
+        grouped = met.select("signature", "set", "size", "at").join(groups.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
         several = grouped.groupBy("signature").agg(F.min(F.struct("component", "set")).alias("low"), F.max("component").alias("high")).filter("low.component <> high").select("signature", "low")
         return kept(grouped.join(several, "signature"), "mixed")
 
@@ -238,8 +229,11 @@ def set_components(sets: DataFrame, percent: int) -> DataFrame:
     again = kept(again, "tried")
     tried, found = tried.unionByName(again), kept(found.unionByName(linked(again, sets, percent)), "links")
     # what is left: all pairs of sets that share a signature and are in different components
-    open_ = mixed(components(found)).select("signature", "set", "component")
-    more = open_.alias("p").join(open_.alias("q"), (F.col("p.signature") == F.col("q.signature")) & (F.col("p.component") < F.col("q.component"))).select(*pair("p.set", "q.set")).distinct()
+    open_ = mixed(components(found)).select("signature", "set", "component", "size", "at")
+    # the first shingle that two linked sets share stands where enough of both is left, and their sizes are near each other
+    most = F.least(F.col("p.size") - F.col("p.at"), F.col("q.size") - F.col("q.at"))
+    enough = F.lit(100 + percent) * most >= F.lit(percent) * (F.col("p.size") + F.col("q.size"))
+    more = open_.alias("p").join(open_.alias("q"), (F.col("p.signature") == F.col("q.signature")) & (F.col("p.component") < F.col("q.component")) & enough).select(*pair("p.set", "q.set")).distinct()
     more = kept(more.join(tried, ["a", "b"], "left_anti"), "more")
     return components(found.unionByName(linked(more, sets, percent)))
 
