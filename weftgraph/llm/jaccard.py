@@ -8,7 +8,7 @@ fragments are ranges of it. Equal sets count once, by their content key, whateve
    leaves each task as one row. Sets with too few shared shingles have no link and go no further.
 2. The sets that are left are ordered anew, shingles of few sets before those of many, so that passages which many documents
    share come last. Two linked sets share a shingle of the first part of both. Sets that do are candidates, if enough of both
-   is left from that shingle on and their sizes allow a link. First each meets only the first and last
+   is left from that shingle on and their sizes and marks (parities of hashed shingles) allow a link. First each meets only the first and last
    set that it shares such a shingle with, then one of another component; sets that are linked so far are one component. Then
    all pairs of candidates that are still in different components are verified. So a group of thousands of near copies is
    linked by a few pairs for each, and no link between components is missed.
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import by_row, kept, mix, shingles, slices, words
@@ -37,6 +37,8 @@ MERGE_ROWS = 2_000_000
 #: A shingle of so many sets comes late in the order of candidates; at most so many of the commonest go to every task.
 COMMON = 4
 COMMON_ROWS = 1_000_000
+#: Longs of parity bits that a set is marked with: where two marks differ in more bits than linked sets do in shingles, there is no link.
+MARKS = tuple(f"mark{k}" for k in range(4))
 #: Most document ids that go to every task.
 BROADCAST_ROWS = 1_000_000
 _BITS = np.uint64(54)
@@ -171,7 +173,7 @@ def common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def rare_first(sets: DataFrame, percent: int) -> DataFrame:
-    """signature, set, size and at: the shingles that come first in a set, rare ones before common ones, and their places. Linked sets share one of them."""
+    """signature, set, size, at and marks: the shingles that come first in a set, rare ones before common ones, and their places. Linked sets share one of them."""
     shared = sets.sparkSession.sparkContext.broadcast(common_shingles(sets))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,16 +189,26 @@ def rare_first(sets: DataFrame, percent: int) -> DataFrame:
             order = np.lexsort((values, held, row))
             at = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             first = at <= np.repeat(sizes - least(sizes, percent), sizes)
-            yield pa.record_batch([pa.array(values[order][first].view(np.int64)), pa.array(keys[row[first]]), pa.array(sizes[row[first]]), pa.array(at[first])], ["signature", "set", "size", "at"])
+            bits = 64 * len(MARKS)
+            odd = np.bincount(row * bits + (values % np.uint64(bits)).astype(np.int64), minlength=len(sizes) * bits) & 1
+            marks = np.packbits(odd.astype(bool).reshape(len(sizes), bits), axis=1).view(np.int64)[row[first]]
+            columns = [values[order][first].view(np.int64), keys[row[first]], sizes[row[first]], at[first], *(np.ascontiguousarray(m) for m in marks.T)]
+            yield pa.record_batch([pa.array(c) for c in columns], ["signature", "set", "size", "at", *MARKS])
 
-    return sets.select("set", "shingles").mapInArrow(sign, "signature long, set long, size long, at long")
+    return sets.select("set", "shingles").mapInArrow(sign, "signature long, set long, size long, at long, " + ", ".join(f"{m} long" for m in MARKS))
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int, parts: int = PARTS) -> DataFrame:
-    """The pairs (a, b) of which the sets are linked: overlaps counted by fragment and summed. Sizes decide first."""
-    sizes = sets.select("set", "size")
-    pairs = pairs.join(sizes.withColumnsRenamed({"set": "a", "size": "na"}), "a").join(sizes.withColumnsRenamed({"set": "b", "size": "nb"}), "b")
-    pairs = pairs.filter((F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")))
+def may_link(a: str, b: str, percent: int) -> Column:
+    """Whether the sizes and marks of two sets, under these prefixes of their columns, allow a link."""
+    na, nb = F.col(f"{a}size"), F.col(f"{b}size")
+    differ = sum((F.bit_count(F.col(a + m).bitwiseXOR(F.col(b + m))) for m in MARKS), F.lit(0))
+    return (F.lit(100) * F.least(na, nb) >= F.lit(percent) * F.greatest(na, nb)) & (F.lit(100 + percent) * differ <= F.lit(100 - percent) * (na + nb))
+
+
+def linked(pairs: DataFrame, sets: DataFrame, marks: DataFrame, percent: int, parts: int = PARTS) -> DataFrame:
+    """The pairs (a, b) of which the sets are linked: overlaps counted by fragment and summed. Sizes and marks decide first."""
+    side = lambda x: marks.select(F.col("set").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("size", *MARKS)))
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").filter(may_link("a_", "b_", percent)).select("a", "b", F.col("a_size").alias("na"), F.col("b_size").alias("nb"))
     step = (1 << 54) // parts
     cut = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda k: F.struct(k.alias("part"), F.filter("shingles", lambda h: F.floor(h / F.lit(step)) == k).alias("held")))
     pieces = sets.select("set", F.explode(cut).alias("f")).select("set", "f.part", "f.held").filter(F.size("held") > 0)
@@ -210,32 +222,33 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int, parts: int = PARTS)
 def set_components(sets: DataFrame, percent: int) -> DataFrame:
     """node and component of the sets that are linked to another."""
     signed = kept(rare_first(sets, percent), "signatures")
+    marks = signed.filter("at = 0").select("set", "size", *MARKS)
     ends = signed.groupBy("signature").agg(F.min("set").alias("low"), F.max("set").alias("high")).filter("low <> high")
     met = kept(signed.join(ends, "signature"), "met")
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
 
     def mixed(groups: DataFrame) -> DataFrame:
         """signature, set and component where a signature's sets are in several components yet, with low, the first of its components; a set without links is its own."""
-        grouped = met.select("signature", "set", "size", "at").join(groups.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
+        grouped = met.drop("low", "high").join(groups.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
         several = grouped.groupBy("signature").agg(F.min(F.struct("component", "set")).alias("low"), F.max("component").alias("high")).filter("low.component <> high").select("signature", "low")
         return kept(grouped.join(several, "signature"), "mixed")
 
     # each set tries the first and the last set that it meets, then once more a set of another component: a few pairs for each set
     tried = met.groupBy("set").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     tried = kept(tried.select(*pair("set", "low")).unionByName(tried.select(*pair("set", "high"))).filter("a <> b").distinct(), "tried")
-    found = kept(linked(tried, sets, percent), "links")
+    found = kept(linked(tried, sets, marks, percent), "links")
     open_ = mixed(components(found))
     again = open_.filter("component <> low.component").groupBy("set").agg(F.min("low.set").alias("low")).select(*pair("set", "low")).distinct().join(tried, ["a", "b"], "left_anti")
     again = kept(again, "tried")
-    tried, found = tried.unionByName(again), kept(found.unionByName(linked(again, sets, percent)), "links")
+    tried, found = tried.unionByName(again), kept(found.unionByName(linked(again, sets, marks, percent)), "links")
     # what is left: all pairs of sets that share a signature and are in different components
-    open_ = mixed(components(found)).select("signature", "set", "component", "size", "at")
-    # the first shingle that two linked sets share stands where enough of both is left, and their sizes are near each other
+    open_ = mixed(components(found)).drop("low")
+    # the first shingle that two linked sets share stands where enough of both is left
     most = F.least(F.col("p.size") - F.col("p.at"), F.col("q.size") - F.col("q.at"))
     enough = F.lit(100 + percent) * most >= F.lit(percent) * (F.col("p.size") + F.col("q.size"))
-    more = open_.alias("p").join(open_.alias("q"), (F.col("p.signature") == F.col("q.signature")) & (F.col("p.component") < F.col("q.component")) & enough).select(*pair("p.set", "q.set")).distinct()
+    more = open_.alias("p").join(open_.alias("q"), (F.col("p.signature") == F.col("q.signature")) & (F.col("p.component") < F.col("q.component")) & enough & may_link("p.", "q.", percent)).select(*pair("p.set", "q.set")).distinct()
     more = kept(more.join(tried, ["a", "b"], "left_anti"), "more")
-    return components(found.unionByName(linked(more, sets, percent)))
+    return components(found.unionByName(linked(more, sets, marks, percent)))
 
 
 def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
