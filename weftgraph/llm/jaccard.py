@@ -9,9 +9,10 @@ fragments are ranges of it. Equal sets count once, by their content key, whateve
 2. The sets that are left are ordered anew, shingles of few sets before those of many, so that passages which many documents
    share come last. Two linked sets share a shingle of the first part of both. Sets that do are candidates, if enough of both
    is left from that shingle on and their sizes and marks (parities of hashed shingles) allow a link. First each meets only the first and last
-   set that it shares such a shingle with, then one of another component; sets that are linked so far are one component. Then
-   all pairs of candidates that are still in different components are verified. So a group of thousands of near copies is
-   linked by a few pairs for each, and no link between components is missed.
+   set that it shares such a shingle with; sets that are linked so far are one component. Pairs of candidates in different
+   components are made; in two rounds each component tries the pair of nearest marks, and then all pairs that are still
+   between components are verified. So a group of thousands of near copies is linked by a few pairs for each, and no link
+   between components is missed.
 3. For each candidate pair every fragment of a fixed cut counts its partial overlap separately, and the counts are summed per pair.
 
 Defined cases: a null, empty or blank text has an empty set and is linked with nothing; a text of fewer words than a shingle
@@ -32,6 +33,8 @@ from .common import by_row, kept, mix, shingles, slices, words
 from .components import components
 
 SHARED = 0.12
+#: Rounds in which each component tries one pair, before all that are left are verified.
+ROUNDS = 2
 PARTS = 8
 MERGE_ROWS = 2_000_000
 #: A shingle of so many sets comes late in the order of candidates; at most so many of the commonest go to every task.
@@ -198,11 +201,15 @@ def rare_first(sets: DataFrame, percent: int) -> DataFrame:
     return sets.select("set", "shingles").mapInArrow(sign, "signature long, set long, size long, at long, " + ", ".join(f"{m} long" for m in MARKS))
 
 
+def differ(a: str, b: str) -> Column:
+    """In how many bits the marks of two sets, under these prefixes of their columns, differ: never more than the shingles that only one of them holds."""
+    return sum((F.bit_count(F.col(a + m).bitwiseXOR(F.col(b + m))) for m in MARKS), F.lit(0))
+
+
 def may_link(a: str, b: str, percent: int) -> Column:
-    """Whether the sizes and marks of two sets, under these prefixes of their columns, allow a link."""
+    """Whether sizes and marks allow a link."""
     na, nb = F.col(f"{a}size"), F.col(f"{b}size")
-    differ = sum((F.bit_count(F.col(a + m).bitwiseXOR(F.col(b + m))) for m in MARKS), F.lit(0))
-    return (F.lit(100) * F.least(na, nb) >= F.lit(percent) * F.greatest(na, nb)) & (F.lit(100 + percent) * differ <= F.lit(100 - percent) * (na + nb))
+    return (F.lit(100) * F.least(na, nb) >= F.lit(percent) * F.greatest(na, nb)) & (F.lit(100 + percent) * differ(a, b) <= F.lit(100 - percent) * (na + nb))
 
 
 def linked(pairs: DataFrame, sets: DataFrame, marks: DataFrame, percent: int, parts: int = PARTS) -> DataFrame:
@@ -227,28 +234,34 @@ def set_components(sets: DataFrame, percent: int) -> DataFrame:
     met = kept(signed.join(ends, "signature"), "met")
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
 
-    def mixed(groups: DataFrame) -> DataFrame:
-        """signature, set and component where a signature's sets are in several components yet, with low, the first of its components; a set without links is its own."""
-        grouped = met.drop("low", "high").join(groups.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
-        several = grouped.groupBy("signature").agg(F.min(F.struct("component", "set")).alias("low"), F.max("component").alias("high")).filter("low.component <> high").select("signature", "low")
-        return kept(grouped.join(several, "signature"), "mixed")
-
-    # each set tries the first and the last set that it meets, then once more a set of another component: a few pairs for each set
+    # each set tries the first and the last set that it meets
     tried = met.groupBy("set").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     tried = kept(tried.select(*pair("set", "low")).unionByName(tried.select(*pair("set", "high"))).filter("a <> b").distinct(), "tried")
     found = kept(linked(tried, sets, marks, percent), "links")
-    open_ = mixed(components(found))
-    again = open_.filter("component <> low.component").groupBy("set").agg(F.min("low.set").alias("low")).select(*pair("set", "low")).distinct().join(tried, ["a", "b"], "left_anti")
-    again = kept(again, "tried")
-    tried, found = tried.unionByName(again), kept(found.unionByName(linked(again, sets, marks, percent)), "links")
-    # what is left: all pairs of sets that share a signature and are in different components
-    open_ = mixed(components(found)).drop("low")
+    groups = components(found)
+    # pairs of sets in different components yet; a set without links is its own
+    grouped = met.drop("low", "high").join(groups.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
+    several = grouped.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("signature")
+    open_ = kept(grouped.join(several, "signature"), "open")
     # the first shingle that two linked sets share stands where enough of both is left
     most = F.least(F.col("p.size") - F.col("p.at"), F.col("q.size") - F.col("q.at"))
     enough = F.lit(100 + percent) * most >= F.lit(percent) * (F.col("p.size") + F.col("q.size"))
-    more = open_.alias("p").join(open_.alias("q"), (F.col("p.signature") == F.col("q.signature")) & (F.col("p.component") < F.col("q.component")) & enough & may_link("p.", "q.", percent)).select(*pair("p.set", "q.set")).distinct()
-    more = kept(more.join(tried, ["a", "b"], "left_anti"), "more")
-    return components(found.unionByName(linked(more, sets, marks, percent)))
+    pairs = open_.alias("p").join(open_.alias("q"), (F.col("p.signature") == F.col("q.signature")) & (F.col("p.component") < F.col("q.component")) & enough & may_link("p.", "q.", percent))
+    pairs = kept(pairs.select(*pair("p.set", "q.set"), differ("p.", "q.").alias("differ")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    # in each round every component tries its nearest pair by marks; what is then still between two components is verified whole
+    for last in (False,) * ROUNDS + (True,):
+        names = groups.select(F.col("node"), F.col("component"))
+        pairs = pairs.join(names.withColumnsRenamed({"node": "a", "component": "ca"}), "a", "left").join(names.withColumnsRenamed({"node": "b", "component": "cb"}), "b", "left")
+        pairs = pairs.withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}).filter("ca <> cb")
+        now = pairs.select("a", "b")
+        if not last:
+            pairs = kept(pairs, "pairs")
+            ends = pairs.select(F.explode(F.array("ca", "cb")).alias("c"), F.struct("differ", "a", "b").alias("nearest"))
+            now = kept(ends.groupBy("c").agg(F.min("nearest").alias("nearest")).select("nearest.a", "nearest.b").distinct(), "tried")
+            pairs = pairs.select("a", "b", "differ").join(now, ["a", "b"], "left_anti")
+        found = kept(found.unionByName(linked(now, sets, marks, percent)), "links")
+        groups = components(found)
+    return groups
 
 
 def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
