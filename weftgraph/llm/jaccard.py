@@ -8,9 +8,9 @@ fragments are ranges of it. Equal sets count once, by their content key, whateve
    leaves each task as one row. Sets with too few shared shingles have no link and go no further.
 2. The sets that are left are ordered anew, shingles of few sets before those of many, so that passages which many documents
    share come last. Two linked sets share a shingle of the first part of both. Sets that do are candidates, if enough of both
-   is left from that shingle on and their sizes and marks (parities of hashed shingles) allow a link. First each meets only the first and last
-   set that it shares such a shingle with; sets that are linked so far are one component. Pairs of candidates in different
-   components are made; in two rounds each component tries the pair of nearest marks, and then all pairs that are still
+   is left from that shingle on and their sizes and marks (parities of hashed shingles) allow a link. In a few turns each shingle names some of its sets, and each set
+   tries the nearest of those that its shingles name; sets that are linked so far are one component. Pairs of candidates in
+   different components are made; in two rounds each component tries the pair of nearest marks, and then all pairs that are still
    between components are verified. So a group of thousands of near copies is linked by a few pairs for each, and no link
    between components is missed.
 3. For each candidate pair every fragment of a fixed cut counts its partial overlap separately, and the counts are summed per pair.
@@ -29,10 +29,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_row, kept, mix, shingles, slices, words
+from .common import kept, mix, shingles, slices, words
 from .components import components
 
 SHARED = 0.12
+#: Turns in which each set tries one set that its shingles name, before any pairs are made, and half of the sets that a shingle names.
+TURNS = 3
+HUBS = 4
 #: Rounds in which each component tries one pair, before all that are left are verified.
 ROUNDS = 2
 PARTS = 8
@@ -212,6 +215,12 @@ def may_link(a: str, b: str, percent: int) -> Column:
     return (F.lit(100) * F.least(na, nb) >= F.lit(percent) * F.greatest(na, nb)) & (F.lit(100 + percent) * differ(a, b) <= F.lit(100 - percent) * (na + nb))
 
 
+def enough(a: str, b: str, percent: int) -> Column:
+    """Whether both sets have so many shingles left, from a shared one on, that they may be linked by it and those after it."""
+    left = F.least(F.col(f"{a}size") - F.col(f"{a}at"), F.col(f"{b}size") - F.col(f"{b}at"))
+    return F.lit(100 + percent) * left >= F.lit(percent) * (F.col(f"{a}size") + F.col(f"{b}size"))
+
+
 def linked(pairs: DataFrame, sets: DataFrame, marks: DataFrame, percent: int, parts: int = PARTS) -> DataFrame:
     """The pairs (a, b) of which the sets are linked: overlaps counted by fragment and summed. Sizes and marks decide first."""
     side = lambda x: marks.select(F.col("set").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("size", *MARKS)))
@@ -226,28 +235,41 @@ def linked(pairs: DataFrame, sets: DataFrame, marks: DataFrame, percent: int, pa
     return summed.filter(F.lit(100) * F.col("shared") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
 
 
+def tries(placed: DataFrame, turn: int, percent: int) -> DataFrame:
+    """At most one pair (a, b) for each set: each shingle names up to 2 * HUBS of its sets, drawn anew each turn, and a set tries the one of nearest marks among all of other components that its shingles name."""
+    lot = F.xxhash64("set", "signature", F.lit(turn))
+    draw = F.struct(lot.alias("lot"), "component", "set", "size", "at", *MARKS)
+    named = placed.groupBy("signature", F.pmod(lot, F.lit(HUBS)).alias("hub")).agg(F.min(draw).alias("low"), F.max(draw).alias("high"))
+    met = placed.alias("p").join(named.alias("n"), "signature")
+
+    def near(hub: str) -> Column:
+        fits = (F.col("p.component") != F.col(f"{hub}component")) & enough("p.", hub, percent) & may_link("p.", hub, percent)
+        return F.when(fits, F.struct(differ("p.", hub).alias("differ"), F.col(f"{hub}set").alias("other")))
+
+    best = met.groupBy("p.set").agg(F.min(F.least(near("n.low."), near("n.high."))).alias("best")).filter("best IS NOT NULL")
+    return best.select(F.least("set", "best.other").alias("a"), F.greatest("set", "best.other").alias("b")).distinct()
+
+
 def set_components(sets: DataFrame, percent: int) -> DataFrame:
     """node and component of the sets that are linked to another."""
     signed = kept(rare_first(sets, percent), "signatures")
     marks = signed.filter("at = 0").select("set", "size", *MARKS)
-    ends = signed.groupBy("signature").agg(F.min("set").alias("low"), F.max("set").alias("high")).filter("low <> high")
-    met = kept(signed.join(ends, "signature"), "met")
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-
-    # each set tries the first and the last set that it meets
-    tried = met.groupBy("set").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    tried = kept(tried.select(*pair("set", "low")).unionByName(tried.select(*pair("set", "high"))).filter("a <> b").distinct(), "tried")
-    found = kept(linked(tried, sets, marks, percent), "links")
-    groups = components(found)
-    # pairs of sets in different components yet; a set without links is its own
-    grouped = met.drop("low", "high").join(groups.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
-    several = grouped.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("signature")
-    open_ = kept(grouped.join(several, "signature"), "open")
-    # the first shingle that two linked sets share stands where enough of both is left
-    most = F.least(F.col("p.size") - F.col("p.at"), F.col("q.size") - F.col("q.at"))
-    enough = F.lit(100 + percent) * most >= F.lit(percent) * (F.col("p.size") + F.col("q.size"))
-    pairs = open_.alias("p").join(open_.alias("q"), (F.col("p.signature") == F.col("q.signature")) & (F.col("p.component") < F.col("q.component")) & enough & may_link("p.", "q.", percent))
-    pairs = kept(pairs.select(*pair("p.set", "q.set"), differ("p.", "q.").alias("differ")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    shared = signed.groupBy("signature").agg(F.min("set").alias("low"), F.max("set").alias("high")).filter("low <> high").select("signature")
+    placed = kept(signed.join(shared, "signature").withColumn("component", F.col("set")), "placed")
+    found = groups = None
+    for turn in range(TURNS):
+        tried = kept(tries(placed, turn, percent), "tried")
+        links = linked(tried, sets, marks, percent)
+        found = kept(links if found is None else found.unionByName(links).distinct(), "links")
+        groups = components(found)
+        # only shingles of sets in different components are looked at again; a set without links is its own component
+        named = placed.drop("component").join(groups.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
+        several = named.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("signature")
+        placed = kept(named.join(several, "signature"), "placed")
+    # all pairs that are still between components; the first shingle that two linked sets share stands where enough of both is left
+    fits = (F.col("p.component") < F.col("q.component")) & enough("p.", "q.", percent) & may_link("p.", "q.", percent)
+    pairs = placed.alias("p").join(placed.alias("q"), (F.col("p.signature") == F.col("q.signature")) & fits)
+    pairs = kept(pairs.select(F.least("p.set", "q.set").alias("a"), F.greatest("p.set", "q.set").alias("b"), differ("p.", "q.").alias("differ")).distinct(), "pairs")
     # in each round every component tries its nearest pair by marks; what is then still between two components is verified whole
     for last in (False,) * ROUNDS + (True,):
         names = groups.select(F.col("node"), F.col("component"))
