@@ -6,8 +6,9 @@ number of words. A slice never splits a row; memory is bounded by ``SLICE_BYTES`
 
 from __future__ import annotations
 
+import pickle
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -45,6 +46,20 @@ def kept(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def learnt(rows: DataFrame, fit: Callable[[Iterator[dict]], object]) -> object:
+    """What fit makes of the rows, a sample of bounded size, in their order. It works in one task: the driver holds neither the rows nor what fit needs meanwhile."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = (row for batch in batches for at in range(0, batch.num_rows, 64) for row in batch.slice(at, 64).to_pylist())
+        found = fit(each)
+        for _ in each:  # the rows that fit leaves are read too, as the worker is used again
+            pass
+        yield pa.record_batch([pa.array([pickle.dumps(found)], pa.binary())], ["found"])
+
+    found = rows.coalesce(1).mapInArrow(run, "found binary").first()
+    return pickle.loads(found[0]) if found else fit(iter(()))
+
+
 @lru_cache(maxsize=4)
 def _powers(base: int, bits: int) -> np.ndarray:
     out = np.full(1 << bits, base, np.uint64)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_row, slices, span_hashes, word_bounds
+from .common import by_row, learnt, slices, span_hashes, word_bounds
 
 #: The most labelled documents of each kind that training sees, and their most bytes; longer ones are passed over, as the sample is one of documents.
 TOXIC_ROWS, CLEAN_ROWS, SAMPLE_BYTES = 1000, 2000, 8 << 20
@@ -227,8 +227,8 @@ def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds
     return Machine(weights, bias, logistic(np.column_stack(evidence(best, hits, size)), y.astype(float)), float(y.mean()))
 
 
-def sample(docs: DataFrame, labels: DataFrame, parts: int, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> tuple[list[str], list[int]]:
-    """Texts and labels of a bounded sample of the training rows, the same at each run: the ids of the smallest hashes."""
+def sample(docs: DataFrame, labels: DataFrame, parts: int, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> DataFrame:
+    """text and toxic of a bounded sample of the training rows, the same at each run: the ids of the smallest hashes."""
     from .suffix_tree import held_out
 
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"), parts)).select("doc_id", "toxic").distinct()
@@ -239,20 +239,25 @@ def sample(docs: DataFrame, labels: DataFrame, parts: int, toxic_rows: int = TOX
     ids = docs.sparkSession.createDataFrame(picked.collect(), picked.schema)
     each = F.octet_length("text") <= SAMPLE_BYTES // 40
     rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & each).join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(toxic_rows + clean_rows)
+    return rows.select("text", "toxic")
+
+
+def machine_of(rows: Iterator[dict]) -> Machine:
+    """The machine of the sample's first SAMPLE_BYTES of texts."""
     texts, marks, room = [], [], SAMPLE_BYTES
-    for r in rows.select("text", "toxic").toLocalIterator():
+    for r in rows:
         if (room := room - len(r["text"].encode("utf-8", "replace"))) < 0:
             break
         texts.append(r["text"])
         marks.append(int(r["toxic"]))
-    return texts, marks
+    return train(texts, marks)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, parts: int = 5) -> DataFrame:
     """All columns of docs, then held_out, score (0 to 1) and predicted (1 if score >= 0.5) of each row."""
     from .suffix_tree import held_out
 
-    machine = train(*sample(docs, labels, parts))
+    machine = learnt(sample(docs, labels, parts), machine_of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, scores = np.zeros(0, np.uint64), np.zeros(0)
