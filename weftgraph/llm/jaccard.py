@@ -10,7 +10,7 @@ fragments are ranges of it. Equal sets count once, by their content key, whateve
    share come last. Two linked sets share a shingle of the first part of both. Sets that do are candidates, if enough of both
    is left from that shingle on and their sizes and marks (parities of hashed shingles) allow a link. In a few turns each shingle names some of its sets, and each set
    tries the nearest of those that its shingles name; sets that are linked so far are one component. Pairs of candidates in
-   different components are made; in two rounds each component tries the pair of nearest marks, and then all pairs that are still
+   different components are made; each component first tries the pair of nearest marks, and then all pairs that are still
    between components are verified. So a group of thousands of near copies is linked by a few pairs for each, and no link
    between components is missed.
 3. For each candidate pair every fragment of a fixed cut counts its partial overlap separately, and the counts are summed per pair.
@@ -34,10 +34,10 @@ from .components import components
 
 SHARED = 0.12
 #: Turns in which each set tries one set that its shingles name, before any pairs are made, and half of the sets that a shingle names.
-TURNS = 3
+TURNS = 2
 HUBS = 4
 #: Rounds in which each component tries one pair, before all that are left are verified.
-ROUNDS = 2
+ROUNDS = 1
 PARTS = 8
 MERGE_ROWS = 2_000_000
 #: A shingle of so many sets comes late in the order of candidates; at most so many of the commonest go to every task.
