@@ -153,6 +153,27 @@ def test_decontamination_finds_edited_copies(spark, docs):
     assert decontaminate.benchmark_matches(some, bench.limit(0)).count() == 0
 
 
+def test_decontamination_loses_no_alignment(spark):
+    rng = random.Random(5)
+    items = [text(rng, n) for n in (40, 20, 24, 30, 7, 4, 3, 12)]
+    rows = []
+    for item in items:
+        for every in (2, 3, 4, 5, 6, 7):
+            for edit in ("replace", "insert", "drop"):
+                w = [x for k, x in enumerate(item.split()) for x in ([x] if (k + 1) % every else {"replace": ["other"], "insert": [x, "other"], "drop": []}[edit])]
+                rows.append((len(rows), f"{text(rng, 30)} {' '.join(w)} {text(rng, 30)}"))
+    rows += [(len(rows) + k, items[0]) for k in range(20)]  # copies make the kept words commoner than the edited ones
+    hashed = lambda t: common.words(*common.utf8(pa.array([t])), between=common.SIGNS)[0]
+    want = {}
+    for d, t in rows:
+        for i, item in enumerate(items):
+            if (score := decontaminate.align(hashed(item), hashed(t)) / len(item.split())) >= decontaminate.THRESHOLD:
+                want[d, i] = score
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = decontaminate.benchmark_matches(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert {(r["doc_id"], r["item_id"]): r["similarity"] for r in got} == want and {d for d, i in want if i == 0} >= {3, 6, 9, 12, 15}
+
+
 def test_surrogates(spark):
     rows = [(1, "Mail Bob.Lee7@corp.example.org or bob.lee7@corp.example.org", 0), (2, "call +1 (555) 010-2030, card 4111 1111 1111 1111 and 4111111111111111", 0), (3, "Frau Anna Weber met Herr Weber", 0), (4, "from 10.1.2.3 with password=hunter22x", 0), (5, None, 0), (6, "version 1.2 of 2024, plain", 26)]
     got = {r["doc_id"]: r for r in pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string, n_chars long")).collect()}
