@@ -190,6 +190,33 @@ def test_surrogates(spark):
     assert len(table) == 600 == len({(r["kind"], r["surrogate"]) for r in table}) and not {r["surrogate"] for r in table} & {r["value"] for r in table}
 
 
+def test_surrogates_whatever_the_characters(spark):
+    arabic = str.maketrans("0123456789", "٠١٢٣٤٥٦٧٨٩")
+    rows = [(1, "password=**** and passwd=密码密码"), (2, "1: card " + "4111111111111111".translate(arabic)), (3, "4111 1111 1111 1111 and " + "5500000000000".translate(arabic)), (4, "call " + "+49 30 1234567".translate(arabic) + " now"), (5, "api_key=½½½½")]
+    got = {r["doc_id"]: r for r in pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k]["n_entities"] for k in range(1, 6)] == [2, 1, 2, 1, 1]
+    assert not re.search(r"=\*{4}|密码密码", got[1]["text"]) and "½" not in got[5]["text"]
+    a, b = re.search(r"card ([٠-٩]{16})$", got[2]["text"])[1], re.match(r"(\d{4} ){3}\d{4}", got[3]["text"])[0]
+    assert pii.ascii_digits(a) == b.replace(" ", "") != "4111111111111111" and got[4]["text"] != rows[3][1]
+
+
+def test_surrogates_get_longer_when_a_format_is_used_up(spark):
+    every = spark.createDataFrame([("password", f"{k:04d}") for k in range(10000)] + [("card", "4111111111111111")], "kind string, value string")
+    table = pii.surrogate_table(every, most=2).collect()
+    assert len({r["surrogate"] for r in table}) == 10001 and not {r["surrogate"] for r in table} & {r["value"] for r in table}
+    for kind, value in [("ip", "1.2.3.4"), ("family", "weber"), ("email", "a@b.org"), ("access", "AKIA" + "B" * 16), ("secret", "a1" * 16), ("iban", "DE89370400440532013000"), ("card", "4111111111111111"), ("phone", "4930123456"), ("ssn", "123456789")]:
+        new = pii.surrogate(kind, value, 50, longer=3)
+        assert len(new) > len(pii.surrogate(kind, value, 50)) and (kind != "card" or pii.luhn(new)) and len(pii.formatted(kind, value, new)) == len(new)
+
+
+def test_surrogates_of_names_without_a_title(spark):
+    rows = [(1, "Frau Anna Weber came. Later Weber's car and WEBER, then Anna-Maria; a weber, Webers"), (2, "Weber alone"), (3, "Then Weber wrote to x.weber@Weber.example.org. Herr Weber left")]
+    got = {r["doc_id"]: r for r in pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    given, family, again, upper, anna = re.fullmatch(r"Frau (\w+) (\w+) came. Later (\w+)'s car and (\w+), then (\w+)-Maria; a weber, Webers", got[1]["text"]).groups()
+    assert again == family == upper.title() and upper.isupper() and anna == given and got[1]["n_entities"] == 5
+    assert got[2]["text"] == rows[1][1] and "Weber" not in got[3]["text"] and got[3]["text"].startswith(f"Then {family} wrote") and got[3]["n_entities"] == 3
+
+
 def test_toxicity_holds_for_gapped_insults():
     rng = random.Random(2)
     clean = [". ".join(text(rng, 12) for _ in range(4)) for _ in range(150)]

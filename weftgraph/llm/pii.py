@@ -4,8 +4,10 @@ Entities (e-mail addresses, telephone, card and account numbers, network address
 in whole texts. Each distinct value gets one surrogate, made by a key: of the same type and format (length, separators,
 case, country code, checksum), and for names of the same gender and script. A value's surrogate is the same wherever it
 stands, in whatever format (coreference); given and family names are values of their own, so that a later mention by family
-name still fits. Surrogates are checked over the whole corpus: where two values of a type would share one, or one would be
-a value that stands in the corpus, all but the first are made again from another draw until none is left (distinctness).
+name still fits. Names found after a title are replaced at their untitled mentions in the same text too, where they begin
+with no small letter. Digits of any script are digits, and keep their script. Surrogates are checked over the whole corpus: where two values of a type would share one, or one would be
+a value that stands in the corpus, all but the first are made again from another draw until none is left (distinctness); when
+the space of a format is used up, surrogates get longer.
 
 Only rows with entities meet the table of surrogates, by value; all other rows pass through without a shuffle.
 
@@ -20,6 +22,7 @@ import hmac
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -57,7 +60,8 @@ PATTERN = re.compile(
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,5}\)[ .-]?\d{2,4}(?:[ .-]\d{2,5}){1,3}(?!\w)|(?<!\w)\+\d{1,3}(?:[ .-]?\d{2,5}){2,5}(?!\w)|(?<![\w.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\w-]))"
     rf"|(?P<name>(?<!\w)(?P<title>{'|'.join(sorted(TITLES, key=len, reverse=True))})\.?\s(?:{_NAME}\s)?{_NAME})"
 )
-_MAYBE = re.compile(rf"[@0-9=]|(?:{'|'.join(sorted(TITLES, key=len, reverse=True))})\.?\s")
+_MAYBE = re.compile(rf"[@\d=]|(?:{'|'.join(sorted(TITLES, key=len, reverse=True))})\.?\s")
+_MENTION = re.compile(rf"(?<!\w){_NAME}(?!\w)")
 
 
 def script(text: str) -> str:
@@ -72,11 +76,16 @@ def luhn(digits: str) -> bool:
     return sum(sum(divmod(int(d) * (1 + k % 2), 10)) for k, d in enumerate(reversed(digits))) % 10 == 0
 
 
+def ascii_digits(text: str) -> str:
+    return text if text.isascii() else "".join(str(unicodedata.decimal(c, c)) for c in text)
+
+
 def values(match: re.Match) -> list[tuple[str, str, int, int]]:
     """Type, canonical value, start and end of each value of a match."""
     kind = match.lastgroup if match.lastgroup != "title" else "name"
     text, start = match[0], match.start()
     if kind != "name":
+        text = text if kind == "password" else ascii_digits(text)
         canon = text.lower() if kind in ("email", "secret") else re.sub(r"[^0-9A-Za-z]", "", text).upper() if kind in ("iban", "card", "ssn", "phone") else text
         return [(kind, canon, start, match.end())]
     words = [(m[0], start + m.start(), start + m.end()) for m in re.finditer(r"\S+", text)][1:]
@@ -88,7 +97,24 @@ def values(match: re.Match) -> list[tuple[str, str, int, int]]:
 def found(text: str | None) -> list[tuple[str, str, int, int]]:
     if not text or not _MAYBE.search(text):
         return []
-    return [v for m in PATTERN.finditer(text) for v in values(m)]
+    titled = [v for m in PATTERN.finditer(text) for v in values(m)]
+    names: dict[str, str] = {}
+    for kind, value, _, _ in titled:
+        if kind == "family" or kind.startswith("given_"):
+            names[value] = "family" if "family" in (kind, names.get(value)) else names.get(value, kind)
+    return sorted(titled + untitled(text, names, titled), key=lambda v: v[2]) if names else titled
+
+
+def untitled(text: str, names: dict[str, str], titled: list[tuple[str, str, int, int]]) -> list[tuple[str, str, int, int]]:
+    """Mentions of the names outside of what has been found: whole, or as parts of compounds."""
+    out, k = [], 0
+    for m in _MENTION.finditer(text):
+        for w in [m] if m[0].casefold() in names else re.compile(r"[^\W\d_]+").finditer(text, m.start(), m.end()):
+            while k < len(titled) and titled[k][3] <= w.start():
+                k += 1
+            if (name := w[0].casefold()) in names and not w[0][0].islower() and (k == len(titled) or w.end() <= titled[k][2]):
+                out.append((names[name], name, w.start(), w.end()))
+    return out
 
 
 class _Draw:
@@ -106,12 +132,17 @@ class _Draw:
         return out
 
 
-def surrogate(kind: str, value: str, attempt: int, key: bytes = KEY) -> str:
-    """The canonical surrogate of a canonical value."""
+#: What signs are drawn from where a password has nothing else.
+SIGNS = "!#$%()*+-./:?@[]^_{}~"
+
+
+def surrogate(kind: str, value: str, attempt: int, key: bytes = KEY, longer: int = 0) -> str:
+    """The canonical surrogate of a canonical value. longer: by so many characters, syllables or numbers."""
     draw = _Draw(key, kind, value, attempt)
     digit = lambda: str(draw.below(10))
+    letters = "abcdefghijklmnopqrstuvwxyz"
     if kind == "ip":
-        return ".".join(str(1 + draw.below(254)) for _ in range(4))
+        return ".".join(str(1 + draw.below(254)) for _ in range(4 + longer))
     if kind.startswith("given_") or kind == "family":
         way = script(value)
         pool = GIVEN.get((way, kind[-1])) or GIVEN[(way, "m")] if kind != "family" else None
@@ -119,39 +150,39 @@ def surrogate(kind: str, value: str, attempt: int, key: bytes = KEY) -> str:
             return pool[draw.below(len(pool))].casefold()
         parts = SYLLABLES[way]
         ending = {"latin": {"f": "a", "m": "o"}, "cyrillic": {"f": "а", "m": "ий"}, "greek": {"f": "α", "m": "ος"}}[way].get(kind[-1], "") if pool else ""
-        return "".join(parts[draw.below(len(parts))] for _ in range(2 + min(attempt // 2, 6))) + ending
+        return "".join(parts[draw.below(len(parts))] for _ in range(2 + min(attempt // 2, 6) + longer)) + ending
     if kind == "email":
         local, _, domain = value.partition("@")
         name, _, top = domain.rpartition(".")
-        letters = "abcdefghijklmnopqrstuvwxyz"
         swap = lambda s: "".join(letters[draw.below(26)] if c.isalpha() else digit() if c.isdigit() else c for c in s)
-        return f"{swap(local)}@{swap(name)}.{top}"
+        return f"{swap(local + 'x' * longer)}@{swap(name)}.{top}"
     if kind in ("access", "password"):
-        new = lambda c: digit() if c.isdigit() else chr(97 + draw.below(26)) if c.islower() else chr(65 + draw.below(26)) if c.isupper() else c
+        signs = not any(c.isalnum() for c in value)
+        new = lambda c: digit() if c.isnumeric() else chr(65 + draw.below(26)) if c.isupper() else chr(97 + draw.below(26)) if c.isalpha() else SIGNS[draw.below(len(SIGNS))] if signs else c
         keep = 4 if kind == "access" else 0
-        return value[:keep] + "".join(map(new, value[keep:]))
+        return value[:keep] + "".join(map(new, value[keep:] + ("X" if kind == "access" else "x") * longer))
     if kind == "secret":
         while True:
-            out = "".join("0123456789abcdef"[draw.below(16)] for _ in value)
+            out = "".join("0123456789abcdef"[draw.below(16)] for _ in range(len(value) + longer))
             if any(c.isdigit() for c in out) and any(c.isalpha() for c in out):
                 return out
     if kind == "iban":
-        body = "".join(digit() if c.isdigit() else "ABCDEFGHIJKLMNOPQRSTUVWXYZ"[draw.below(26)] for c in value[4:])
+        body = "".join(digit() if c.isdigit() else "ABCDEFGHIJKLMNOPQRSTUVWXYZ"[draw.below(26)] for c in value[4:] + "0" * longer)
         check = 98 - int("".join(str(int(c, 36)) for c in body + value[:2] + "00")) % 97
         return f"{value[:2]}{check:02d}{body}"
     if kind == "card":
-        out = value[0] + "".join(digit() for _ in value[1:-1])
+        out = value[0] + "".join(digit() for _ in range(len(value) - 2 + longer))
         last = next(d for d in "0123456789" if luhn(out + d))
         return out + (last if luhn(value) else str((int(last) + 1 + draw.below(9)) % 10))
     keep = 1 if kind == "phone" and len(value) > 10 else 0  # the country code's first digit
-    return value[:keep] + "".join(str(1 + draw.below(9)) if k == keep else digit() for k in range(keep, len(value)))
+    return value[:keep] + "".join(str(1 + draw.below(9)) if k == keep else digit() for k in range(keep, len(value) + longer))
 
 
 def formatted(kind: str, surface: str, new: str) -> str:
     """The canonical surrogate in the format of what it replaces."""
     if kind in ("iban", "card", "ssn", "phone"):
         rest = iter(new)
-        return "".join(next(rest) if c.isalnum() else c for c in surface)
+        return "".join((chr(ord(c) - unicodedata.decimal(c) + int(next(rest))) if c.isdecimal() and not c.isascii() else next(rest)) if c.isalnum() else c for c in surface) + "".join(rest)
     if kind in ("ip", "access", "password"):
         return new
     if kind == "family" or kind.startswith("given_"):
@@ -166,14 +197,14 @@ def formatted(kind: str, surface: str, new: str) -> str:
 
 
 def surrogate_table(entities: DataFrame, key: bytes = KEY, most: int = 40) -> DataFrame:
-    """kind, value and surrogate: distinct within a kind, and none a value of the corpus. Losers of a collision draw again."""
+    """kind, value and surrogate: distinct within a kind, and none a value of the corpus. Losers of a collision draw again, after most draws longer ones each time."""
     entities = kept(entities.select("kind", "value"), "entities")
 
     def make(attempt: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 kinds, names = batch.column("kind").to_pylist(), batch.column("value").to_pylist()
-                yield pa.record_batch([batch.column("kind"), batch.column("value"), pa.array([surrogate(k, v, attempt, key) for k, v in zip(kinds, names, strict=True)], pa.string())], ["kind", "value", "surrogate"])
+                yield pa.record_batch([batch.column("kind"), batch.column("value"), pa.array([surrogate(k, v, attempt, key, max(0, attempt + 1 - most)) for k, v in zip(kinds, names, strict=True)], pa.string())], ["kind", "value", "surrogate"])
 
         return run
 
@@ -181,7 +212,7 @@ def surrogate_table(entities: DataFrame, key: bytes = KEY, most: int = 40) -> Da
     # all names are of one space of spellings: a surrogate of one kind must not be a name of another
     space = lambda c: F.when(F.col(c).startswith("given_") | (F.col(c) == "family"), "name").otherwise(F.col(c))
     taken = entities.select(space("kind").alias("space"), F.col("value").alias("surrogate"))
-    for attempt in range(most):
+    for attempt in count():
         drawn = open_.mapInArrow(make(attempt), "kind string, value string, surrogate string").withColumn("space", space("kind"))
         # a spelling that several draw goes to the one of the smallest hash; aggregated before the shuffle
         first = drawn.groupBy("space", "surrogate").agg(F.min(F.struct(F.xxhash64("kind", "value").alias("h"), "kind", "value")).alias("w"))
@@ -191,7 +222,6 @@ def surrogate_table(entities: DataFrame, key: bytes = KEY, most: int = 40) -> Da
         if open_.isEmpty():
             return done.select("kind", "value", "surrogate")
         taken = taken.unionByName(won.select("space", "surrogate"))
-    raise ValueError(f"no distinct surrogates after {most} draws")
 
 
 def replace_entities(docs: DataFrame, key: bytes = KEY) -> DataFrame:
