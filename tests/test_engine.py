@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from weftgraph import queries
 from weftgraph.constants import STOPWORDS
 from weftgraph.functions import text as T
 from weftgraph.operators import checks, graph, mentions, planning, vectors
@@ -123,6 +124,12 @@ def test_sessions_run_to_their_ends(spark):
     assert planning.completed_edges(history, skills).count() == 3
 
 
+def test_sessions_are_built_from_all_events(spark, tmp_path):
+    events = spark.createDataFrame([(1, 7, "view"), (3, 7, "purchase"), (2, 8, "view"), (5, 8, "click")], "event_id long, user_id long, event_type string")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    assert rows(queries._sessions(spark, str(tmp_path)).select("session_id", "active")) == [(7, ["view"]), (8, ["click", "view"])]
+
+
 def test_causal_edges_take_the_first_state(spark):
     catalog = spark.createDataFrame([("p", 0, [], ["x", "y"]), ("c", 1, ["y", "x", "NOT z"], ["z"])], "entity_id string, pos int, preconditions array<string>, postconditions array<string>")
     assert rows(graph.causal_edges(catalog)) == [("c", "p", "REQUIRES", "x"), ("p", "c", "LEADS_TO", "x")]

@@ -433,8 +433,7 @@ _UNMET = "list_filter(pre, lambda p: CASE WHEN starts_with(p, 'NOT ') THEN list_
 
 
 def _sessions(spark: SparkSession, d: str) -> DataFrame:
-    events = table(spark, d, "events").filter("event_id % 2 = 0")
-    states = events.groupBy(F.col("user_id").alias("session_id")).agg(F.array_sort(F.collect_set(F.when(F.col("event_type") != "purchase", F.col("event_type")))).alias("active"))
+    states = table(spark, d, "events").groupBy(F.col("user_id").alias("session_id")).agg(F.array_sort(F.collect_set(F.when(F.col("event_type") != "purchase", F.col("event_type")))).alias("active"))
     return states.select("session_id", F.lit("purchase").alias("goal"), "active", F.array().cast("array<string>").alias("completed"))
 
 
