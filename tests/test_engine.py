@@ -44,6 +44,16 @@ def test_query_ranking_is_full_with_zero_scores(spark):
     assert sorted(got) == [(7, 1, 1), (7, 2, 2), (7, 3, 3), (8, 1, 1), (8, 2, 2), (8, 3, 3)]
 
 
+def test_every_twentieth_vector_is_a_query(spark, tmp_path):
+    points = {k: [math.cos(k * k), math.sin(k * k), math.cos(3 * k)] for k in range(101)}
+    spark.createDataFrame(list(points.items()), "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = rows(queries.embedding_cosine_topk(spark, str(tmp_path)).select("query_id", "rank"))
+    assert got == sorted([(q, r) for q in range(0, 101, 20) for r in (1, 2, 3)], key=str)
+    some = spark.read.parquet(str(tmp_path / "embeddings.parquet")).select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    assert rows(vectors.dense_cosine_topk(some, some, 3, block=30)) == rows(vectors.dense_cosine_topk(some, some, 3))
+    assert vectors.dense_cosine_topk(some.limit(0), some, 3).count() == 0
+
+
 def test_parameters_are_checked(spark):
     pairs = spark.createDataFrame([("a", "b", 0.5)], "source string, target string, score double")
     with pytest.raises(ValueError):

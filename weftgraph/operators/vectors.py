@@ -79,9 +79,15 @@ def with_zeros(scores: DataFrame, queries: DataFrame, docs: DataFrame, k: int) -
     return scores.unionByName(missing.select("query_id", "id", F.lit(0.0).alias("score")))
 
 
-def dense_cosine_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """query_id, id, rank: nearest dense vectors (id, v) of each query (id, v); queries are a bounded set. The scan keeps k of a query in each task before the shuffle."""
+def dense_cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, block: int = 1024) -> DataFrame:
+    """query_id, id, rank: nearest dense vectors (id, v) of each query (id, v); queries are dealt into blocks of about block rows, so that no task holds more of them at once whatever their number. Each task keeps k of a query before the shuffle."""
     dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
     size = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    pairs = vectors.join(F.broadcast(queries.select(F.col("id").alias("query_id"), F.col("v").alias("q"))), F.col("id") != F.col("query_id"))
-    return ranked(pairs.select("query_id", "id", (dot / (size("q") * size("v"))).alias("score")), "query_id", "id", k)
+    blocks = -(-queries.count() // block)
+    asked, found = queries.select(F.col("id").alias("query_id"), F.col("v").alias("q")), None
+    for n in range(blocks):
+        some = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n)
+        pairs = vectors.join(F.broadcast(some), F.col("id") != F.col("query_id"))
+        top = ranked(pairs.select("query_id", "id", (dot / (size("q") * size("v"))).alias("score")), "query_id", "id", k)
+        found = top if found is None else found.unionByName(top)
+    return found if found is not None else ranked(vectors.join(asked, F.col("id") != F.col("query_id")).select("query_id", "id", F.lit(0.0).alias("score")), "query_id", "id", k)
