@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.llm import common, decontaminate, fingerprints, jaccard, mixing, pii, quality, suffix_tree, toxicity, urls, warc
+from weftgraph.llm import common, decontaminate, fingerprints, jaccard, mixing, pii, quality, toxicity, urls, warc
 from weftgraph.llm.components import components
 
 WORDS = "ba de fi go hu ka le mi no pu ra se ti vo wa xe yo zu an el".split()
@@ -254,23 +254,6 @@ def test_url_rules_and_segments(spark):
     assert got[5]["words"].startswith("cheap pills online") and got[5]["verdict"] == "block" and got[6]["words"].startswith("daily news") and got[6]["verdict"] == "allow"
 
 
-def test_suffix_tree_is_a_distribution_and_base_is_exact(spark, docs):
-    import math
-    import zlib
-    from collections import Counter
-
-    rows = [(r["doc_id"], [*(r["text"] or "").lower().split(), None]) for r in docs.collect()]
-    learn = [w for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 10 for w in t]
-    count, n, v = Counter(learn), len(learn), len(set(learn))
-    want = sorted((len(t), sum(count[w] > 0 for w in t), n, round(sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t), 6)) for _, t in rows)
-    got = suffix_tree.score_documents(docs).collect()
-    assert sorted((r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == want
-    assert all(r["score"] < 0 for r in got) and suffix_tree.score_documents(docs.limit(0)).count() == 0
-    tree = suffix_tree.learn(spark.createDataFrame([(w,) for w in ("ab", "aab", "b")], "word string"), depth=3)
-    letters = ["", *"ab", *(x + y for x in "ab" for y in "ab"), *(x + y + z for x in "ab" for y in "ab" for z in "ab")]
-    assert 0.4 < (10 ** tree.log10(pa.array(letters[1:]))).sum() <= 1.0
-
-
 def test_pipeline_against_its_parts(spark, docs, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     rng = random.Random(21)

@@ -1,338 +1,379 @@
-"""Language-model scoring with a probabilistic suffix tree.
+"""Language-model scoring with a probabilistic suffix tree over words.
 
-The tree holds variable-length contexts of up to ``DEPTH`` characters that end where the next character is to be told and
-begin at the start of the word at the earliest. It learns from the distinct words of the training documents, each once,
-as continuation counts do. A context stays if its next-character distribution diverges from that of its suffix (count times
-Kullback-Leibler divergence) by at least the share ``GAIN`` of all characters counted; as the gains of one depth sum to at
-most the characters times the log of the alphabet, that bounds the number of contexts whatever the corpus. Distributions
-are smoothed with one count spread over the alphabet, and a character is scored by the longest retained suffix.
+Symbols are the distinct training tokens (words and the end of a text) and one symbol for any other word. A state is the
+whole words before a token, up to ``DEPTH - 1`` of them; the empty one is the root. With n the count of a symbol after a
+context, N that of the context and P its suffix's distribution, a context tells a symbol with
 
-A second tree of the same kind tells words: its contexts are the last 1 to ``TEXT_DEPTH`` bytes of text before a word, its
-symbols the ``SYMBOLS`` most frequent words, the end of the text, and one symbol for any other word. An other word is then
-told by its own discounted frequency, interpolated with the first tree's probability of its spelling by the mass that the
-discount frees. All of these sum to one, so a text with unseen words has a probability too.
+    (max(n - 1, 0) + (T + PRIOR) * P) / (N + PRIOR),  T = N - sum of max(n - 1, 0),
 
-Word counts come from all documents, summed in each task before the shuffle. Scores of the most frequent ``HEAD`` words go
-to every task (a fixed bound); all other words meet the counts in one join per word, never per document, and their scores
-are summed per row.
+so a symbol that followed once counts as one that never did, and all symbols sum to one. A context stays in the tree if
+its distribution diverges from its suffix's by at least ``GAIN`` nats over all its occurrences, a fixed test whatever the
+corpus; so the tree, like the vocabulary, grows with the input. The root tells a training token by its discounted share and any
+other word by what the discount frees. A token is scored by the longest retained context before it.
+
+Texts are cut into blocks of whole documents of about ``BLOCK_BYTES``, each a file of word hashes and places in the shared
+folder. A block sends its distinct n-grams once, as sorted hashes, to the task of their bucket (``BUCKET_TOKENS`` tokens
+each), which answers with their counts where those matter; then the pairs that it owns and the contexts that it holds,
+and is told which of them stay. What a task holds is bounded by a block, a bucket or the longest text, and a frequent word
+is one entry of a block. Nothing is broadcast, and only four sums come to the driver.
 
 Defined cases: a null or empty text is its end token alone; a null doc_id counts as remainder 0, held out; repeated rows
 are scored and counted each; a token of any length is one word; an empty table gives an empty result; with no training
-documents all counts are 0 and scores are those of an untrained tree; other columns are ignored.
+documents the unknown word is certain, all scores are 0; other columns are ignored. Words are told apart by 64 bits of a
+hash, longer n-grams by 48.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-from dataclasses import dataclass
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, by_row, kept, mix, slices, span_hashes, utf8, words
-
-DEPTH = 6
-GAIN = 2e-6
-HEAD = 100_000
-SYMBOLS = 4096
-TEXT_DEPTH = 3
-TEXT_GAIN = 5e-5
-#: Most states of the tree of words; if more pass TEXT_GAIN, the most divergent. The bound is one of the model's size.
-STATES = 1000
-PRIOR = 200.0
-MERGE_ROWS = 400_000
-_STEP = np.uint64(0xD1342543DE82EF95)
-START, END = 1, 2  # characters that no word holds: both are below the blank, and words hold no white space but may hold controls
-
+from .common import by_row, kept, mix, shared_folder, slices, store, words
 
-def spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """The spans of bytes as a string array."""
-    lengths = ends - starts
-    offsets = np.concatenate([[0], np.cumsum(lengths)])
-    at = np.repeat(starts - offsets[:-1], lengths) + np.arange(offsets[-1])
-    return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(data[at].tobytes()))
+#: The longest n-gram counted: contexts are of up to DEPTH - 1 words.
+DEPTH = 3
+#: Nats by which a context diverges from its suffix, at least, if it stays.
+GAIN = 2.0
+PRIOR = 5.0
+BLOCK_BYTES = 16 << 20
+BLOCK_ROWS = 200_000
+BUCKET_TOKENS = 2_000_000
+_P = np.uint64(0x9E3779B97F4A7C15)
+_END = np.uint64(0xE4D0F7E875C0FFEE)
+_Q = 2000.0  # steps of a nat that probabilities are sent with
 
 
 def held_out(doc_id: Column, parts: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % parts, F.lit(0)) == 0
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word and n (its count in training rows, 0 if it stands in others only). docs: text and held_out."""
+def pack(values: np.ndarray) -> bytes:
+    """Numbers of 0 and more, by planes of their bytes."""
+    values = values.astype("<u8")
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+    return len(values).to_bytes(6, "little") + width.to_bytes(1, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
-    def merged(parts: list[tuple]) -> list[tuple]:
-        if len(parts) < 2:
-            return parts
-        hashes = np.concatenate([p[0] for p in parts])
-        unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        counts = np.bincount(inverse, np.concatenate([p[1] for p in parts]), len(unique)).astype(np.int64)
-        return [(unique, counts, pa.concat_arrays([p[2] for p in parts]).take(pa.array(first)))]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple] = []
-        for batch in batches:
-            for rows, data, offsets in slices(batch):
-                hashes, starts, ends, counts = words(data, offsets)
-                if not len(hashes):
-                    continue
-                learnt = np.repeat(~rows.column("held_out").to_numpy(zero_copy_only=False).astype(bool), counts)
-                unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-                parts.append((unique, np.bincount(inverse, learnt, len(unique)).astype(np.int64), spans(LOWER[data], starts[first], ends[first])))
-                if sum(len(p[0]) for p in parts) > MERGE_ROWS:
-                    parts = merged(parts)
-                    if len(parts[0][0]) > MERGE_ROWS // 2:
-                        yield pa.record_batch([parts[0][2].cast(pa.string()), pa.array(parts[0][1])], ["word", "n"])
-                        parts = []
-        for part in merged(parts):
-            yield pa.record_batch([part[2].cast(pa.string()), pa.array(part[1])], ["word", "n"])
-
-    return docs.select("text", "held_out").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Code points of the words, each between START and END; at each place the places since START; index of each word's first place."""
-    data, offsets = utf8(column)
-    points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-    begins = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
-    lengths = np.diff(begins) + 2
-    first = np.cumsum(lengths) - lengths
-    out = np.full(int(lengths.sum()), END, np.uint64)
-    since = np.arange(len(out)) - np.repeat(first, lengths)
-    inside = (since > 0) & (since < np.repeat(lengths, lengths) - 1)
-    out[inside] = points.astype(np.uint64) + np.uint64(3)
-    out[first] = START
-    return out, since, first
-
-
-def contexts(points: np.ndarray, since: np.ndarray, depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each depth: the places that have so many characters before them in their word, their contexts' and the suffixes' hashes."""
-    place = np.flatnonzero(since > 0)
-    seen = np.zeros(len(points), np.uint64)
-    code, power = mix(points + np.uint64(0x51ED)), np.uint64(1)
-    yield 0, place, mix(seen[place]), np.zeros(len(place), np.uint64)
-    for d in range(1, depth + 1):
-        place = place[since[place] >= d]
-        suffix = mix(seen[place] + np.uint64(d - 1))
-        power = power * _STEP
-        seen[place] += code[place - d] * power
-        yield d, place, mix(seen[place] + np.uint64(d)), suffix
-
-
-def continuation_counts(vocabulary: DataFrame, depth: int) -> DataFrame:
-    """depth, context, suffix, symbol and n over the distinct training words."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            points, since, _ = symbols(batch.column("word"))
-            for d, place, context, suffix in contexts(points, since, depth):
-                if len(place):
-                    _, first, n = np.unique(mix(context + points[place] * _STEP), return_index=True, return_counts=True)
-                    at = place[first]
-                    yield pa.record_batch([pa.array(np.full(len(at), d, np.int32)), *(pa.array(x.view(np.int64)) for x in (context[first], suffix[first], points[at])), pa.array(n.astype(np.int64))], ["depth", "context", "suffix", "symbol", "n"])
-
-    schema = "depth int, context long, suffix long, symbol long, n long"
-    return vocabulary.select("word").mapInArrow(count, schema).groupBy("depth", "context", "suffix", "symbol").agg(F.sum("n").alias("n"))
-
-
-@dataclass
-class SuffixTree:
-    """Retained contexts, deepest first by depth, and what follows them. Hashes are sorted."""
-
-    depth: int
-    contexts: np.ndarray  # hashes of retained contexts
-    totals: np.ndarray
-    pairs: np.ndarray  # hashes of (context, symbol)
-    counts: np.ndarray
-    alphabet: np.ndarray
-
-    def log10(self, column: pa.Array) -> np.ndarray:
-        """log10 probability of the spelling of each word."""
-        points, since, first = symbols(column)
-        if not len(first):
-            return np.zeros(0)
-        best, total = np.full(len(points), mix(np.zeros(1, np.uint64))[0]), np.zeros(len(points))
-        for _, place, context, _ in contexts(points, since, self.depth):
-            if len(self.contexts):
-                at = np.minimum(np.searchsorted(self.contexts, context), len(self.contexts) - 1)
-                hit = self.contexts[at] == context
-                best[place[hit]], total[place[hit]] = context[hit], self.totals[at[hit]]
-        seen = np.zeros(len(points))
-        if len(self.pairs):
-            pair = mix(best + points * _STEP)
-            at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
-            seen = np.where(self.pairs[at] == pair, self.counts[at], 0)
-        known = np.isin(points, self.alphabet)
-        share = np.where(known, 1.0, 1.0 / 0x110000) / (len(self.alphabet) + 1)
-        logs = np.log10((seen + share) / (total + 1.0))
-        logs[first] = 0.0  # START is given
-        return np.add.reduceat(logs, first)
-
-
-def divergent(counts: DataFrame, least: float) -> DataFrame:
-    """context, total and gain of the root and of each context that diverges from its suffix by least or more: count times divergence, in nats, less one for each symbol seen, which chance alone would give."""
-    nodes = counts.groupBy("depth", "context", "suffix").agg(F.sum("n").alias("total"))
-    parents = counts.select((F.col("depth") + 1).alias("depth"), F.col("context").alias("suffix"), "symbol", F.col("n").alias("up"))
-    parents = parents.join(nodes.select((F.col("depth") + 1).alias("depth"), F.col("context").alias("suffix"), F.col("total").alias("up_total")), ["depth", "suffix"])
-    told = counts.join(nodes, ["depth", "context", "suffix"]).join(parents, ["depth", "suffix", "symbol"], "left")
-    gains = told.groupBy("depth", "context").agg((F.sum(F.col("n") * F.log((F.col("n") / F.col("total")) / (F.col("up") / F.col("up_total")))) - F.count("*")).alias("gain"), F.first("total").alias("total"))
-    return gains.filter((F.col("depth") == 0) | (F.col("gain") >= least))
-
-
-def suffixes(data: np.ndarray, offsets: np.ndarray, ends: np.ndarray, counts: np.ndarray, depth: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each depth: the code of the text before each token of each row, its end token included; 0 before the first."""
-    flat = np.where(SPACE[data], np.uint8(0x20), LOWER[data]).astype(np.int64)
-    # a token is preceded by the end of the word before it, or by nothing
-    slot = np.arange(len(ends)) + 1 + np.repeat(np.arange(len(counts)), counts)
-    before, floor = np.zeros(len(ends) + len(counts), np.int64), np.repeat(offsets[:-1], counts + 1)
-    before[slot] = ends
-    inside = np.zeros(len(before), bool)
-    inside[slot] = True
-    code = np.zeros(len(before), np.int64)
-    for d in range(1, depth + 1):
-        at = before - d
-        code = code | np.where(inside & (at >= floor), flat[np.maximum(at, 0)] if len(flat) else 0, 0) << (8 * (d - 1))
-        yield d, code | (d << 32)
-
-
-def symbol_slots(known: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The symbol of each token of each row: its place among the known words, len(known) for the end, len(known) + 1 for any other."""
-    out = np.full(len(hashes) + len(counts), len(known), np.int64)
-    slot = np.arange(len(hashes)) + np.repeat(np.arange(len(counts)), counts)
-    at = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
-    out[slot] = np.where(known[at] == hashes, at, len(known) + 1) if len(known) else 1
-    return out
+def unpack(data: bytes) -> np.ndarray:
+    n, width = int.from_bytes(data[:6], "little"), data[6]
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(pa.decompress(data[7:], n * width, codec="zstd", asbytes=True), np.uint8).reshape(width, n).T
+    return out.view("<u8").reshape(n).astype(np.uint64)
 
 
-def text_counts(docs: DataFrame, known: np.ndarray, depth: int) -> DataFrame:
-    """depth, context, suffix, symbol and n over the training rows of docs (text, held_out)."""
+def steps(ascending: np.ndarray) -> bytes:
+    return pack(np.diff(ascending.astype(np.uint64), prepend=np.uint64(0)))
 
-    def packed(keys: np.ndarray, n: np.ndarray, d: int) -> pa.RecordBatch:
-        context, symbol = keys >> 20, keys & 0xFFFFF
-        suffix = (context & ((1 << (8 * max(d - 1, 0))) - 1)) | ((d - 1) << 32)
-        return pa.record_batch([pa.array(np.full(len(keys), d, np.int32)), pa.array(context), pa.array(suffix), pa.array(symbol), pa.array(n)], ["depth", "context", "suffix", "symbol", "n"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {d: [] for d in range(depth + 1)}
+def unsteps(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data), dtype=np.uint64)
 
-        def merged(d: int) -> tuple[np.ndarray, np.ndarray]:
-            keys, inverse = np.unique(np.concatenate([k for k, _ in held[d]]), return_inverse=True)
-            return keys, np.bincount(inverse, np.concatenate([n for _, n in held[d]]), len(keys)).astype(np.int64)
 
-        for batch in batches:
-            for part, data, offsets in slices(batch.filter(pc.invert(batch.column("held_out")))):
-                hashes, _, ends, counts = words(data, offsets)
-                symbol = symbol_slots(known, hashes, counts)
-                for d, code in [(0, np.zeros(len(symbol), np.int64)), *suffixes(data, offsets, ends, counts, depth)]:
-                    keys, n = np.unique(code << 20 | symbol, return_counts=True)
-                    held[d].append((keys, n))
-                    if sum(len(k) for k, _ in held[d]) > MERGE_ROWS:
-                        held[d] = [merged(d)]
-                        if len(held[d][0][0]) > MERGE_ROWS // 2:
-                            yield packed(*held[d][0], d)
-                            held[d] = []
-        for d in held:
-            if held[d]:
-                yield packed(*merged(d), d)
-
-    schema = "depth int, context long, suffix long, symbol long, n long"
-    return docs.select("text", "held_out").mapInArrow(count, schema).groupBy("depth", "context", "suffix", "symbol").agg(F.sum("n").alias("n"))
-
-
-def text_states(docs: DataFrame, known: np.ndarray, root: np.ndarray, depth: int = TEXT_DEPTH, gain: float = TEXT_GAIN, most: int = STATES) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the retained contexts, sorted, and for each (after a row of 0 for the root) log10 of each symbol's probability there over its probability at the root."""
-    counts = kept(text_counts(docs, known, depth), "text")
-    whole = counts.filter("depth = 0").agg(F.sum("n")).first()[0] or 0
-    states = divergent(counts, max(gain * whole, 4.0)).filter("depth > 0").orderBy(F.desc("gain"), "context").limit(most).toPandas().sort_values("context")
-    codes = states["context"].to_numpy(np.int64)
-    ratio = np.zeros((len(codes) + 1, len(root)), np.float32)
-    if len(codes):
-        wanted = docs.sparkSession.createDataFrame([(int(c),) for c in codes], "context long")
-        pairs = counts.join(F.broadcast(wanted), "context").select("context", "symbol", "n").toPandas()
-        seen = np.zeros((len(codes), len(root)), np.float32)
-        seen[np.searchsorted(codes, pairs["context"].to_numpy()), pairs["symbol"].to_numpy()] = pairs["n"].to_numpy()
-        ratio[1:] = np.log10((seen + PRIOR * root) / (states["total"].to_numpy(float)[:, None] + PRIOR)) - np.log10(root)
-    return codes, ratio
-
-
-def learn(vocabulary: DataFrame, depth: int = DEPTH, gain: float = GAIN) -> SuffixTree:
-    """The tree of the words of a table. What comes to the driver is bounded by gain, not by the table."""
-    counts = kept(continuation_counts(vocabulary, depth), "continuations")
-    whole = counts.filter("depth = 0").agg(F.sum("n")).first()[0] or 0
-    stays = kept(divergent(counts, max(gain * whole, 4.0)).select("context", "total"), "contexts")
-    pairs = counts.join(stays.select("context"), "context", "left_semi").select("context", "symbol", "n").toPandas()
-    alphabet = [r[0] for r in counts.filter("depth = 0").select("symbol").collect()]
-    rows = stays.toPandas().sort_values("context", key=lambda x: x.to_numpy().astype(np.int64).view(np.uint64))
-    unsigned = lambda x: x.to_numpy().astype(np.int64).view(np.uint64)
-    keys = mix(unsigned(pairs["context"]) + unsigned(pairs["symbol"]) * _STEP)
-    order = np.argsort(keys)
-    return SuffixTree(depth, unsigned(rows["context"]), rows["total"].to_numpy(float), keys[order], pairs["n"].to_numpy(float)[order], np.array(alphabet, np.int64).view(np.uint64))
-
-
-def score_documents(docs: DataFrame, parts: int = 10, depth: int = DEPTH, gain: float = GAIN, head: int = HEAD) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row."""
-    rows = docs.select("doc_id", "text", held_out(F.col("doc_id"), parts).alias("held_out"))
-    vocabulary = kept(word_counts(rows), "vocabulary")
-    ends = rows.filter(~F.col("held_out")).count()
-    r = vocabulary.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v"), F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2")).first()
-    tokens, types = (r["n"] or 0) + ends, r["v"] + (ends > 0)
-    tree = learn(vocabulary.filter("n > 0"), depth, gain)
-    discount = min(0.95, max(0.05, r["n1"] / (r["n1"] + 2 * r["n2"]) if r["n1"] else 0.5))
-    escape = discount * types / tokens if tokens else 1.0
-    base = lambda c: np.log10((c + 0.1) / (tokens + 0.1 * (types + 1)))
-    own = lambda c: np.maximum(c - discount, 0) / max(tokens, 1)
-    end = (ends > 0, float(base(ends)), math.log10(own(ends) or escape))
-
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = utf8(batch.column("word"))
-            n = batch.column("n").to_numpy().astype(float)
-            score = np.log10(own(n) + escape * 10.0 ** tree.log10(batch.column("word")) + 1e-300)
-            hashes = span_hashes(data, offsets[:-1], offsets[1:]) if batch.num_rows else np.zeros(0, np.uint64)
-            yield pa.record_batch([pa.array(hashes.view(np.int64)), batch.column("n"), pa.array(score)], ["hash", "n", "score"])
-
-    spelt = kept(vocabulary.mapInArrow(spell, "hash long, n long, score double"), "spelt")
-    top = spelt.orderBy(F.desc("n"), "hash").limit(head).toPandas()
-    order = np.argsort((hashes := top["hash"].to_numpy().astype(np.int64).view(np.uint64)))
-    known, known_n, known_score = hashes[order], top["n"].to_numpy(float)[order], top["score"].to_numpy(float)[order]
-
-    common = np.sort(known[np.argsort(-known_n, kind="stable")[:SYMBOLS]])
-    # the frequent words, the end, any other word: at the root
-    root = np.maximum(np.append(10.0 ** known_score[np.searchsorted(known, common)], 10.0 ** end[2]), 1e-300)
-    root = np.append(root, max(1.0 - root.sum(), 1e-9))
-    codes, ratio = text_states(rows, common, root)
-
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 40
-        known_base = base(known_n)
+# --- blocks ---------------------------------------------------------------------------------------------------------
+
+
+def write_blocks(rows: DataFrame, folder: str) -> DataFrame:
+    """Writes the rows (doc_id, text, held_out) as blocks and returns block, path and tokens of each. A task that is run again writes files of its own; only those that the table names count."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, path = store(folder)
+        where.create_dir(path, recursive=True)
+        at, held = TaskContext.get().partitionId() << 32, []
+
+        def out() -> pa.RecordBatch:
+            hashes = np.concatenate([h for _, h, _ in held])
+            vocabulary, ids = np.unique(hashes, return_inverse=True)
+            part = pa.concat_batches([b for b, _, _ in held])
+            whole = [pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part.column(c)) for c in ("doc_id", "held_out")]
+            whole += [pa.array([x], pa.binary()) for x in (pack(np.concatenate([c for _, _, c in held])), steps(vocabulary), pack(ids))]
+            name = f"{folder}/{uuid.uuid4().hex}.block"
+            batch = pa.record_batch(whole, ["doc_id", "held_out", "counts", "vocabulary", "ids"])
+            with where.open_output_stream(f"{path}/{name.rsplit('/', 1)[1]}") as file, pa.ipc.new_stream(file, batch.schema) as stream:
+                stream.write_batch(batch)
+            return pa.record_batch([pa.array([at]), pa.array([name]), pa.array([len(ids)])], ["block", "path", "tokens"])
+
+        size = n = 0
         for batch in batches:
             for part, data, offsets in slices(batch):
-                hashes, _, ends, counts = words(data, offsets)
-                at = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
-                hit = known[at] == hashes if len(known) else np.zeros(len(hashes), bool)
-                at = at[hit]
-                hits = by_row(hit, counts).astype(np.int64)
-                rare, rest = hashes[~hit], counts - hits
-                offset = np.concatenate([[0], np.cumsum(rest)]).astype(np.int32)
-                symbol = symbol_slots(common, hashes, counts)
-                state = np.zeros(len(symbol), np.int64)
-                for _, code in suffixes(data, offsets, ends, counts, TEXT_DEPTH) if len(codes) else ():
-                    place = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
-                    state = np.where(codes[place] == code, place + 1, state)
-                told = by_row(ratio[state, symbol].astype(float), counts + 1)
-                yield pa.record_batch(
-                    [pa.array(np.arange(row, row + part.num_rows)), part.column("doc_id"), part.column("held_out"), pa.array(counts.astype(np.int64) + 1), pa.array(by_row(known_n[at] > 0, hits).astype(np.int64) + end[0]), pa.array(by_row(known_base[at], hits) + end[1]), pa.array(by_row(known_score[at], hits) + end[2] + told), pa.ListArray.from_arrays(pa.array(offset), pa.array(rare.view(np.int64)))],
-                    ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"],
-                )
-                row += part.num_rows
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    lines = kept(rows.mapInArrow(tally, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>"), "lines")
-    rare = lines.select("row", F.explode("rare").alias("hash")).join(spelt, "hash")
-    added = rare.groupBy("row").agg(F.count_if(F.col("n") > 0).alias("n_more"), F.sum(F.log10((F.col("n") + 0.1) / (tokens + 0.1 * (types + 1)))).alias("base_more"), F.sum("score").alias("score_more"))
-    plus = lambda a, b: (F.col(a) + F.coalesce(b, F.lit(0))).alias(a)
-    return lines.drop("rare").join(added, "row", "left").select("doc_id", "held_out", "n_tokens", plus("n_known", "n_more"), F.lit(tokens).cast("long").alias("train_tokens"), plus("base_score", "base_more"), plus("score", "score_more"))
+                if held and (size + len(data) > BLOCK_BYTES or n + part.num_rows > BLOCK_ROWS):
+                    yield out()
+                    at, held, size, n = at + 1, [], 0, 0
+                hashes, _, _, counts = words(data, offsets)
+                symbols = np.full(len(hashes) + len(counts), _END)
+                symbols[np.arange(len(hashes)) + np.repeat(np.arange(len(counts)), counts)] = hashes
+                held.append((part.select(["doc_id", "held_out"]), symbols, counts + 1))
+                size, n = size + len(data), n + part.num_rows
+        if held:
+            yield out()
+
+    return kept(rows.mapInArrow(write, "block long, path string, tokens long"), "blocks")
+
+
+class Block:
+    """The tokens of some documents, and their distinct n-grams by length, in the order of their hashes."""
+
+    def __init__(self, path: str, depth: int):
+        where, name = store(path)
+        with where.open_input_file(name) as file:
+            self.row = pa.ipc.open_stream(file).read_next_batch()
+        counts, vocabulary, ids = (self.row.column(c)[0].as_py() for c in ("counts", "vocabulary", "ids"))
+        self.counts, vocabulary, ids = unpack(counts).astype(np.int64), unsteps(vocabulary), unpack(ids).astype(np.int32)
+        ends = np.cumsum(self.counts)
+        self.place = np.arange(len(ids), dtype=np.int32) - np.repeat((ends - self.counts).astype(np.int32), self.counts)
+        self.learnt = np.repeat(~self.row.column("held_out")[0].values.to_numpy(zero_copy_only=False).astype(bool), self.counts)
+        #: for each length: hashes, the rank of the n-gram that ends at each token (-1: none), and a token where each ends
+        self.keys, self.rank, self.first = {1: vocabulary}, {1: ids}, {1: np.zeros(len(vocabulary), np.int32)}
+        self.first[1][ids] = np.arange(len(ids), dtype=np.int32)
+        for n in range(2, depth + 1):
+            self._longer(n)
+
+    def _longer(self, n: int) -> None:
+        shorter, ids = self.rank[n - 1], self.rank[1]
+        at = np.flatnonzero(self.place >= n - 1)
+        code = shorter[at - 1].astype(np.int64) * len(self.keys[1]) + ids[at]
+        bits = int(len(ids)).bit_length()
+        if len(at) and int(code.max()).bit_length() + bits < 64:
+            packed = np.sort(code << bits | at)
+            code, at = packed >> bits, packed & ((1 << bits) - 1)
+        else:
+            order = np.argsort(code, kind="stable")
+            code, at = code[order], at[order]
+        new = np.append(True, code[1:] != code[:-1])[: len(code)]
+        first = at[new]
+        hashes = mix(self.keys[n - 1][shorter[first - 1]] * _P + self.keys[1][ids[first]] + np.uint64(n)) >> np.uint64(16)
+        order = np.argsort(hashes)
+        own = np.empty(len(order), np.int32)
+        own[order] = np.arange(len(order), dtype=np.int32)
+        self.keys[n], self.first[n], self.rank[n] = hashes[order], first[order].astype(np.int32), np.full(len(ids), -1, np.int32)
+        self.rank[n][at] = own[np.cumsum(new) - 1]
+
+    def train_counts(self, n: int) -> np.ndarray:
+        return np.bincount(self.rank[n][self.learnt & (self.place >= n - 1)], minlength=len(self.keys[n]))
+
+    def contexts(self, n: int, counts: np.ndarray) -> np.ndarray:
+        """Ranks of the n-grams that something follows and that training saw twice or more."""
+        used = np.zeros(len(self.keys[n]), bool)
+        used[self.rank[n][np.flatnonzero(self.place >= n) - 1]] = True
+        return np.flatnonzero(used & (counts >= 2))
+
+
+def bucket_bounds(keys: np.ndarray, n: int, buckets: int) -> np.ndarray:
+    """Where each bucket begins in ascending hashes, and the end."""
+    high = keys >> np.uint64(32 if n == 1 else 16)
+    return np.searchsorted((high * np.uint64(buckets)) >> np.uint64(32), np.arange(buckets + 1))
+
+
+# --- the two exchanges ----------------------------------------------------------------------------------------------
+
+SENT = "bucket int, block long, length int, start long, keys binary, counts binary, pairs binary, whole binary, shares binary"
+TOLD = "block long, length int, start long, at binary, n binary, sums array<long>"
+
+
+def _sent(bucket: int, block: int, length: int, start: int, *blobs: bytes | None) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 5]
+    blobs = (*blobs, *[None] * (5 - len(blobs)))
+    return pa.record_batch([pa.array([v], k) for v, k in zip((bucket, block, length, start, *blobs), kinds, strict=True)], ["bucket", "block", "length", "start", "keys", "counts", "pairs", "whole", "shares"])
+
+
+def _told(rows: list[tuple]) -> pa.Table:
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+    columns = zip(*rows, strict=True) if rows else [[]] * 6
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["block", "length", "start", "at", "n", "sums"])
+
+
+def send_ngrams(depth: int, buckets: int) -> Callable:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, path in zip(batch.column("block").to_pylist(), batch.column("path").to_pylist(), strict=True):
+                block = Block(path, depth)
+                for n in range(1, depth + 1):
+                    counts, bounds = block.train_counts(n), bucket_bounds(block.keys[n], n, buckets)
+                    for b in np.flatnonzero(np.diff(bounds)).tolist():
+                        own = slice(bounds[b], bounds[b + 1])
+                        yield _sent(b, at, n, int(bounds[b]), steps(block.keys[n][own]), pack(counts[own]))
+
+    return send
+
+
+def _joined(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes of some rows, the place of each row's hashes among them, and where each row's begin."""
+    keys = [unsteps(r["keys"]) for r in rows]
+    unique, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    return unique, inverse, np.cumsum([0, *map(len, keys)])
+
+
+def tell_counts(sent: pa.Table) -> pa.Table:
+    """The counts of a bucket's n-grams, to each block that holds them: words that training has, longer ones that it has twice. Twice the count, and one more for the block that owns it."""
+    out, rows = [], sent.to_pylist()
+    for n in sorted({r["length"] for r in rows}):
+        some = sorted((r for r in rows if r["length"] == n), key=lambda r: r["block"])
+        unique, inverse, begins = _joined(some)
+        total = np.bincount(inverse, np.concatenate([unpack(r["counts"]) for r in some]).astype(float), len(unique)).astype(np.int64)
+        owner = np.zeros(len(unique), np.int64)
+        owner[inverse[::-1]] = np.arange(len(inverse))[::-1]
+        worth = total[inverse] >= (1 if n == 1 else 2)
+        value = 2 * total[inverse] + (owner[inverse] == np.arange(len(inverse)))
+        for r, a, b in zip(some, begins[:-1], begins[1:], strict=True):
+            at = np.flatnonzero(worth[a:b])
+            if len(at):
+                out.append((r["block"], n, r["start"], steps(at), pack(value[a:b][at]), None))
+        if n == 1:
+            out.append((None, 0, 0, None, None, [int(total.sum()), int((total > 0).sum()), int((total == 1).sum()), int((total == 2).sum())]))
+    return _told(out)
+
+
+class Root:
+    """Probabilities of single tokens by their counts."""
+
+    def __init__(self, tokens: int, types: int, once: int, twice: int):
+        self.tokens, self.types = tokens, types
+        self.discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
+
+    def probability(self, counts: np.ndarray) -> np.ndarray:
+        if not self.tokens:
+            return np.ones(len(counts))
+        return np.where(counts > 0, counts - self.discount, self.discount * self.types) / self.tokens
+
+    def base(self, counts: np.ndarray) -> np.ndarray:
+        return np.log10((counts + 0.1) / (self.tokens + 0.1 * (self.types + 1)))
+
+
+def _spread(block: Block, told: list[dict], length: int, size: int) -> np.ndarray:
+    """What a block was told of its entries of a length; 0 where nothing."""
+    out = np.zeros(size, np.int64)
+    for r in told:
+        if r["length"] == length:
+            out[r["start"] + unsteps(r["at"]).astype(np.int64)] = unpack(r["n"]).astype(np.int64)
+    return out
+
+
+def _known(group: pa.Table, depth: int) -> tuple[Block, int, list[dict], dict[int, np.ndarray]]:
+    """The block of a group's pointer, its name, what it was told, and that as values of its n-grams."""
+    rows = group.to_pylist()
+    pointer, told = next(r for r in rows if r["path"] is not None), [r for r in rows if r["path"] is None]
+    block = Block(pointer["path"], depth)
+    return block, pointer["block"], told, {n: _spread(block, told, n, len(block.keys[n])) for n in range(1, depth + 1)}
+
+
+def send_pairs(depth: int, buckets: int, root: Root) -> Callable:
+    """A block's contexts, and what follows them in the n-grams that it owns: count and the suffix's probability."""
+
+    def send(group: pa.Table) -> pa.Table:
+        block, at, _, values = _known(group, depth)
+        out = []
+        for n in range(1, depth):
+            counts, longer = values[n] >> 1, values[n + 1]
+            asked = block.contexts(n, counts)
+            slot = np.full(len(counts), -1, np.int64)
+            slot[asked] = np.arange(len(asked))
+            mine = np.flatnonzero((longer & 1 == 1) & (longer >= 4))
+            # two n-grams of one hash may have a count that their contexts lack
+            mine = mine[slot[block.rank[n][block.first[n + 1][mine] - 1]] >= 0]
+            last = block.first[n + 1][mine]
+            context = slot[block.rank[n][last - 1]]
+            if n == 1:
+                share = root.probability(values[1][block.rank[1][last]] >> 1)
+            else:  # the same n-gram without its first word, over its own context
+                share = (values[n][block.rank[n][last]] >> 1) / np.maximum(values[n - 1][block.rank[n - 1][last - 1]] >> 1, 1)
+            order = np.argsort(context, kind="stable")
+            context, number = context[order], (longer[mine] >> 1)[order]
+            share = np.clip(np.round(-np.log(np.maximum(share[order], 1e-300)) * _Q), 0, 65535)
+            per = np.bincount(context, minlength=len(asked))
+            ends = np.cumsum(per)
+            keys = block.keys[n][asked]
+            bounds = bucket_bounds(keys, n, buckets)
+            for b in np.flatnonzero(np.diff(bounds)).tolist():
+                own = slice(bounds[b], bounds[b + 1])
+                pairs = slice(ends[own.start] - per[own.start], ends[own.stop - 1])
+                out.append(_sent(b, at, n, own.start, steps(keys[own]), pack(per[own]), pack(number[pairs]), pack(counts[asked[own]][per[own] > 0]), pack(share[pairs])))
+        return pa.Table.from_batches(out, schema=_sent(0, 0, 0, 0).schema)
+
+    return send
+
+
+def divergence(context: np.ndarray, number: np.ndarray, share: np.ndarray, whole: np.ndarray, prior: float = PRIOR) -> tuple[np.ndarray, np.ndarray]:
+    """T of each context and the nats by which its distribution tells its followers better than its suffix's. context, number and share: of each symbol that followed twice or more, its context, its count and its probability after the suffix. whole: N of each context. What followed once is told by the suffix, at the discounted rate."""
+    size = len(whole)
+    free = np.maximum(whole - np.bincount(context, number - 1, size), 0)
+    own, total = free[context] + prior, whole[context] + prior
+    gain = np.bincount(context, number * np.log((number - 1 + own * share) / (total * share)), size)
+    return free, gain + np.maximum(whole - np.bincount(context, number, size), 0) * np.log((free + prior) / (whole + prior))
+
+
+def tell_states(gain: float) -> Callable:
+    """The contexts of a bucket that stay, to each block that asked: one more than T."""
+
+    def tell(sent: pa.Table) -> pa.Table:
+        out, rows = [], sent.to_pylist()
+        for n in sorted({r["length"] for r in rows}):
+            some = [r for r in rows if r["length"] == n]
+            unique, inverse, begins = _joined(some)
+            per = np.concatenate([unpack(r["counts"]) for r in some]).astype(np.int64)
+            number, total, share = (np.concatenate([unpack(r[c]) for r in some]).astype(float) for c in ("pairs", "whole", "shares"))
+            whole = np.zeros(len(unique))
+            whole[inverse[per > 0]] = total
+            free, told = divergence(np.repeat(inverse, per), number, np.exp(-share / _Q), whole)
+            stays = (told >= gain) & (whole > 0)
+            for r, a, b in zip(some, begins[:-1], begins[1:], strict=True):
+                at = np.flatnonzero(stays[inverse[a:b]])
+                if len(at):
+                    out.append((r["block"], -n, r["start"], steps(at), pack(free[inverse[a:b]][at] + 1), None))
+        return _told(out)
+
+    return tell
+
+
+# --- scoring --------------------------------------------------------------------------------------------------------
+
+
+def token_probabilities(block: Block, values: dict[int, np.ndarray], told: list[dict], depth: int, root: Root) -> np.ndarray:
+    """The probability of each token by the longest context before it that stays; an inner one's smoothing passes through the shorter ones that stay."""
+    out = root.probability(values[1][block.rank[1]] >> 1)
+    for n in range(1, depth):
+        counts = values[n] >> 1
+        asked = block.contexts(n, counts)
+        free = np.zeros(len(counts), np.int64)
+        free[asked] = _spread(block, told, -n, len(asked))
+        at = np.flatnonzero(block.place >= n)
+        context = block.rank[n][at - 1]
+        stays = free[context] > 0
+        at, context = at[stays], context[stays]
+        number = np.maximum((values[n + 1][block.rank[n + 1][at]] >> 1) - 1, 0)
+        out[at] = (number + (free[context] - 1 + PRIOR) * out[at]) / (counts[context] + PRIOR)
+    return out
+
+
+def score_documents(docs: DataFrame, parts: int = 10, depth: int = DEPTH, gain: float = GAIN) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row."""
+    spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), held_out(F.col("doc_id"), parts).alias("held_out"))
+    blocks = write_blocks(rows, f"{shared_folder(spark)}/weft-blocks-{uuid.uuid4().hex}")
+    number, tokens = blocks.agg(F.count("*"), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    buckets = tokens // BUCKET_TOKENS + 1
+    spread = blocks.coalesce(1).repartition(max(1, number))
+    counts = kept(spread.mapInArrow(send_ngrams(depth, buckets), SENT).groupBy("bucket").applyInArrow(tell_counts, TOLD), "counts")
+    sums = counts.filter("length = 0").agg(*[F.coalesce(F.sum(F.col("sums")[k]), F.lit(0)) for k in range(4)]).first()
+    root = Root(*sums)
+    pointers = blocks.select("block", "path")
+    told = counts.filter("length > 0").drop("sums")
+    held = pointers.unionByName(told, allowMissingColumns=True)
+    states = kept(held.groupBy("block").applyInArrow(send_pairs(depth, buckets, root), SENT).groupBy("bucket").applyInArrow(tell_states(gain), TOLD), "states")
+
+    def score(group: pa.Table) -> pa.Table:
+        block, _, said, values = _known(group, depth)
+        seen, lengths = values[1][block.rank[1]] >> 1, block.counts
+        logs = np.log10(np.maximum(token_probabilities(block, values, said, depth, root), 1e-300))
+        ids, out = block.row.column("doc_id")[0].values, block.row.column("held_out")[0].values
+        columns = [ids, out, pa.array(lengths), pa.array(by_row((seen > 0).astype(np.int64), lengths)), pa.array(np.full(len(lengths), root.tokens)), pa.array(by_row(root.base(seen), lengths)), pa.array(by_row(logs, lengths))]
+        return pa.table(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    whole = held.unionByName(states.drop("sums"), allowMissingColumns=True)
+    schema = f"doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return whole.groupBy("block").applyInArrow(score, schema)

@@ -25,11 +25,10 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, shared_folder
+from .common import kept, shared_folder, store
 
 SPLIT_BYTES = 4 << 20
 FILE_BYTES = 64 << 20
@@ -38,11 +37,6 @@ _READ = 1 << 16
 RECORDS = "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string, archive string, offset long"
 
 
-def store(uri: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a URI or plain path, and the path in it."""
-    return fs.FileSystem.from_uri(uri) if ":" in uri.split("/")[0] else (fs.LocalFileSystem(), uri)
-
-
 def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
