@@ -7,9 +7,12 @@ source that a hash of doc_id deals out, so a source that holds a third of all ro
 leaves open, at most two documents, flies again per source. The landing problem that remains holds those and a small
 reserve of short documents, whose probabilities are shifted to absorb the error that rounding the last ones makes.
 
-Defined cases: a null or empty text has size 0 and is never taken; a null source is a source of its own, ordered last; rows
-with a null doc_id share a block; repeated rows are documents of their own; an empty table gives an empty result; other
-columns are ignored.
+A row is dealt to a block by its doc_id and text. Where one pair of both has more rows than a block, these equal rows are
+dealt by their places in the table, so that no block grows with them.
+
+Defined cases: a null or empty text has size 0 and is never taken; a null source is a source of its own, ordered last; a
+null doc_id is an id like others; repeated rows are documents of their own; an empty table gives an empty result; other
+columns are ignored. doc_id is passed on as it is, whatever its type.
 """
 
 from __future__ import annotations
@@ -18,10 +21,11 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import kept, slices, word_bounds
 
@@ -33,15 +37,19 @@ RESERVE_BLOCKS = 8
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size (words of the text)."""
+    """doc_id, source, size (words of the text), draw (a hash of doc_id and text) and row (a number of its own)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             sizes = [word_bounds(data, offsets)[2] for _, data, offsets in slices(batch)]
-            yield pa.record_batch([batch.column("doc_id"), batch.column("source"), pa.array(np.concatenate(sizes or [np.zeros(0)]).astype(np.int64))], ["doc_id", "source", "size"])
+            columns = [batch.column("doc_id"), batch.column("source"), pa.array(np.concatenate(sizes or [np.zeros(0)]).astype(np.int64)), batch.column("draw"), pa.array(np.arange(row, row + batch.num_rows))]
+            row += batch.num_rows
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "source", "size", "draw", "row"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), "text").mapInArrow(count, f"doc_id {kind}, source string, size long")
+    columns = docs.select("doc_id", F.col("source").cast("string").alias("source"), "text", F.xxhash64("doc_id", "text", F.lit("mix")).alias("draw"))
+    kinds = StructType([*columns.select("doc_id", "source").schema, StructField("size", LongType()), StructField("draw", LongType()), StructField("row", LongType())])
+    return columns.mapInArrow(count, kinds)
 
 
 def ranked(df: DataFrame, *order: Column) -> DataFrame:
@@ -116,25 +124,33 @@ def _seed(*key: object) -> np.random.Generator:
     return np.random.default_rng(zlib.crc32(repr(key).encode()))
 
 
-def _ordered(rows: pd.DataFrame) -> pd.DataFrame:
-    return rows.sort_values(["size", "draw", "doc_id"], ascending=[False, True, True], ignore_index=True)
+def _rows(rows: pa.Table) -> tuple[pa.Table, dict[str, np.ndarray]]:
+    """The rows of a group, largest first, and their numbers."""
+    rows = rows.sort_by([("size", "descending"), ("draw", "ascending"), ("row", "ascending")])
+    return rows, {c: rows.column(c).to_numpy(zero_copy_only=False) for c in ("size", "draw", "p", "block", "held")}
+
+
+def _with(rows: pa.Table, **columns: np.ndarray) -> pa.Table:
+    for name, values in columns.items():
+        rows = rows.set_column(rows.column_names.index(name), name, pa.array(values))
+    return rows
 
 
-def _block(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = _ordered(rows)
-    sizes, p, block = rows["size"].to_numpy(float), rows["p"].to_numpy(float), int(rows["block"].iloc[0])
-    held = np.zeros(len(rows), bool)
+def _block(group: pa.Table) -> pa.Table:
+    rows, at = _rows(group)
+    sizes, p, block = at["size"].astype(float), at["p"].astype(float), int(at["block"][0])
+    held = np.zeros(len(p), bool)
     if block < RESERVE_BLOCKS:
         short = np.flatnonzero((sizes > 0) & (sizes <= np.quantile(sizes, 0.8)))
-        held[short[np.argsort(rows["draw"].to_numpy()[short], kind="stable")[:RESERVE]]] = True
-    p[~held] = flight(p[~held], sizes[~held], _seed(rows["source"].iloc[0], block))
-    return rows.assign(p=p, held=held)
+        held[short[np.argsort(at["draw"][short], kind="stable")[:RESERVE]]] = True
+    p[~held] = flight(p[~held], sizes[~held], _seed(rows.column("source")[0].as_py(), block))
+    return _with(rows, p=p, held=held)
 
 
-def _landing(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = _ordered(rows)
-    sizes, rate, held = rows["size"].to_numpy(float), rows["p"].to_numpy(float), rows["held"].to_numpy(bool)
-    rng, goal = _seed(rows["source"].iloc[0], "landing"), float(rate @ sizes)
+def _landing(group: pa.Table) -> pa.Table:
+    rows, at = _rows(group)
+    sizes, rate, held = at["size"].astype(float), at["p"].astype(float), at["held"].astype(bool)
+    rng, goal = _seed(rows.column("source")[0].as_py(), "landing"), float(rate @ sizes)
     p = rate.copy()
     p[~held] = flight(rate[~held], sizes[~held], rng)
     left = np.flatnonzero((p > 0) & (p < 1) & ~held)
@@ -142,7 +158,7 @@ def _landing(rows: pd.DataFrame) -> pd.DataFrame:
     if held.any():
         error, room = goal - p @ sizes, sizes[held].sum()
         p[held] = flight(np.clip(p[held] + error / room, 0, 1), sizes[held], rng)
-    return rows.assign(p=nearest(p, sizes, goal))
+    return _with(rows, p=nearest(p, sizes, goal))
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -154,13 +170,17 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: floa
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = (
         sizes.alias("d").join(goals.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source")))
-        .select("doc_id", "d.source", "size", "source_size", "target", F.floor(rate).alias("whole"), (rate - F.floor(rate)).alias("p"))
+        .select("doc_id", "d.source", "size", "draw", "row", "source_size", "target", F.floor(rate).alias("whole"), (rate - F.floor(rate)).alias("p"))
         .withColumn("p", F.when(F.col("size") > 0, F.col("p")).otherwise(0.0))
-        .withColumn("draw", F.xxhash64("doc_id", F.lit("mix")))
         .withColumn("block", F.pmod("draw", F.lit(blocks)).cast("long"))
         .withColumn("held", F.lit(False))
     )
-    flown = kept(rows.groupBy("source", "block").applyInPandas(_block, rows.schema), "flown")
+    fullest = rows.groupBy("source", "block").count().agg(F.max("count")).first()[0] or 0
+    if fullest > 4 * block_rows:  # rows that are all alike: dealt by their places
+        hot = rows.groupBy("source", "draw").count().filter(F.col("count") > block_rows).select(F.col("source").alias("_source"), F.col("draw").alias("_draw"))
+        marked = rows.join(hot, F.col("source").eqNullSafe(F.col("_source")) & (F.col("draw") == F.col("_draw")), "left")
+        rows = marked.withColumn("block", F.when(F.col("_draw").isNotNull(), F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("long")).otherwise(F.col("block"))).drop("_source", "_draw")
+    flown = kept(rows.groupBy("source", "block").applyInArrow(_block, rows.schema), "flown")
     open_ = F.col("held") | ((F.col("p") > 0) & (F.col("p") < 1))
-    landed = flown.filter(open_).groupBy("source").applyInPandas(_landing, rows.schema)
+    landed = flown.filter(open_).groupBy("source").applyInArrow(_landing, rows.schema)
     return flown.filter(~open_).unionByName(landed).select("doc_id", "source", "size", "source_size", "target", ((F.col("whole") + F.col("p").cast("long")) * F.col("size")).alias("taken"))
