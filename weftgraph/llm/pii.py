@@ -4,10 +4,11 @@ Entities (e-mail addresses, telephone, card and account numbers, network address
 in whole texts. Each distinct value gets one surrogate, made by a key: of the same type and format (length, separators,
 case, country code, checksum), and for names of the same gender and script. A value's surrogate is the same wherever it
 stands, in whatever format (coreference); given and family names are values of their own, so that a later mention by family
-name still fits. Names found after a title are replaced at their untitled mentions in the same text too, where they begin
-with no small letter. Digits of any script are digits, and keep their script. Surrogates are checked over the whole corpus: where two values of a type would share one, or one would be
-a value that stands in the corpus, all but the first are made again from another draw until none is left (distinctness); when
-the space of a format is used up, surrogates get longer.
+name still fits, and a given name has one surrogate whatever title it follows. Names found after a title are replaced at
+their untitled mentions in the same text too, where they begin with no small letter. Digits of any script are digits, and
+keep their script. Surrogates are checked over the whole corpus: where two values of a type would share one, or one would
+be a value that stands in the corpus, all but the first are made again from another draw until none is left
+(distinctness); when the space of a format is used up, surrogates get longer.
 
 Only rows with entities meet the table of surrogates, by value; all other rows pass through without a shuffle.
 
@@ -26,12 +27,15 @@ from itertools import count
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from .common import kept
 
-KEY = b"weft-surrogates"
+#: Key of tests and synthetic data only, as anyone can read it; real data take theirs from the session's setting.
+PUBLIC_KEY = b"weft-surrogates"
+KEY_SETTING = "spark.weftgraph.surrogate.key"
 #: Title: gender. Names follow titles.
 TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Sir": "m", "Madam": "f", "Dr": "u", "Prof": "u", "Herr": "m", "Herrn": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "Mlle": "f", "Señor": "m", "Señora": "f", "Señorita": "f", "Sra": "f", "Господин": "m", "Госпожа": "f", "Κύριος": "m", "Κυρία": "f"}
 #: Given names by script and gender.
@@ -136,7 +140,7 @@ class _Draw:
 SIGNS = "!#$%()*+-./:?@[]^_{}~"
 
 
-def surrogate(kind: str, value: str, attempt: int, key: bytes = KEY, longer: int = 0) -> str:
+def surrogate(kind: str, value: str, attempt: int, key: bytes = PUBLIC_KEY, longer: int = 0) -> str:
     """The canonical surrogate of a canonical value. longer: by so many characters, syllables or numbers."""
     draw = _Draw(key, kind, value, attempt)
     digit = lambda: str(draw.below(10))
@@ -196,7 +200,7 @@ def formatted(kind: str, surface: str, new: str) -> str:
     return new
 
 
-def surrogate_table(entities: DataFrame, key: bytes = KEY, most: int = 40) -> DataFrame:
+def surrogate_table(entities: DataFrame, key: bytes = PUBLIC_KEY, most: int = 40) -> DataFrame:
     """kind, value and surrogate: distinct within a kind, and none a value of the corpus. Losers of a collision draw again, after most draws longer ones each time."""
     entities = kept(entities.select("kind", "value"), "entities")
 
@@ -224,9 +228,24 @@ def surrogate_table(entities: DataFrame, key: bytes = KEY, most: int = 40) -> Da
         taken = taken.unionByName(won.select("space", "surrogate"))
 
 
-def replace_entities(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """The rows of docs with surrogates in text, and n_entities, the number of values replaced in each."""
-    columns = [c for c in docs.columns if c != "n_entities"]
+def session_key(spark: SparkSession) -> bytes:
+    """The key that the session sets, or the public one, which hides nothing from who knows this code."""
+    return spark.conf.get(KEY_SETTING, PUBLIC_KEY.decode()).encode()
+
+
+def same_names(pairs: DataFrame) -> DataFrame:
+    """kind, value and name: the kind that a value is drawn as. A given name has one surrogate whatever titles it stands after: of the gender that all titles that tell one agree on."""
+    given = F.col("kind").startswith("given_")
+    told = pairs.groupBy(F.when(given, F.lit("given")).otherwise(F.col("kind")).alias("kind"), "value").agg(F.max(F.col("kind") == "given_m").alias("m"), F.max(F.col("kind") == "given_f").alias("f"))
+    gender = F.when(F.col("m") & ~F.col("f"), "given_m").when(F.col("f") & ~F.col("m"), "given_f").otherwise("given_u")
+    return told.select("kind", "value", F.when(F.col("kind") == "given", gender).otherwise(F.col("kind")).alias("drawn"))
+
+
+def replace_entities(docs: DataFrame, key: bytes = PUBLIC_KEY, counted: str = "n_entities") -> DataFrame:
+    """The rows of docs with surrogates in text, and a last column, named by counted, with the number of values replaced in each; a column of docs of that name is kept as it is, and the last one is then ``_`` and the name."""
+    columns = docs.columns
+    while counted in columns:
+        counted = f"_{counted}"
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,12 +254,15 @@ def replace_entities(docs: DataFrame, key: bytes = KEY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array([[{"kind": k, "value": v} for k, v in x] for x in own], kind)], ["_row", "_found"])
 
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"))
-    row_type = packed.schema["_row"].dataType.simpleString()
-    marked = packed.mapInArrow(mark, f"_row {row_type}, _found array<struct<kind:string,value:string>>")
+    pairs = ArrayType(StructType().add("kind", "string").add("value", "string"))
+    marked = packed.mapInArrow(mark, StructType([*packed.schema, StructField("_found", pairs)]))
     hits = kept(marked.filter(F.size("_found") > 0).withColumn("_at", F.monotonically_increasing_id()), "hits")
-    table = surrogate_table(hits.select(F.explode("_found").alias("f")).select("f.kind", "f.value").distinct(), key)
+    met = hits.select("_at", F.explode("_found").alias("f")).select("_at", "f.kind", "f.value")
+    names = kept(same_names(met), "names")
+    table = surrogate_table(names.select(F.col("drawn").alias("kind"), "value"), key).withColumnRenamed("kind", "drawn")
+    table = names.join(table, ["drawn", "value"]).select("kind", "value", "surrogate")
     # a value that many rows hold meets its surrogate in many tasks; the number of values of one row is that of its text
-    met = hits.select("_at", F.explode("_found").alias("f")).select("_at", "f.kind", "f.value").join(table, ["kind", "value"])
+    met = met.withColumn("kind", F.when(F.col("kind").startswith("given_"), "given").otherwise(F.col("kind"))).distinct().join(table, ["kind", "value"])
     maps = met.groupBy("_at").agg(F.collect_list(F.struct("kind", "value", "surrogate")).alias("_map"))
 
     def swap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,13 +271,13 @@ def replace_entities(docs: DataFrame, key: bytes = KEY) -> DataFrame:
             for text, pairs in zip(pc.struct_field(batch.column("_row"), "text").to_pylist(), batch.column("_map").to_pylist(), strict=True):
                 new, out, at, n = {(p["kind"], p["value"]): p["surrogate"] for p in pairs}, [], 0, 0
                 for kind, value, start, end in found(text):
-                    out += [text[at:start], formatted(kind, text[start:end], new[kind, value])]
+                    out += [text[at:start], formatted(kind, text[start:end], new["given" if kind.startswith("given_") else kind, value])]
                     at, n = end, n + 1
                 texts.append("".join(out) + text[at:])
                 numbers.append(n)
             yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(texts, pa.string()), pa.array(numbers, pa.int64())], ["_row", "_text", "n_entities"])
 
-    swapped = hits.join(maps, "_at").select("_row", "_map").mapInArrow(swap, f"_row {row_type}, _text string, n_entities long")
+    swapped = hits.join(maps, "_at").select("_row", "_map").mapInArrow(swap, StructType([*packed.schema, StructField("_text", StringType()), StructField("n_entities", LongType())]))
     rest = marked.filter(F.size("_found") == 0).select("_row", F.col("_row.text").alias("_text"), F.lit(0).cast("long").alias("n_entities"))
 
     def column(c: str) -> Column:
@@ -265,4 +287,4 @@ def replace_entities(docs: DataFrame, key: bytes = KEY) -> DataFrame:
             return F.when(F.col("n_entities") > 0, F.length("_text")).otherwise(F.col("_row.n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars")
         return F.col(f"_row.`{c}`").alias(c)
 
-    return rest.unionByName(swapped).select(*map(column, columns), "n_entities")
+    return rest.unionByName(swapped).select(*map(column, columns), F.col("n_entities").alias(counted))

@@ -11,7 +11,7 @@ from .decontaminate import benchmark_matches
 from .fingerprints import compare_neighbours
 from .jaccard import near_duplicates
 from .mixing import mix_sources
-from .pii import replace_entities
+from .pii import replace_entities, session_key
 from .quality import grades, score_quality
 from .suffix_tree import score_documents
 from .toxicity import score_toxicity
@@ -28,7 +28,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replace_entities(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return replace_entities(_table(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
