@@ -12,8 +12,8 @@ document's evidence (its best word, how many words lie on the toxic side, its le
 
 Words are scored once for each slice of text and kept for the task. Nothing is shuffled.
 
-Defined cases: a null or empty text scores as a document without evidence; without labels of both kinds every score is the
-share of toxic labels, or 0; null ids are held out; repeated rows score alike; an empty table gives an empty result; other
+Defined cases: a null or empty text scores as a document without evidence; without labelled texts of both kinds that have
+words every score is the share of toxic labels, or 0; null ids are held out; repeated rows score alike; an empty table gives an empty result; other
 columns are ignored.
 """
 
@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import by_row, learnt, slices, span_hashes, word_bounds
 
@@ -183,7 +184,7 @@ def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds
                 sentences.append(np.array([index.setdefault(w.lower(), len(index)) for w in own]))
                 owner.append(k)
     words, of = list(index), np.array(owner)
-    if not words:
+    if len(set(y[of].tolist())) < 2:  # one of the kinds has no words
         return Machine(empty, 0.0, None, float(y.mean()))
     flat, begins = np.concatenate(sentences), np.cumsum([0, *map(len, sentences)])[:-1]
     rows = np.repeat(of, [len(s) for s in sentences])
@@ -293,6 +294,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, parts: int = 5) -> DataFr
 
     columns = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns if c != "text"], F.col("text")).alias("_row"))
-    scored = packed.mapInArrow(run, f"_row {packed.schema['_row'].dataType.simpleString()}, score double")
+    scored = packed.mapInArrow(run, StructType([*packed.schema, StructField("score", DoubleType())]))
     own = [F.col(f"_row.`{c}`").alias(c) for c in columns if c not in ("held_out", "score", "predicted")]
     return scored.select(*own, held_out(F.col("_row.doc_id"), parts).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
