@@ -254,22 +254,110 @@ def test_url_rules_and_segments(spark):
     assert got[5]["words"].startswith("cheap pills online") and got[5]["verdict"] == "block" and got[6]["words"].startswith("daily news") and got[6]["verdict"] == "allow"
 
 
-def test_pipeline_against_its_parts(spark, docs, tmp_path):
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Toxic, copied, near, benchmark and personal rows, each on its own; sets and alignments by plain Python."""
     pipeline = pytest.importorskip("corpus_pipeline")
     rng = random.Random(21)
+    base = [text(rng, 50) for _ in range(60)]
+    bad = [f"{text(rng, 20)} blorkhead {text(rng, 20)}" for _ in range(30)]
     item = text(rng, 30)
-    rows = docs.select("doc_id", "text", F.lit("en").alias("lang"), "source", F.length("text").cast("long").alias("n_chars")).filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    rows = rows.unionByName(spark.createDataFrame([(50, f"{text(rng, 40)} {item}", "en", "s0", 1), (51, f"{text(rng, 40)} reach x.y@z.example.com", "en", "s1", 1)], rows.schema))
-    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    near = base[1].split()
+    near[49] = "changed"
+    rows = [(k, t) for k, t in enumerate(base)] + [(100 + k, t) for k, t in enumerate(bad)]
+    rows += [(200, base[0]), (201, " ".join(near)), (3, base[3]), (5, base[1]), (210, f"{text(rng, 40)} {item}"), (211, f"{text(rng, 40)} reach x.y@z.example.com"), (220, None), (221, "")]
+    table = spark.createDataFrame([(i, t, "en", "s%d" % (i % 3), len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    table.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(i, 1, int(i >= 100)) for i, t in rows if i < 130 and i % 4], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     d, seen = str(tmp_path), {}
     out = spark.read.parquet(f"{d}/documents.parquet")
     for name, stage in pipeline.STAGES:
         out = common.kept(stage(spark, out, d))
-        seen[name] = {r["doc_id"]: r for r in out.collect()}
-    whole = {r["doc_id"] for r in rows.collect()}
-    assert set(seen["toxicity"]) == whole and set(seen["near duplicates"]) == whole - {20, 21}
-    assert set(seen["benchmark decontamination"]) == whole - {20, 21, 50}
-    assert "x.y@z.example.com" not in seen["personal data"][51]["text"]
-    assert seen["mixing"] and set(seen["mixing"]) <= set(seen["personal data"])
+        seen[name] = out.collect()
+    pairs = lambda name: sorted((r["doc_id"], r["text"] or "") for r in seen[name])
+    want = sorted((i, t or "") for i, t in rows if "blorkhead" not in (t or ""))
+    assert pairs("toxicity") == want
+    shingles = [frozenset(tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)) for _, t in want]
+    left = []
+    for (i, t), s in zip(want, shingles, strict=True):
+        if not s or all(100 * len(s & u) < 80 * len(s | u) for _, u in left):
+            left.append(((i, t), s))
+    want = [row for row, _ in left]
+    assert pairs("near duplicates") == want and (5, base[5]) in want and (5, base[1]) not in want
+    want = [row for row in want if item not in row[1]]
+    assert pairs("benchmark decontamination") == want
+    assert [i for i, _ in pairs("personal data")] == [i for i, _ in want]
+    assert [t for i, t in pairs("personal data") if i != 211] == [t for i, t in want if i != 211] and "x.y@z" not in dict(pairs("personal data"))[211]
+    taken = {(r["source"], r["target"]): 0 for r in seen["mixing"]}
+    for r in seen["mixing"]:
+        taken[r["source"], r["target"]] += r["taken"]
+    total = sum(len(t.split()) for _, t in want)
+    assert len(taken) == 3 and abs(sum(taken.values()) - total) < 0.1 * total and {r["doc_id"] for r in seen["mixing"]} <= {i for i, _ in want}
+
+
+def test_one_of_each_decides_by_row(spark, docs):
+    rng = random.Random(31)
+    a, b = text(rng, 60), text(rng, 60)
+    rows = [(1, a, "x"), (5, a, "y"), (5, b, "z"), (7, b, "u"), (7, b, "v"), (None, a, "n"), (8, None, "w"), (9, "", "w"), (9, "", "w")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, `my col` string")
+    got = [tuple(r) for r in jaccard.one_of_each(table).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [rows[0], rows[2], rows[6], rows[7], rows[8]]))
+    twice = spark.createDataFrame([(1, a, "x"), (1, a, "y"), (2, b, "z")], table.schema)
+    assert sorted((r["doc_id"], r["text"]) for r in jaccard.one_of_each(twice).collect()) == [(1, a), (2, b)]
+    assert jaccard.one_of_each(table.limit(0)).count() == 0
+
+
+def test_mixing_passes_ids_on_as_they_are(spark):
+    rng = random.Random(12)
+    ids = [9007199254740993, 9007199254740995, None, None, 4, 4]
+    table = spark.createDataFrame([(i, text(rng, 9), "s") for i in ids], "doc_id long, text string, source string")
+    assert sorted(map(str, (r["doc_id"] for r in mixing.mix_sources(table).collect()))) == sorted(map(str, ids))
+    alike = spark.createDataFrame([(None, "one two three", "ab"[k % 5 == 0]) for k in range(3000)], table.schema)
+    rows = mixing.mix_sources(alike, block_rows=100).collect()
+    for s in "ab":
+        own = [r for r in rows if r["source"] == s]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 30
+
+
+def test_mixing_targets_by_plain_resharing(spark):
+    sizes = {"a": 100, "b": 10, "c": 40, "d": 0, None: 7}
+    rows = [(k, " ".join("w" for _ in range(n)), s) for k, (s, n) in enumerate(sizes.items())]
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    capped = set()
+    while True:
+        level = (sum(sizes.values()) - sum(3 * sizes[s] for s in capped)) / sum(weight[s] for s in order if s not in capped)
+        over = {s for s in order if s not in capped and weight[s] * level > 3 * sizes[s]}
+        if not over:
+            break
+        capped |= over
+    want = {s: 3.0 * sizes[s] if s in capped else weight[s] * level for s in order}
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r["source"]: (r["source_size"], round(r["target"], 6)) for r in got} == {s: (sizes[s], round(want[s], 6)) for s in order}
+
+
+def test_toxicity_with_blank_or_odd_tables(spark):
+    rng = random.Random(6)
+    rows = [(k, f"{text(rng, 9)} blorkhead", "c", 1) for k in range(20)] + [(100 + k, " ", "c", 1) for k in range(20)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, `my col` string, score int")
+    labels = spark.createDataFrame([(i, int(i < 100)) for i, *_ in rows], "doc_id long, toxic int")
+    got = toxicity.score_toxicity(table, labels)
+    assert got.columns == ["doc_id", "text", "my col", "held_out", "score", "predicted"] and got.count() == 40
+    full = spark.createDataFrame([(k, f"{text(rng, 20)}{' blorkhead' if k % 3 == 0 else ''}", "c", 1) for k in range(240)] + [(None, None, "c", 1), (3, "", "c", 1)], table.schema)
+    marks = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(240)], "doc_id long, toxic int")
+    scored = toxicity.score_toxicity(full, marks).filter("held_out AND doc_id IS NOT NULL AND text <> ''").collect()
+    assert scored and all(r["predicted"] == int(r["doc_id"] % 3 == 0) for r in scored)
+    assert toxicity.score_toxicity(full.limit(0), marks).count() == 0
+
+
+def test_surrogates_of_a_name_after_several_titles(spark):
+    rows = [(1, "Frau Anna Weber and Dr. Anna Weber", 3), (1, "Frau Anna Weber and Dr. Anna Weber", 3)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, `my col` int")
+    got = pii.replace_entities(table.withColumn("n_entities", F.lit("kept")))
+    assert got.columns == ["doc_id", "text", "my col", "n_entities", "_n_entities"]
+    texts = {r["text"] for r in got.collect()}
+    a, b, c, d = re.fullmatch(r"Frau (\w+) (\w+) and Dr\. (\w+) (\w+)", texts.pop()).groups()
+    assert not texts and a == c != "Anna" and b == d != "Weber" and a.casefold() in {n.casefold() for n in pii.GIVEN["latin", "f"]}
+    assert pii.replace_entities(table.limit(0)).count() == 0
+    other = {r["text"] for r in pii.replace_entities(table, b"another key").collect()}
+    assert other != {r["text"] for r in got.collect()}

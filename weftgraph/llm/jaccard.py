@@ -82,16 +82,16 @@ def own_share(sizes: np.ndarray) -> np.ndarray:
 
 
 def documents_sets(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, set (content key; null if empty) and size of each row."""
+    """doc_id, key (a hash of the text), set (content key; null if empty) and size of each row."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in some_rows(batch):
                 sets, sizes = row_sets(data, offsets, n)
-                yield pa.record_batch([rows.column("doc_id"), pa.array(set_keys(sets, sizes), mask=sizes == 0), pa.array(sizes)], ["doc_id", "set", "size"])
+                yield pa.record_batch([rows.column("doc_id"), rows.column("key"), pa.array(set_keys(sets, sizes), mask=sizes == 0), pa.array(sizes)], ["doc_id", "key", "set", "size"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(measure, f"doc_id {kind}, set long, size long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("key")).mapInArrow(measure, f"doc_id {kind}, key long, set long, size long")
 
 
 def prefix_postings(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -123,7 +123,8 @@ def prefix_postings(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 sets, sizes = row_sets(data, offsets, n)
                 ends = np.cumsum(sizes)
                 take = np.arange(len(sets)) - np.repeat(ends - sizes, sizes) < np.repeat(sizes - least(sizes, percent) + own_share(sizes), sizes)
-                held.append((sets[take], np.repeat(set_keys(sets, sizes), sizes)[take]))
+                if len(sets):
+                    held.append((sets[take], np.repeat(set_keys(sets, sizes), sizes)[take]))
                 if sum(len(h) for h, _ in held) > MERGE_ROWS:
                     yield from out()
         yield from out()
@@ -286,13 +287,36 @@ def set_components(sets: DataFrame, percent: int) -> DataFrame:
     return groups
 
 
-def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links, its own included) of each row. Sets are linked when percent of their union is shared."""
+def grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc_id, key, size and group of each row: rows of a group are linked, a row without words has none. Sets are linked when percent of their union is shared."""
     members = kept(documents_sets(docs, n), "members")
     left = kept(survivors(docs, members, n, percent), "survivors")
     sets = kept(whole_sets(docs, members, left, n), "sets")
     groups = set_components(sets, percent)
-    placed = members.join(groups.withColumnRenamed("node", "set"), "set", "left").withColumn("group", F.coalesce("component", "set"))
+    return members.join(groups.withColumnRenamed("node", "set"), "set", "left").select("doc_id", "key", "size", F.coalesce("component", "set").alias("group"))
+
+
+def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links, its own included) of each row."""
+    placed = grouped(docs, n, percent)
     names = placed.filter(F.col("group").isNotNull()).groupBy("group").agg(F.min("doc_id").alias("component_id"))
     # only a group of several rows needs a look at its name; a row without a set is alone
     return placed.join(names, "group", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each group of near duplicates, all columns: that of the smallest doc_id (null last), then of the smallest hash of its text. Rows without words stay. A row is known by doc_id and text, so rows of equal ids don't hide one another; of rows that are equal in both one stays."""
+    columns = docs.columns
+    placed = kept(grouped(docs, n, percent).filter(F.col("group").isNotNull()), "placed")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "key")
+    several = placed.groupBy("group").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    # the first row of a group may stand several times; it alone is then looked at once more
+    gone = placed.join(several, "group").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("key") == F.col("first.key")))
+    fate = kept(gone.groupBy("doc_id", "key").agg(F.max("stays").alias("stays"), F.count("*").alias("n")).filter("NOT stays OR n > 1").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("stays").alias("_stays")), "fate")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
+    marked = docs.join(fate.select("_id", "_key", "_stays"), same, "left")
+    left = marked.filter("_key IS NULL").select(*[F.col(f"`{c}`") for c in columns])
+    if fate.filter("_stays").isEmpty():
+        return left
+    twice = docs.join(fate.filter("_stays"), same).dropDuplicates(["_id", "_key"])
+    return left.unionByName(twice.select(*[F.col(f"`{c}`") for c in columns]))
