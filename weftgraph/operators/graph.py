@@ -41,12 +41,12 @@ def strongest(edges: DataFrame) -> DataFrame:
 
 def hops(edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
     """node and hop: nodes within so many undirected hops of the seeds (node), at their least hop."""
-    ways = both_ways(edges.select("source", "target")).distinct()
+    ways = stored(both_ways(edges.select("source", "target")).distinct())
     reached = seeds.select("node").distinct().withColumn("hop", F.lit(0).cast("long"))
     front = reached
     for k in range(1, depth + 1):
         step = front.join(ways, F.col("node") == F.col("source")).select(F.col("target").alias("node")).distinct()
-        front = step.join(reached, "node", "left_anti").withColumn("hop", F.lit(k).cast("long"))
+        front = stored(step.join(reached, "node", "left_anti").withColumn("hop", F.lit(k).cast("long")))
         reached = reached.unionByName(front)
     return reached
 
@@ -68,13 +68,17 @@ def distances(edges: DataFrame, goals: DataFrame) -> DataFrame:
     """node and distance from the nearest goal (node), undirected, by relation weights; relations of no weight aren't walked. Only nodes that came nearer in a round are expanded in the next."""
     ways = both_ways(edges.select("source", "target", "relation")).withColumn("w", edge_weight(F.col("relation"))).filter("w IS NOT NULL").groupBy("source", "target").agg(F.min("w").alias("w"))
     ways = stored(ways)
+    # fronts are kept as they are; a node's distance is the least of all fronts, merged when they have become many
     best = stored(goals.select("node").distinct().withColumn("distance", F.lit(0).cast("long")))
-    front = best
+    front, fronts = best, 0
     while not front.isEmpty():
         step = front.join(ways, F.col("node") == F.col("source")).groupBy(F.col("target").alias("node")).agg(F.min(F.col("distance") + F.col("w")).alias("new"))
-        front = stored(step.join(best, "node", "left").filter("distance IS NULL OR new < distance").select("node", F.col("new").alias("distance")))
-        best = stored(best.join(front.select("node"), "node", "left_anti").unionByName(front))
-    return best
+        known = best.join(step.select("node"), "node", "left_semi").groupBy("node").agg(F.min("distance").alias("distance"))
+        front = stored(step.join(known, "node", "left").filter("distance IS NULL OR new < distance").select("node", F.col("new").alias("distance")))
+        best, fronts = best.unionByName(front), fronts + 1
+        if fronts % 8 == 0:
+            best = stored(best.groupBy("node").agg(F.min("distance").alias("distance")))
+    return stored(best.groupBy("node").agg(F.min("distance").alias("distance")))
 
 
 def arriving_relations(edges: DataFrame, found: DataFrame) -> DataFrame:
@@ -87,8 +91,8 @@ def arriving_relations(edges: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def propagated(seeds: DataFrame, edges: DataFrame, decay: float = DECAY) -> DataFrame:
-    """key, node and score: seed scores (key, node, score), and what one hop adds: score times edge score times decay over log2(2 + degree), the largest for a node; never less than its own."""
+    """key, node and score: seed scores (key, node, score), and what one hop adds: score times edge score times decay over log2(2 + degree) of the node that it reaches, the largest for a node; never less than its own."""
     ways = both_ways(edges.select("source", "target", F.coalesce("score", F.lit(0.0)).alias("edge")))
-    degree = ways.groupBy("source").agg(F.count("*").alias("degree"))
-    sent = seeds.join(ways, F.col("node") == F.col("source")).join(degree, "source").select("key", F.col("target").alias("node"), (F.col("score") * F.col("edge") * decay / F.log2(F.col("degree") + 2)).alias("score")).filter("score > 0")
+    degree = ways.groupBy(F.col("source").alias("target")).agg(F.count("*").alias("degree"))
+    sent = seeds.join(ways, F.col("node") == F.col("source")).join(degree, "target").select("key", F.col("target").alias("node"), (F.col("score") * F.col("edge") * decay / F.log2(F.col("degree") + 2)).alias("score")).filter("score > 0")
     return seeds.select("key", "node", "score").unionByName(sent).groupBy("key", "node").agg(F.max("score").alias("score"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..constants import MIN_SCORE, TOP_K
 from ..functions.text import tokens
+from ..tables import stored
 
 
 def term_counts(texts: DataFrame) -> DataFrame:
@@ -24,13 +25,17 @@ def idf(counts: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def vectors(texts: DataFrame) -> DataFrame:
-    """id, token and weight."""
-    counts = term_counts(texts)
-    return counts.join(idf(counts, texts), "token").select("id", "token", (F.col("n") / F.col("size") * F.col("idf")).alias("weight"))
+    """id, token and weight. Texts are tokenised once: the counts are stored, as frequencies and weights both need them."""
+    counts = stored(term_counts(texts))
+    return weights(counts, idf(counts, texts))
 
 
-def norms(weights: DataFrame) -> DataFrame:
-    return weights.groupBy("id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+def weights(counts: DataFrame, frequencies: DataFrame) -> DataFrame:
+    return counts.join(frequencies, "token").select("id", "token", (F.col("n") / F.col("size") * F.col("idf")).alias("weight"))
+
+
+def norms(vectors: DataFrame) -> DataFrame:
+    return vectors.groupBy("id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
 
 
 def query_vectors(queries: DataFrame, frequencies: DataFrame) -> DataFrame:
@@ -61,20 +66,20 @@ def similar_edges(pairs: DataFrame, k: int = TOP_K, least: float = MIN_SCORE) ->
 
 
 def query_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """query_id, id and score of each query and each document that share a token. Documents of score 0 are left to with_zeros."""
-    counts = term_counts(docs)
-    frequencies = idf(counts, docs)
-    weights = counts.join(frequencies, "token").select("id", "token", (F.col("n") / F.col("size") * F.col("idf")).alias("weight"))
+    """query_id, id and score of each query and each document that share a token. Documents of score 0 are left to with_zeros. Texts are read once; norms and dot products come from one aggregation of the weights."""
+    counts = stored(term_counts(docs))
+    frequencies = stored(idf(counts, docs))
     q = query_vectors(queries, frequencies)
-    q = q.join(norms(q), "id").select(F.col("id").alias("query_id"), "token", (F.col("weight") / F.col("norm")).alias("wq"))
+    q = stored(q.join(norms(q), "id").select(F.col("id").alias("query_id"), "token", (F.col("weight") / F.col("norm")).alias("wq")))
+    told = weights(counts, frequencies)
     # the queries' few tokens thin out the postings before any score is summed
-    dots = weights.join(q, "token").groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("wq")).alias("dot"))
-    return dots.join(norms(weights), "id").select("query_id", "id", (F.col("dot") / F.col("norm")).alias("score"))
+    dots = told.join(q, "token").groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("wq")).alias("dot"))
+    return dots.join(norms(told), "id").select("query_id", "id", (F.col("dot") / F.col("norm")).alias("score"))
 
 
 def with_zeros(scores: DataFrame, queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """Scores, and for each query the first k documents in id order at 0, so that a ranking of k is always full."""
-    first = docs.select("id").orderBy("id").limit(k).crossJoin(F.broadcast(queries.select(F.col("id").alias("query_id"))))
+    first = docs.select("id").orderBy("id").limit(k).crossJoin(queries.select(F.col("id").alias("query_id")))
     missing = first.join(scores, ["query_id", "id"], "left_anti")
     return scores.unionByName(missing.select("query_id", "id", F.lit(0.0).alias("score")))
 

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .constants import GENERIC_NAMES, STOPWORDS
 from .functions import text as T
-from .operators import checks, graph, mentions, planning, vectors
+from .operators import checks, graph, mentions, planning, retrieval, vectors
 from .streaming.sessions import active_states, state_counts
-from .tables import table
+from .tables import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -37,6 +38,17 @@ tf AS (SELECT id, token, size, count(*) AS n FROM one GROUP BY ALL),
 idf AS (SELECT token, count(*) AS df, ln((1.0 + (SELECT count(*) FROM src)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY token),
 vec AS (SELECT id, token, n::DOUBLE / size * idf AS weight FROM tf JOIN idf USING (token)),
 norm AS (SELECT id, sqrt(sum(weight * weight)) AS norm FROM vec GROUP BY id)"""
+
+
+def _tf(k: str) -> str:
+    """The same tables over src<k>, their names ending in k."""
+    out = _TF
+    for name in ("tok", "one", "tf", "idf", "vec", "norm"):
+        out = re.sub(rf"\b{name} AS \(", f"{name}{k} AS (", out)
+        out = re.sub(rf"\b(FROM|JOIN) {name}\b", rf"\1 {name}{k}", out)
+    return re.sub(r"\bFROM src\b", f"FROM src{k}", out)
+
+
 _DOCS = "src AS (SELECT doc_id AS id, text FROM documents)"
 
 
@@ -66,7 +78,8 @@ qtf AS (SELECT item_id, token, size, count(*) AS n FROM qone GROUP BY ALL),
 qvec AS (SELECT item_id, token, n::DOUBLE / size * coalesce(idf, ln(2)) AS weight FROM qtf LEFT JOIN idf USING (token)),
 qnorm AS (SELECT item_id, sqrt(sum(weight * weight)) AS qn FROM qvec GROUP BY item_id),
 scores AS (SELECT item_id, id, sum(v.weight * q.weight) / (norm * qn) AS score FROM vec v JOIN qvec q USING (token) JOIN norm USING (id) JOIN qnorm USING (item_id) GROUP BY item_id, id, norm, qn),
-ranked AS (SELECT item_id, id AS doc_id, round(score, 4) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, id) AS rank FROM scores)"""
+every AS (SELECT item_id, id, score FROM scores UNION ALL SELECT item_id, id, 0.0 FROM benchmark, (SELECT id FROM src ORDER BY id LIMIT 3) WHERE (item_id, id) NOT IN (SELECT (item_id, id) FROM scores)),
+ranked AS (SELECT item_id, id AS doc_id, round(score, 4) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, id) AS rank FROM every)"""
 
 
 def _nearest(spark: SparkSession, d: str, k: int) -> DataFrame:
@@ -88,6 +101,43 @@ def retrieval_metrics_hit_at_k(spark: SparkSession, d: str) -> DataFrame:
     return good.agg(F.count("*").alias("n_queries"), F.count_if(F.col("good") > 0).alias("hits"), F.sum("good").alias("recovered"), (F.count("*") * 3 - F.sum("good")).alias("missed"))
 
 
+#: Documents are chunks that mention their source and their language; the first texts of both are their contexts.
+_LINKS_SQL = """refs AS (SELECT doc_id, 'source ' || source AS node FROM documents UNION ALL SELECT doc_id, 'lang ' || lang FROM documents),
+src2 AS (SELECT node AS id, node || chr(10) || string_agg(text, ' ' ORDER BY doc_id) AS text FROM (SELECT node, doc_id, text, row_number() OVER (PARTITION BY node ORDER BY doc_id) AS n FROM refs JOIN documents USING (doc_id)) WHERE n <= 3 GROUP BY node),
+co AS (SELECT p.node AS a, q.node AS b, count(*) AS n FROM refs p JOIN refs q ON p.doc_id = q.doc_id AND p.node < q.node GROUP BY ALL), ways AS (SELECT a, b, n::DOUBLE / (SELECT max(n) FROM co) AS s FROM co UNION ALL SELECT b, a, n::DOUBLE / (SELECT max(n) FROM co) FROM co), deg AS (SELECT a AS node, count(*) AS degree FROM ways GROUP BY a)"""
+_RERANK_SQL = f"""{_QUERY_SQL}, {_LINKS_SQL}, {_tf("2")},
+eqvec AS (SELECT item_id, token, n::DOUBLE / size * coalesce(idf, ln(2)) AS weight FROM qtf LEFT JOIN idf2 USING (token)), eqnorm AS (SELECT item_id, sqrt(sum(weight * weight)) AS qn FROM eqvec GROUP BY item_id),
+es AS (SELECT item_id, id AS node, sum(v.weight * q.weight) / (norm * qn) AS score FROM vec2 v JOIN eqvec q USING (token) JOIN norm2 USING (id) JOIN eqnorm USING (item_id) GROUP BY item_id, id, norm, qn),
+sd AS (SELECT item_id, node, score / log2(2 + coalesce(degree, 0)) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, node) AS n FROM es) LEFT JOIN deg USING (node) WHERE n <= 4 AND score > 0.01),
+rc AS (SELECT item_id, node, max(score) AS score FROM (FROM sd UNION ALL SELECT item_id, b, score * s * 0.65 / log2(2 + degree) FROM sd JOIN ways ON a = sd.node JOIN deg ON deg.node = b) GROUP BY ALL),
+cv AS (SELECT item_id, doc_id AS id, sum(score) / sqrt(2) AS cover, count(*) AS density FROM refs JOIN rc USING (node) GROUP BY ALL),
+fin AS (SELECT item_id, id, 0.35 * coalesce(s.score, 0) / (SELECT max(score) FROM scores m WHERE m.item_id = z.item_id) + 0.55 * coalesce(cover, 0) / coalesce((SELECT max(score) FROM rc WHERE rc.item_id = z.item_id), 1) + 0.10 * least(coalesce(density, 0), 3) / 3.0 AS score
+FROM (SELECT item_id, id FROM scores UNION SELECT item_id, id FROM cv) z LEFT JOIN scores s USING (item_id, id) LEFT JOIN cv USING (item_id, id)),
+best AS (SELECT item_id, id AS doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, id) AS rank, round(score, 4) AS score FROM fin QUALIFY rank <= 3)"""
+
+
+def _reranked(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
+    refs = docs.select("doc_id", F.explode(F.array(F.concat(F.lit("source "), "source"), F.concat(F.lit("lang "), "lang"))).alias("node")).filter("node IS NOT NULL")
+    order = Window.partitionBy("node").orderBy("doc_id")
+    first = refs.withColumn("n", F.row_number().over(order)).filter("n <= 3").join(docs.select("doc_id", "text"), "doc_id")
+    contexts = first.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]).alias("contexts"))
+    none = F.array().cast("array<string>")
+    profiles = contexts.select(F.col("node").alias("id"), F.col("node").alias("name"), F.lit("").alias("type"), none.alias("aliases"), none.alias("tags"), none.alias("keywords"), "contexts", none.alias("related"), F.lit("").alias("representation"))
+    pairs = stored(mentions.co_mentions(refs.select(F.col("doc_id").alias("chunk_id"), F.col("node").alias("entity_id"))))
+    edges = pairs.crossJoin(pairs.agg(F.max("n").alias("most"))).select(F.col("a").alias("source"), F.col("b").alias("target"), (F.col("n") / F.col("most")).alias("score"))
+    base = stored(vectors.query_scores(items, _docs(spark, d)).select(F.col("query_id").alias("key"), F.col("id").alias("chunk_id"), "score"))
+    scores = stored(vectors.query_scores(items, retrieval.entity_texts(profiles)).select(F.col("query_id").alias("key"), F.col("id").alias("node"), "score"))
+    final = retrieval.reranked(base, scores, edges, refs.select(F.col("doc_id").alias("chunk_id"), "node"))
+    return vectors.ranked(final, "key", "chunk_id", 3).select(F.col("key").alias("item_id"), F.col("chunk_id").alias("doc_id"), "rank", F.round("score", 4).alias("score"))
+
+
+@query(f"{_RERANK_SQL} SELECT item_id, doc_id, rank, score FROM best")
+def entity_aware_rerank(spark: SparkSession, d: str) -> DataFrame:
+    return _reranked(spark, d)
+
+
 _WORDS = r"list_filter(string_split_regex(text, '[\s\p{Z}\x{85}\x0b\x1c-\x1f]+'), lambda w: w <> '')"
 
 
@@ -398,17 +448,17 @@ def goal_distance_via_relation(spark: SparkSession, d: str) -> DataFrame:
 
 
 _PROP = f"""{_CO}, e AS (SELECT a, b, n::DOUBLE / (SELECT max(n) FROM co) AS s FROM co), w AS (SELECT a AS x, b AS y, s FROM e UNION ALL SELECT b, a, s FROM e), deg AS (SELECT x, count(*) AS degree FROM w GROUP BY x), c AS (SELECT e, count(*)::DOUBLE AS k FROM m GROUP BY e), seed AS (SELECT e AS node, k / (SELECT max(k) FROM c) AS score FROM c ORDER BY k DESC, e LIMIT 4),
-pp AS (SELECT node, score FROM seed UNION ALL SELECT y, score * s * 0.65 / log2(2 + degree) FROM seed JOIN w ON x = node JOIN deg USING (x)), prop AS (SELECT node, max(score) AS score FROM pp GROUP BY node)"""
+pp AS (SELECT node, score FROM seed UNION ALL SELECT y, score * s * 0.65 / log2(2 + degree) FROM seed JOIN w ON w.x = node JOIN deg ON deg.x = y), prop AS (SELECT node, max(score) AS score FROM pp GROUP BY node)"""
 
 
 @query(f"WITH {_PROP} SELECT 'all' AS key, node, round(score, 6) AS score FROM prop")
 def score_propagation(spark: SparkSession, d: str) -> DataFrame:
-    found = _found(spark, d)
-    pairs = mentions.co_mentions(found)
+    found = stored(_found(spark, d).select("entity_id", "chunk_id").distinct())
+    pairs = stored(mentions.co_mentions(found))
     most = pairs.agg(F.max("n").alias("most"))
-    edges = pairs.crossJoin(F.broadcast(most)).select(F.col("a").alias("source"), F.col("b").alias("target"), (F.col("n") / F.col("most")).alias("score"))
-    counts = found.select("entity_id", "chunk_id").distinct().groupBy(F.col("entity_id").alias("node")).agg(F.count("*").alias("k"))
-    seeds = counts.orderBy(F.desc("k"), "node").limit(4).crossJoin(F.broadcast(counts.agg(F.max("k").alias("most")))).select(F.lit("all").alias("key"), "node", (F.col("k") / F.col("most")).alias("score"))
+    edges = pairs.crossJoin(most).select(F.col("a").alias("source"), F.col("b").alias("target"), (F.col("n") / F.col("most")).alias("score"))
+    counts = found.groupBy(F.col("entity_id").alias("node")).agg(F.count("*").alias("k"))
+    seeds = counts.orderBy(F.desc("k"), "node").limit(4).crossJoin(counts.agg(F.max("k").alias("most"))).select(F.lit("all").alias("key"), "node", (F.col("k") / F.col("most")).alias("score"))
     return graph.propagated(seeds, edges).select("key", "node", F.round("score", 6).alias("score"))
 
 
@@ -422,13 +472,13 @@ def skill_graph_edges_maxmerge(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_CATALOG}, c AS (SELECT p_brand, p_name, count(*) AS n FROM part GROUP BY ALL) SELECT p_brand, p_name, n FROM c WHERE n >= 5 OR p_brand IN (FROM cat)")
 def min_mention_catalog(spark: SparkSession, d: str) -> DataFrame:
     counted = table(spark, d, "part").groupBy("p_brand", "p_name").agg(F.count("*").alias("n"))
-    known = F.broadcast(_catalog(spark, d).select(F.col("entity_id").alias("p_brand"), F.lit(True).alias("known")))
+    known = _catalog(spark, d).select(F.col("entity_id").alias("p_brand"), F.lit(True).alias("known"))
     return counted.join(known, "p_brand", "left").filter("n >= 5 OR known").select("p_brand", "p_name", "n")
 
 
 # --- planning -------------------------------------------------------------------------------------------------------
 
-_SESSIONS = "se AS (SELECT user_id AS session_id, list_sort(list_distinct(list(event_type) FILTER (event_type <> 'purchase'))) AS active FROM events WHERE event_id % 2 = 0 GROUP BY user_id)"
+_SESSIONS = "se AS (SELECT user_id AS session_id, list_sort(list_distinct(list(event_type) FILTER (event_type <> 'purchase'))) AS active FROM events GROUP BY user_id)"
 _UNMET = "list_filter(pre, lambda p: CASE WHEN starts_with(p, 'NOT ') THEN list_contains(active, substr(p, 5)) ELSE NOT list_contains(active, p) END)"
 
 
@@ -439,13 +489,33 @@ def _sessions(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_SKILLS}, {_SESSIONS} SELECT session_id, name, array_to_string({_UNMET}, ',') AS unmet FROM se, sk")
 def precondition_check(spark: SparkSession, d: str) -> DataFrame:
-    pairs = _sessions(spark, d).crossJoin(F.broadcast(_skills(spark)))
+    pairs = _sessions(spark, d).crossJoin(_skills(spark))
     return pairs.select("session_id", "name", F.array_join(planning.unmet(F.col("active"), F.col("preconditions")), ",").alias("unmet"))
 
 
-@query(f"WITH {_SKILLS}, {_SESSIONS}, c AS (SELECT session_id, name, CASE cost WHEN 'low' THEN 0 WHEN 'high' THEN 2 ELSE 1 END::BIGINT AS cost_rank, len(post) AS produces FROM se, sk WHERE len({_UNMET}) = 0) SELECT session_id, name, cost_rank, row_number() OVER (PARTITION BY session_id ORDER BY cost_rank, produces DESC, name) AS rank FROM c")
+#: Relations between states; distances from the goal go over them.
+STATE_EDGES = (("view", "click", "LEADS_TO"), ("click", "purchase", "REQUIRES"), ("signup", "purchase", "IMPLIES"), ("error", "click", "BLOCKED_BY"), ("view", "signup", "SIMILAR"))
+_NEAR = "near AS (SELECT * FROM (VALUES ('purchase', 0::BIGINT), ('click', 1::BIGINT), ('signup', 2::BIGINT), ('view', 2::BIGINT)) v(node, distance))"
+_RANKED = f"""c AS (SELECT session_id, name, CASE cost WHEN 'low' THEN 0 WHEN 'high' THEN 2 ELSE 1 END::BIGINT AS cost_rank, len(post) AS produces, (SELECT coalesce(min(distance), 9223372036854775807) FROM near WHERE list_contains(post, node)) AS proximity FROM se, sk WHERE len({_UNMET}) = 0),
+rk AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY cost_rank, proximity, produces DESC, name) AS rank FROM c)"""
+
+
+def _ranked(spark: SparkSession, d: str) -> DataFrame:
+    edges = spark.createDataFrame(STATE_EDGES, "source string, target string, relation string")
+    return planning.candidates(_sessions(spark, d), _skills(spark), graph.distances(edges, _node(spark, "purchase")))
+
+
+@query(f"WITH {_SKILLS}, {_SESSIONS}, {_NEAR}, {_RANKED} SELECT session_id, name, cost_rank, proximity, rank FROM rk")
 def eligible_candidates_ranked(spark: SparkSession, d: str) -> DataFrame:
-    return planning.candidates(_sessions(spark, d), _skills(spark)).select("session_id", "name", "cost_rank", "rank")
+    return _ranked(spark, d).select("session_id", "name", "cost_rank", "proximity", "rank")
+
+
+@query(f"""WITH {_SKILLS}, {_SESSIONS}, {_NEAR}, {_RANKED}, w AS (SELECT * FROM rk WHERE rank = 1)
+SELECT session_id, w.name AS winner, r.name, coalesce(nullif(concat_ws('; ', CASE WHEN r.cost_rank > w.cost_rank THEN 'cost ' || ['low', 'medium', 'high'][r.cost_rank + 1] || ' > ' || ['low', 'medium', 'high'][w.cost_rank + 1] END,
+CASE WHEN r.proximity > w.proximity THEN 'proximity ' || r.proximity || ' > ' || w.proximity END, CASE WHEN r.produces < w.produces THEN 'fewer postconditions (' || r.produces || ' < ' || w.produces || ')' END), ''), 'same score, lower alphabetical rank') AS reason
+FROM rk r JOIN w USING (session_id) WHERE r.rank > 1""")
+def selection_explanation(spark: SparkSession, d: str) -> DataFrame:
+    return planning.selection_reasons(_ranked(spark, d))
 
 
 _USABLE = _UNMET.replace("active", "r.active")
@@ -459,21 +529,47 @@ def lookahead_plan(spark: SparkSession, d: str) -> DataFrame:
     return planning.plans(_sessions(spark, d), _skills(spark), 4).select("session_id", F.array_join("path", ",").alias("path"), "depth")
 
 
-@query(None)
+_PLAN_NAMES = f"[{', '.join(chr(39) + x[0] + chr(39) for x in SKILLS)}]"
+
+
+@query(f"""WITH {_PLAN}, st AS (SELECT session_id, unnest(path) AS pos, generate_subscripts(path, 1) - 1 AS step, path FROM pl),
+ts AS (SELECT session_id, step, name, post, list_distinct(flatten([active] || coalesce((SELECT list(k.post) FROM st b JOIN sk k USING (pos) WHERE b.session_id = st.session_id AND b.step < st.step), []))) AS world FROM st JOIN sk USING (pos) JOIN se USING (session_id))
+SELECT session_id, step, name, array_to_string(list_filter(post, lambda p: NOT list_contains(world, p)), ',') AS added, array_to_string(list_filter(post, lambda p: list_contains(world, p)), ',') AS present FROM ts""")
 def plan_step_traces(spark: SparkSession, d: str) -> DataFrame:
     sessions = _sessions(spark, d)
     paths = planning.plans(sessions, _skills(spark), 4).join(sessions.select("session_id", "active"), "session_id")
     return planning.step_traces(paths, _skills(spark))
 
 
-@query(None)
+_COSTS = "list_sum(list_transform({0}, lambda p: [%s][p + 1]))" % ", ".join(str({"low": 0, "medium": 1, "high": 2}[x[3]]) for x in SKILLS)
+
+
+@query(f"""WITH {_PLAN}, goal AS (SELECT session_id, path FROM r WHERE list_contains(active, 'purchase')), st AS (SELECT session_id, path AS best, unnest(path) AS pos, generate_subscripts(path, 1) AS spot FROM pl),
+alt AS (SELECT st.session_id, best, spot, path FROM st JOIN goal ON goal.session_id = st.session_id AND NOT list_contains(path, pos) QUALIFY row_number() OVER (PARTITION BY st.session_id, spot ORDER BY len(path), path) = 1),
+u AS (SELECT session_id, best, path, min(spot) AS spot FROM alt GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY spot) AS rank, {_COSTS.format("path")}::BIGINT AS its, {_COSTS.format("best")}::BIGINT AS own FROM u)
+SELECT session_id, rank, array_to_string(list_transform(path, lambda p: {_PLAN_NAMES}[p + 1]), ',') AS path, CASE WHEN len(path) > len(best) THEN len(path) || ' steps vs ' || len(best) || ' — longer' WHEN its > own THEN 'same length, higher total cost (score ' || its || ' vs ' || own || ')'
+WHEN its < own THEN 'same length, lower total cost (score ' || its || ' vs ' || own || ')' ELSE 'same length and cost, lower priority' END AS reason FROM k WHERE rank < 3""")
+def alternative_plans(spark: SparkSession, d: str) -> DataFrame:
+    sessions, skills = _sessions(spark, d), _skills(spark)
+    others = planning.alternatives(sessions, skills, planning.plans(sessions, skills, 4), 4)
+    return others.select("session_id", "rank", F.array_join("path", ",").alias("path"), "reason")
+
+
+_LOOP = f"""RECURSIVE {_SKILLS}, {_SESSIONS}, g AS (SELECT session_id, 0::BIGINT AS iteration, active, active AS before, []::VARCHAR[] AS done, NULL::VARCHAR AS name, []::VARCHAR[] AS told FROM se UNION ALL
+SELECT session_id, iteration + 1, list_sort(list_distinct(list_concat(active, post))), active, list_append(done, k), k, post FROM (SELECT g.session_id, g.iteration, g.active, g.done, sk.name AS k, sk.post, row_number() OVER (PARTITION BY session_id ORDER BY CASE cost WHEN 'low' THEN 0 WHEN 'high' THEN 2 ELSE 1 END, len(post) DESC, sk.name) AS rank
+FROM g, sk WHERE iteration < 4 AND NOT list_contains(active, 'purchase') AND len({_UNMET}) = 0 AND (idem OR NOT list_contains(done, sk.name))) WHERE rank = 1)"""
+
+
+@query(f"WITH {_LOOP} SELECT session_id, iteration, name, 'success' AS result, array_to_string(list_filter(told, lambda p: NOT list_contains(before, p)), ',') AS added FROM g WHERE iteration > 0")
 def session_loop_history(spark: SparkSession, d: str) -> DataFrame:
-    return planning.run_sessions(_sessions(spark, d), _skills(spark), 4)[0]
+    history = planning.run_sessions(_sessions(spark, d), _skills(spark), 4)[0]
+    return history.select("session_id", "iteration", "name", "result", F.array_join("added", ",").alias("added"))
 
 
-@query(None)
+@query(f"WITH {_LOOP} SELECT session_id, name AS source, unnest(told) AS target, 'COMPLETED' AS relation, 1.0::DOUBLE AS score, 'active' AS status FROM g WHERE iteration > 0")
 def completed_edge_writeback(spark: SparkSession, d: str) -> DataFrame:
-    return planning.completed_edges(session_loop_history(spark, d), _skills(spark))
+    history = planning.run_sessions(_sessions(spark, d), _skills(spark), 4)[0]
+    return planning.completed_edges(history).select("session_id", "source", "target", "relation", "score", "status")
 
 
 @query("""WITH l AS (SELECT user_id AS session_id, event_type AS state, CASE WHEN value > 50 THEN 'add' ELSE 'remove' END AS op FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1)
@@ -483,7 +579,7 @@ def active_state_set_ops(spark: SparkSession, d: str) -> DataFrame:
     return active_states(log)
 
 
-@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id < 20), s AS (SELECT query_id, vec_id AS id, list_cosine_similarity(q::DOUBLE[], embedding::DOUBLE[]) AS score FROM q, embeddings WHERE vec_id <> query_id)
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, vec_id AS id, list_cosine_similarity(q::DOUBLE[], embedding::DOUBLE[]) AS score FROM q, embeddings WHERE vec_id <> query_id)
 SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s QUALIFY rank <= 3""")
 def embedding_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     points = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
@@ -497,9 +593,9 @@ def query_expansion(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select("item_id", F.concat_ws(" ", F.array("text"), added).alias("expanded"))
 
 
-@query("""SELECT doc_id, md5('<Chunk id="doc:' || doc_id || '">' || chr(10) || '<!-- Context: of ' || source || ' -->' || chr(10) || chr(10) || 'body' || chr(10) || '</Chunk>') AS injected FROM documents""")
+@query(r"""SELECT doc_id, md5('<Chunk id="doc:' || doc_id || '">' || chr(10) || '<!-- Context: of ' || source || ' -->' || chr(10) || chr(10) || regexp_replace(text, '^\s+|\s+$', '', 'g') || chr(10) || '</Chunk>') AS injected FROM documents""")
 def context_comment_injection(spark: SparkSession, d: str) -> DataFrame:
-    wrapped = F.concat(F.lit('<Chunk id="doc:'), F.col("doc_id").cast("string"), F.lit('"> body </Chunk>'))
+    wrapped = F.concat(F.lit('<Chunk id="doc:'), F.col("doc_id").cast("string"), F.lit('"> '), F.col("text"), F.lit(" </Chunk>"))
     return table(spark, d, "documents").select("doc_id", F.md5(T.injected_context(wrapped, F.concat(F.lit("of "), F.col("source")))).alias("injected"))
 
 
