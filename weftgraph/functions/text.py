@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..constants import STOPWORDS, WORD_CAP
+from ..constants import KEYWORD_STOPWORDS, STOPWORDS, WORD_CAP
 
 
 def tokens(text: Column) -> Column:
@@ -15,6 +15,13 @@ def tokens(text: Column) -> Column:
     return F.filter(found, lambda t: ~t.isin(*STOPWORDS))
 
 
+def long_tokens(text: Column) -> Column:
+    """Tokens of three or more characters that aren't among the longer list of stop words, repeats kept."""
+    marked = F.regexp_replace(F.lower(text), r"[\p{L}\p{N}&&[^\x00-\x7F]]", "X")
+    found = F.regexp_extract_all(marked, F.lit(r"\b[a-z][a-z0-9_-]+\b"), 0)
+    return F.filter(found, lambda t: (F.length(t) > 2) & ~t.isin(*KEYWORD_STOPWORDS))
+
+
 def plain_words(text: Column) -> Column:
     """Lower-case runs of three or more ASCII letters, no stop words."""
     marked = F.regexp_replace(F.lower(text), r"[\p{L}\p{N}&&[^\x00-\x7F]]", "X")

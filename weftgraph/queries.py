@@ -478,12 +478,15 @@ def min_mention_catalog(spark: SparkSession, d: str) -> DataFrame:
 
 # --- planning -------------------------------------------------------------------------------------------------------
 
-_SESSIONS = "se AS (SELECT user_id AS session_id, list_sort(list_distinct(list(event_type) FILTER (event_type <> 'purchase'))) AS active FROM events GROUP BY user_id)"
+#: A session is a user; a state is active if the last of its events has a value over 50. What the goal gives is never active at first.
+_SESSIONS = """se AS (SELECT user_id AS session_id, coalesce(list_sort(list(event_type) FILTER (value > 50 AND event_type <> 'purchase')), []::VARCHAR[]) AS active
+FROM (SELECT user_id, event_type, arg_max(value, event_id) AS value FROM events GROUP BY ALL) GROUP BY user_id)"""
 _UNMET = "list_filter(pre, lambda p: CASE WHEN starts_with(p, 'NOT ') THEN list_contains(active, substr(p, 5)) ELSE NOT list_contains(active, p) END)"
 
 
 def _sessions(spark: SparkSession, d: str) -> DataFrame:
-    states = table(spark, d, "events").groupBy(F.col("user_id").alias("session_id")).agg(F.array_sort(F.collect_set(F.when(F.col("event_type") != "purchase", F.col("event_type")))).alias("active"))
+    last = table(spark, d, "events").groupBy(F.col("user_id").alias("session_id"), "event_type").agg(F.max_by("value", "event_id").alias("value"))
+    states = last.groupBy("session_id").agg(F.array_sort(F.collect_list(F.when((F.col("value") > 50) & (F.col("event_type") != "purchase"), F.col("event_type")))).alias("active"))
     return states.select("session_id", F.lit("purchase").alias("goal"), "active", F.array().cast("array<string>").alias("completed"))
 
 

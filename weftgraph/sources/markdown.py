@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..constants import RELATIONS
 from ..operators.mentions import last_wins
 
 ENTITY = "struct<id:string,name:string,type:string,aliases:array<string>,preconditions:array<string>,postconditions:array<string>,related_skills:array<string>>"
 CHUNK = "struct<id:string,context:string,tags:array<string>,entities:array<string>,created_at:string,version:int,type:string,priority:string,dependencies:array<string>,state_refs:array<string>>"
 SKILL = "name string, description string, preconditions array<string>, postconditions array<string>, related_skills array<string>, cost string, idempotent boolean"
 HEAD = r"(?s)\A---[^\n]*\n(.*?)(?:(?<=\n)|\A)[ \t]*---[ \t]*(?:\n|\z)"
-RELATIONS = ("SIMILAR", "REQUIRES", "LEADS_TO", "EVIDENCE", "IMPLIES", "COMPLETED", "BLOCKED_BY")
 
 
 def read_markdown(spark: SparkSession, path: str, pattern: str = "*.md") -> DataFrame:
