@@ -115,3 +115,83 @@ def link_issues(chunks: DataFrame, catalog: DataFrame) -> DataFrame:
     refs = chunks.select("chunk_id", F.posexplode("entities").alias("at", "entity_id")).join(catalog.select("entity_id"), "entity_id", "left_anti")
     lost = refs.groupBy("chunk_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "entity_id"))), lambda x: x["entity_id"]), ",").alias("detail"))
     return many.unionByName(lost.select("chunk_id", F.lit("undefined").alias("rule"), "detail"))
+
+
+def linked_words(pairs: DataFrame, chunks: DataFrame, most: int = 10) -> DataFrame:
+    """pairs (doc, a, b) with shared: the first few of the words that both chunks (doc, pos, text) hold, sorted and joined."""
+    words = lambda end: chunks.select("doc", F.col("pos").alias(end), F.array_distinct(plain_words(F.col("text"))).alias(f"_{end}"))
+    met = pairs.join(words("a"), ["doc", "a"]).join(words("b"), ["doc", "b"])
+    return met.withColumn("shared", F.array_join(F.slice(F.array_sort(F.array_intersect("_a", "_b")), 1, most), ",")).drop("_a", "_b")
+
+
+def diagnosed(docs: DataFrame, chunks: DataFrame, entities: DataFrame) -> DataFrame:
+    """Issues of all diagnosis rules in their order: doc, stage, rule, severity, subject, fix (a map, or null). docs: doc; chunks: doc, pos, chunk_id, context, content, tags, entities; entities: doc, pos, entity_id, name. A document without chunks has one structure issue and no other."""
+    text = F.concat_ws(" ", F.coalesce("context", F.lit("")), F.coalesce("content", F.lit("")))
+    plain = chunks.select("doc", "pos", text.alias("text"))
+    names = chunks.select("doc", "pos", "chunk_id")
+    key = F.struct("doc", "chunk_id")
+    near = near_pairs(plain).join(names.select("doc", F.col("pos").alias("a"), F.col("chunk_id").alias("_a")), ["doc", "a"]).join(names.select("doc", F.col("pos").alias("b"), F.col("chunk_id").alias("_b")), ["doc", "b"])
+    context = context_issues(chunks.select(key.alias("chunk_id"), "context", "content"))
+    # an entity is defined in its own document only
+    refs = F.transform("entities", lambda e: F.struct(F.col("doc").alias("doc"), e.alias("col2")))
+    own = entities.select(F.struct("doc", F.col("entity_id").alias("col2")).alias("entity_id"))
+    links = _link_issues_by_doc(chunks.select(key.alias("chunk_id"), refs.alias("entities")), own)
+    owned = _doc_entity_issues(entities)
+    none = F.lit(None).cast("map<string,string>")
+
+    def rows(df: DataFrame, stage: int, rule: Column | str, severity: Column | str, subject: Column, fix: Column = none) -> DataFrame:
+        value = lambda x: F.lit(x) if isinstance(x, str) else x
+        return df.select("doc", F.lit(stage).alias("stage"), value(rule).alias("rule"), value(severity).alias("severity"), subject.cast("string").alias("subject"), fix.alias("fix"))
+
+    of_key = lambda df: df.withColumn("doc", F.col("chunk_id.doc")).withColumn("_id", F.col("chunk_id.chunk_id"))
+    wrong = chunks.filter(~is_chunk_id(F.col("chunk_id")))
+    suggested = F.when(F.col("rule") == "empty", F.create_map(F.lit("context"), F.concat(F.lit("[write 1-3 sentences on "), F.col("_id"), F.lit("]"))))
+    parts = [
+        rows(docs.select("doc").distinct().join(chunks.select("doc"), "doc", "left_anti"), 0, "structure", "error", F.lit(None)),
+        rows(near, 1, "near", "warning", F.concat_ws(" ", "_a", "_b")),
+        rows(of_key(context), 2, F.col("rule"), F.col("severity"), F.col("_id"), suggested),
+        rows(ubiquitous_tags(chunks), 3, "ubiquitous", "info", F.col("tag")),
+        rows(same_tags(chunks), 3, "same", "warning", F.col("tag_set")),
+        rows(wrong, 4, "id", "warning", F.col("chunk_id")),
+        rows(singleton_categories(chunks.select("doc", "chunk_id")), 4, "singleton", "info", F.col("category")),
+        rows(owned, 5, F.col("rule"), "warning", F.col("entity_id")),
+        rows(of_key(links), 6, F.col("rule"), F.when(F.col("rule") == "many", "warning").otherwise("error"), F.col("_id")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _link_issues_by_doc(chunks: DataFrame, catalog: DataFrame) -> DataFrame:
+    many = chunks.filter(F.size("entities") > MAX_LINKS).select("chunk_id", F.lit("many").alias("rule"))
+    each = chunks.select("chunk_id", F.explode("entities").alias("e")).select("chunk_id", F.struct(F.col("e")["doc"].alias("doc"), F.col("e")["col2"].alias("col2")).alias("entity_id"))
+    lost = each.join(catalog, "entity_id", "left_anti").select("chunk_id", F.lit("undefined").alias("rule")).distinct()
+    return many.unionByName(lost)
+
+
+def _doc_entity_issues(entities: DataFrame) -> DataFrame:
+    """entity_issues within each document."""
+    name = F.lower(F.trim("name"))
+    first = F.first_value("entity_id").over(Window.partitionBy("doc", name).orderBy("pos"))
+    noise = entities.filter(F.lower("name").isin(*GENERIC_NAMES)).select("doc", "entity_id", F.lit("noise").alias("rule"))
+    twins = entities.withColumn("owner", first).filter(F.col("owner") != F.col("entity_id")).select("doc", "entity_id", F.lit("duplicate").alias("rule"))
+    return noise.unionByName(twins)
+
+
+def document_stats(chunks: DataFrame, entities: DataFrame, issues: DataFrame) -> DataFrame:
+    """doc, chunks, entities, mean_words (of contexts), tags, categories, errors, warnings and infos of each document that has chunks or issues. chunks: doc, chunk_id, context, tags; entities: doc, entity_id; issues: doc, severity."""
+    own = chunks.groupBy("doc").agg(F.count("*").alias("chunks"), F.avg(word_count(F.coalesce("context", F.lit("")))).alias("mean_words"), F.countDistinct(F.when(F.contains("chunk_id", F.lit(":")), category(F.col("chunk_id")))).alias("categories"))
+    tags = chunks.select("doc", F.explode("tags").alias("t")).groupBy("doc").agg(F.countDistinct("t").alias("tags"))
+    known = entities.groupBy("doc").agg(F.count("*").alias("entities"))
+    counted = issues.groupBy("doc").agg(*[F.count_if(F.col("severity") == x).alias(f"{x}s") for x in ("error", "warning", "info")])
+    met = own.join(tags, "doc", "full").join(known, "doc", "left").join(counted, "doc", "full")
+    numbers = ("chunks", "entities", "tags", "categories", "errors", "warnings", "infos")
+    return met.select("doc", *[F.coalesce(c, F.lit(0)).alias(c) for c in numbers], F.coalesce("mean_words", F.lit(0.0)).alias("mean_words"))
+
+
+def merged_fixes(issues: DataFrame) -> DataFrame:
+    """doc, subject and fix: the fixes of a chunk as one map, the last stage's value of each key. issues: as diagnosed returns them."""
+    each = issues.filter("fix IS NOT NULL").select("doc", "subject", "stage", F.explode("fix").alias("k", "v"))
+    last = each.groupBy("doc", "subject", "k").agg(F.max_by("v", F.struct("stage", "v")).alias("v"))
+    return last.groupBy("doc", "subject").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("fix"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .constants import GENERIC_NAMES, STOPWORDS
 from .functions import text as T
-from .operators import checks, graph, mentions, planning, retrieval, vectors
+from .operators import checks, graph, mentions, planning, profiles, retrieval, validation, vectors
 from .streaming.sessions import active_states, state_counts
 from .tables import stored, table
 
@@ -239,11 +239,82 @@ def temporal_field_issues(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", checks.bad_date(day).alias("bad_day"), checks.bad_version(F.get_json_object("props", "$.k")).alias("bad_version"))
 
 
-@query("""WITH t AS (SELECT doc_id, substr(text, 1, 60) AS context, text FROM documents), c AS (SELECT doc_id, context, len(list_filter(string_split_regex(context, '[\\s\\p{Z}\\x{85}]+'), lambda w: w <> '')) AS n FROM t)
-SELECT doc_id::VARCHAR AS chunk_id, CASE WHEN n = 0 THEN 'empty' WHEN n < 8 THEN 'short' ELSE 'long' END AS rule, CASE WHEN n = 0 THEN 'error' WHEN n < 8 THEN 'warning' ELSE 'info' END AS severity FROM c WHERE n < 8 OR n > 50""".replace("\\\\", "\\"))
+_SPLIT = r"list_filter(string_split_regex({0}, '[\s\p{{Z}}\x{{85}}\x0b\x1c-\x1f]+'), lambda w: w <> '')"
+_CONTEXTS = f"""t AS (SELECT doc_id, source, split_part(text, chr(10), 1) AS context, text FROM documents),
+cw AS (SELECT doc_id, source, len({_SPLIT.format("context")}) AS n, list_distinct({_PLAIN.replace("text", "context")}) AS a, list_distinct({_PLAIN.replace("lower(text)", "lower(array_to_string(list_slice(" + _SPLIT.format("text") + ", 1, 15), ' '))")}) AS b FROM t),
+ci AS (SELECT doc_id, source, CASE WHEN n = 0 THEN 'empty' WHEN n < 8 THEN 'short' WHEN n > 50 THEN 'long' END AS rule, CASE WHEN n = 0 THEN 'error' WHEN n < 8 THEN 'warning' ELSE 'info' END AS severity FROM cw WHERE n < 8 OR n > 50
+UNION ALL SELECT doc_id, source, 'opener', 'warning' FROM cw WHERE n > 0 AND len(a) > 0 AND len(b) > 0 AND len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))) > 0.7)"""
+
+
+def _contexts(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as chunks: the first line is the context, the whole text the content."""
+    return table(spark, d, "documents").select(F.col("source").alias("doc"), F.col("doc_id").cast("string").alias("chunk_id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("context"), F.col("text").alias("content"), F.array("lang").alias("tags"))
+
+
+@query(f"WITH {_CONTEXTS} SELECT doc_id::VARCHAR AS chunk_id, rule, severity FROM ci")
 def context_quality_issues(spark: SparkSession, d: str) -> DataFrame:
-    chunks = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.substring("text", 1, 60).alias("context"), F.lit("").alias("content"))
-    return checks.context_issues(chunks)
+    return checks.context_issues(_contexts(spark, d))
+
+
+#: How a part is written as an entity or a chunk of its brand's head: faults by its key k and size z.
+_ENTITY_FIELDS = (("k % 17 <> 0", 'concat(\'"id": "e\', z, \'"\')'), ("k % 13 <> 0", '\'"name": "N"\''), ("k % 19 <> 0", 'concat(\'"type": "\', element_at(array(\'state\', \'tool\', \'alien\'), cast(z % 3 AS int) + 1), \'"\')'), ("k % 7 = 0", '\'"preconditions": "x"\''), ("k % 7 = 1", 'concat(\'"preconditions": ["NOT e\', z + 1, \'", 3]\')'), ("k % 5 = 0", '\'"cost": "dear"\''), ("k % 5 = 1", '\'"idempotent": "yes"\''))
+_CHUNK_FIELDS = (
+    ("k % 11 <> 0", 'concat(\'"id": "c\', z, \'"\')'), ("k % 6 <> 0", '\'"context": "C"\''), ("k % 9 = 0", '\'"entities": "e1"\''), ("k % 9 = 1", 'concat(\'"entities": ["e\', z, \'", "e99", 4]\')'),
+    ("true", 'concat(\'"created_at": "\', if(k % 4 = 0, \'soon\', \'2024-01-01\'), \'"\')'), ("true", 'concat(\'"version": \', case k % 8 when 0 then \'0\' when 1 then \'true\' when 2 then \'"2"\' else \'3\' end)'), ("true", 'concat(\'"priority": "\', if(k % 10 = 0, \'urgent\', \'low\'), \'"\')'),
+    ("k % 12 = 0", '\'"dependencies": "c"\''), ("k % 12 = 1", '\'"dependencies": [5]\''), ("k % 12 = 2", 'concat(\'"dependencies": ["c\', z, \'", "c\', z + 1, \'"]\')'),
+    ("k % 14 = 0", '\'"type": "pdf"\''), ("k % 14 = 1", 'concat(\'"type": "image", "content_path": "p\', k, \'"\')'), ("k % 14 = 2", '\'"content_path": "x"\''), ("k % 15 = 0", 'concat(\'"state_refs": ["e\', z, \'"]\')'),
+)
+
+
+def _heads(spark: SparkSession, d: str) -> DataFrame:
+    made = lambda fields: "concat('{', concat_ws(', ', " + ", ".join(f"if({when}, {value}, null)" for when, value in fields) + "), '}')"
+    parts = table(spark, d, "part").select(F.col("p_brand").alias("doc"), F.col("p_partkey").alias("k"), F.col("p_size").alias("z"))
+    rows = parts.selectExpr("doc", "k", f"if(k % 50 = 0, '7', {made(_ENTITY_FIELDS)}) AS e", f"{made(_CHUNK_FIELDS)} AS c")
+    listed = rows.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("k", "e", "c"))).alias("l"))
+    entities, chunks = F.array_join("l.e", ", "), F.array_join("l.c", ", ")
+    return listed.select("doc", F.concat(F.lit('{"entities": ['), entities, F.lit('], "chunks": ['), chunks, F.lit("]}")).alias("head"))
+
+
+def _state_rules(rows: str, of: str) -> str:
+    """Issues of references to states: rows (doc, line, ref), of a field."""
+    return f"""SELECT doc, line, '{of}_unknown' AS rule, 'error' AS severity, ref AS subject FROM {rows} WHERE NOT EXISTS (FROM cat WHERE cat.doc = {rows}.doc AND cat.ref = {rows}.ref)
+UNION ALL SELECT doc, line, '{of}_no_state', 'error', ref FROM {rows} JOIN cat USING (doc, ref) WHERE type <> 'state'"""
+
+
+@query(f"""WITH src AS (SELECT p_brand AS doc, p_partkey AS k, p_size AS z, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS pos FROM part), r AS (SELECT *, pos + 2 AS line, 'e' || z AS e, 'c' || z AS c FROM src),
+cat AS (SELECT doc, e AS ref, arg_max(['state', 'tool', 'alien'][z % 3 + 1], pos) AS type FROM r WHERE k % 50 <> 0 AND k % 17 <> 0 AND k % 19 <> 0 GROUP BY ALL), g AS (FROM r WHERE k % 50 <> 0 AND k % 17 <> 0 AND k % 13 <> 0 AND k % 19 <> 0), h AS (FROM r WHERE k % 11 <> 0),
+pre AS (SELECT doc, line, 'e' || (z + 1) AS ref FROM g WHERE k % 7 = 1), sref AS (SELECT doc, line, e AS ref FROM h WHERE k % 15 = 0), cref AS (SELECT doc, line, unnest([e, 'e99']) AS ref FROM h WHERE k % 9 = 1), firsts AS (SELECT doc, c AS ref, min(pos) AS first FROM h GROUP BY ALL),
+need AS (SELECT doc, line, pos, unnest([c, 'c' || (z + 1)]) AS ref FROM h WHERE k % 12 = 2)
+SELECT doc, line, 'entity_no_object' AS rule, 'error' AS severity, (pos + 1)::VARCHAR AS subject FROM r WHERE k % 50 = 0
+UNION ALL SELECT doc, line, 'entity_lacks_field', 'error', (pos + 1)::VARCHAR FROM r WHERE k % 50 <> 0 AND (k % 17 = 0 OR k % 13 = 0 OR k % 19 = 0)
+UNION ALL SELECT doc, line, 'duplicate_entity', 'error', e FROM g QUALIFY row_number() OVER (PARTITION BY doc, e ORDER BY pos) > 1 UNION ALL SELECT doc, line, 'unknown_type', 'warning', e FROM g WHERE z % 3 = 2
+UNION ALL SELECT doc, line, 'preconditions_not_list', 'error', e FROM g WHERE k % 7 = 0 UNION ALL SELECT doc, line, 'preconditions_not_text', 'error', e FROM g WHERE k % 7 = 1 UNION ALL {_state_rules("pre", "preconditions")}
+UNION ALL SELECT doc, line, 'bad_cost', 'error', e FROM g WHERE k % 5 = 0 UNION ALL SELECT doc, line, 'bad_idempotent', 'error', e FROM g WHERE k % 5 = 1
+UNION ALL SELECT doc, line, 'chunk_lacks_id', 'error', (pos + 1)::VARCHAR FROM r WHERE k % 11 = 0 UNION ALL SELECT doc, line, 'duplicate_chunk', 'error', c FROM h QUALIFY row_number() OVER (PARTITION BY doc, c ORDER BY pos) > 1
+UNION ALL SELECT doc, line, 'no_context', 'warning', c FROM h WHERE k % 6 = 0 UNION ALL SELECT doc, line, 'entities_no_list', 'error', c FROM h WHERE k % 9 = 0 UNION ALL SELECT doc, line, 'entity_no_text', 'error', c FROM h WHERE k % 9 = 1
+UNION ALL SELECT doc, line, 'entity_undefined', 'error', ref FROM cref WHERE NOT EXISTS (FROM cat WHERE cat.doc = cref.doc AND cat.ref = cref.ref)
+UNION ALL SELECT doc, line, 'bad_created_at', 'error', c FROM h WHERE k % 4 = 0 UNION ALL SELECT doc, line, 'bad_version', 'error', c FROM h WHERE k % 8 IN (0, 2) UNION ALL SELECT doc, line, 'bad_priority', 'error', c FROM h WHERE k % 10 = 0
+UNION ALL SELECT doc, line, 'dependencies_not_list', 'error', c FROM h WHERE k % 12 = 0 UNION ALL SELECT doc, line, 'dependency_not_text', 'error', c FROM h WHERE k % 12 = 1
+UNION ALL SELECT doc, line, 'dependency_not_found', 'warning', ref FROM need LEFT JOIN firsts USING (doc, ref) WHERE first IS NULL OR first > pos
+UNION ALL SELECT doc, line, 'bad_media_type', 'error', c FROM h WHERE k % 14 = 0 UNION ALL SELECT doc, line, 'path_of_text', 'warning', c FROM h WHERE k % 14 = 2 UNION ALL SELECT doc, line, 'path_missing', 'warning', c FROM h WHERE k % 14 = 1 AND k % 28 <> 1 UNION ALL {_state_rules("sref", "state_refs")}""")
+def head_structure_issues(spark: SparkSession, d: str) -> DataFrame:
+    files = table(spark, d, "part").filter("p_partkey % 28 = 1").select(F.col("p_brand").alias("doc"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("content_path"))
+    return validation.head_issues(_heads(spark, d), files)
+
+
+@query("""WITH l AS (SELECT conv_id AS doc, row_number() OVER (PARTITION BY conv_id ORDER BY turn) + 9 AS line, CASE role WHEN 'user' THEN 1 WHEN 'assistant' THEN -1 ELSE 0 END AS step, 'c' || (turn % 3) AS id FROM conversations),
+hd AS (SELECT DISTINCT doc, c.pos, c.id FROM l, (VALUES (0, 'c0'), (1, 'c1'), (2, 'c7')) c(pos, id) WHERE doc % 2 = 0), o AS (FROM l WHERE step = 1), x AS (SELECT *, sum(step) OVER w AS s, min(line) OVER () AS z FROM l WHERE step <> 0 WINDOW w AS (PARTITION BY doc ORDER BY line)),
+y AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY doc ORDER BY line)) AS after FROM x), q AS (SELECT *, coalesce(lag(after) OVER (PARTITION BY doc ORDER BY line), 0) AS before, min(after) OVER (PARTITION BY doc ORDER BY line ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM y)
+SELECT doc, line, 'undefined_tag' AS rule, 'error' AS severity, id AS subject FROM o WHERE doc % 2 = 0 AND id NOT IN ('c0', 'c1', 'c7') UNION ALL SELECT doc, line, 'duplicate_tag', 'error', id || ' first ' || min(line) OVER (PARTITION BY doc, id) FROM o QUALIFY row_number() OVER (PARTITION BY doc, id ORDER BY line) > 1
+UNION ALL SELECT doc, pos + 2, 'unused_chunk', 'warning', id FROM hd WHERE NOT EXISTS (FROM o WHERE o.doc = hd.doc AND o.id = hd.id)
+UNION ALL SELECT q.doc, q.line, 'nested_tag', 'error', arg_max(p.id, p.line) || ' > ' || q.id FROM q JOIN q p ON p.doc = q.doc AND p.step = 1 AND p.after = q.before AND p.line < q.line WHERE q.step = 1 AND q.before > 0 GROUP BY q.doc, q.line, q.id
+UNION ALL SELECT doc, line, 'orphan_close', 'error', NULL FROM q WHERE step = -1 AND before = 0 UNION ALL SELECT doc, line, 'unclosed_tag', 'error', id FROM q WHERE step = 1 AND coalesce(later >= after, true)""")
+def body_structure_issues(spark: SparkSession, d: str) -> DataFrame:
+    line = F.when(F.col("role") == "user", F.concat(F.lit('<Chunk id="c'), (F.col("turn") % 3).cast("string"), F.lit('">'))).when(F.col("role") == "assistant", "</Chunk>").otherwise("text")
+    turns = table(spark, d, "conversations").select(F.col("conv_id").alias("doc"), "turn", line.alias("line"))
+    bodies = turns.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"]), "\n").alias("body"))
+    head = F.when(F.col("doc") % 2 == 0, '{"chunks": [{"id": "c0"}, {"id": "c1"}, {"id": "c7"}]}')
+    return validation.body_issues(bodies.select("doc", head.alias("head"), "body", F.lit(10).alias("first_line")))
 
 
 @query(f"""WITH s AS (SELECT source AS doc, doc_id AS pos, list_distinct({_PLAIN}) AS w FROM documents), o AS (SELECT * FROM s WHERE len(w) > 0)
@@ -291,9 +362,15 @@ def entity_link_issues(spark: SparkSession, d: str) -> DataFrame:
     return checks.link_issues(_brand_chunks(spark, d), _catalog(spark, d))
 
 
-@query("""SELECT source AS doc, count(*) AS chunks, count(DISTINCT lang) AS langs, round(avg(n_chars), 6) AS mean_chars, count_if(n_chars < 500) AS warnings, count_if(n_chars < 100) AS errors FROM documents GROUP BY source""")
+@query(f"""WITH {_CONTEXTS}, iss AS (SELECT source AS doc, severity FROM ci UNION ALL SELECT source, 'warning' FROM documents), st AS (SELECT source AS doc, count(*) AS chunks, 0::BIGINT AS categories, count(DISTINCT lang) AS tags FROM documents GROUP BY source), mw AS (SELECT source AS doc, avg(n) AS mean_words FROM cw GROUP BY source)
+SELECT doc, chunks, 0::BIGINT AS entities, tags, categories, count_if(severity = 'error') AS errors, count_if(severity = 'warning') AS warnings, count_if(severity = 'info') AS infos, round(any_value(mean_words), 6) AS mean_words FROM st JOIN iss USING (doc) JOIN mw USING (doc) GROUP BY doc, chunks, tags, categories""")
 def doc_stats_by_severity(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").groupBy(F.col("source").alias("doc")).agg(F.count("*").alias("chunks"), F.countDistinct("lang").alias("langs"), F.round(F.avg("n_chars"), 6).alias("mean_chars"), F.count_if(F.col("n_chars") < 500).alias("warnings"), F.count_if(F.col("n_chars") < 100).alias("errors"))
+    chunks = _contexts(spark, d)
+    found = checks.context_issues(chunks.select(F.struct("doc", "chunk_id").alias("chunk_id"), "context", "content")).select(F.col("chunk_id.doc").alias("doc"), "severity")
+    # an id that is a bare number has no category
+    wrong = chunks.filter(~T.is_chunk_id(F.col("chunk_id"))).select("doc", F.lit("warning").alias("severity"))
+    none = spark.createDataFrame([], "doc string, entity_id string")
+    return checks.document_stats(chunks, none, found.unionByName(wrong)).withColumn("mean_words", F.round("mean_words", 6))
 
 
 # --- mentions and profiles ------------------------------------------------------------------------------------------
@@ -331,6 +408,59 @@ def entity_keywords_topk(spark: SparkSession, d: str) -> DataFrame:
     return mentions.keywords(texts, parts.select(F.col("p_brand").alias("entity_id"), F.lit("small").alias("token")).distinct())
 
 
+#: Documents are chunks that mention their source and their language; a few are entities that act.
+_WORLD_SQL = r"""ents AS (SELECT DISTINCT 'source:' || source AS id, 'Source ' || source AS name, 'domain' AS type, ['from ' || source] AS aliases FROM documents UNION ALL SELECT DISTINCT 'lang:' || lang, 'Language ' || lang, 'state', []::VARCHAR[] FROM documents),
+ch AS (SELECT doc_id AS pos, 'doc:' || doc_id AS chunk_id, 'of ' || source AS context, text AS content, [lang, CASE WHEN n_chars > 200 THEN 'long' ELSE 'brief' END] AS tags, ['source:' || source, 'lang:' || lang, 'nowhere', 'source:' || source] AS refs FROM documents),
+mn AS (SELECT * EXCLUDE (refs) FROM (SELECT * EXCLUDE (refs), refs, unnest(refs) AS id, generate_subscripts(refs, 1) - 1 AS ref_pos FROM ch) WHERE id IN (SELECT id FROM ents)),
+rel AS (SELECT a.id, e.name FROM mn a JOIN mn b ON a.chunk_id = b.chunk_id AND a.id <> b.id JOIN ents e ON e.id = b.id)"""
+_CUT = f"CASE WHEN len({_WORDS}) <= 80 THEN text ELSE array_to_string(list_slice({_WORDS}, 1, 80), ' ') END".replace("text", "content")
+
+
+def _world(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, d, "documents")
+    source, lang = F.concat(F.lit("source:"), "source"), F.concat(F.lit("lang:"), "lang")
+    chunks = docs.select(F.col("doc_id").alias("pos"), F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("chunk_id"), F.concat(F.lit("of "), "source").alias("context"), F.col("text").alias("content"), F.array("lang", F.when(F.col("n_chars") > 200, "long").otherwise("brief")).alias("tags"), F.array(source, lang, F.lit("nowhere"), source).alias("entities"))
+    sources = docs.select(source.alias("id"), F.concat(F.lit("Source "), "source").alias("name"), F.lit("domain").alias("type"), F.array(F.concat(F.lit("from "), "source")).alias("aliases")).distinct()
+    langs = docs.select(lang.alias("id"), F.concat(F.lit("Language "), "lang").alias("name"), F.lit("state").alias("type"), F.array().cast("array<string>").alias("aliases")).distinct()
+    return chunks, sources.unionByName(langs)
+
+
+_LINES_SQL = f"""ln AS (SELECT id, 'name ' || name AS line FROM ents UNION ALL SELECT id, 'type ' || type FROM ents UNION ALL SELECT id, 'aliases ' || array_to_string(aliases, ' ') FROM ents WHERE len(aliases) > 0
+UNION ALL SELECT id, unnest(['tags ' || array_to_string(tags, ' '), 'context ' || context, CASE WHEN content <> '' THEN 'content ' || {_CUT} END]) FROM (FROM mn QUALIFY row_number() OVER (PARTITION BY id, chunk_id ORDER BY ref_pos) = 1)
+UNION ALL SELECT id, 'related ' || string_agg(DISTINCT name, ' ' ORDER BY name) FROM rel GROUP BY id)"""
+
+
+@query(f"WITH {_WORLD_SQL}, {_LINES_SQL} SELECT id, md5(line) AS line, count(*) AS n FROM ln WHERE line IS NOT NULL GROUP BY ALL")
+def entity_representation_lines(spark: SparkSession, d: str) -> DataFrame:
+    chunks, entities = _world(spark, d)
+    found = stored(profiles.mentioned(chunks, entities))
+    lines = profiles.representation(entities, found, profiles.related_names(found, entities))
+    return lines.groupBy("id", F.md5("line").alias("line")).agg(F.count("*").alias("n"))
+
+
+_PROFILE_LINES = """pl AS (SELECT id, [0, 0, 0, 0] AS spot, 'name: ' || name AS line FROM ents UNION ALL SELECT id, [0, 1, 0, 0], 'type: ' || type FROM ents UNION ALL SELECT id, [2, 2, 0, 0], 'aliases ' || array_to_string(aliases, ' ') FROM ents WHERE len(aliases) > 0
+UNION ALL SELECT id, [1, pos, ref_pos, 0], 'tags ' || array_to_string(tags, ' ') FROM mn UNION ALL SELECT id, [1, pos, ref_pos, 1], 'context ' || context FROM mn UNION ALL SELECT id, [1, pos, ref_pos, 2], 'content ' || %s FROM mn WHERE content <> ''
+UNION ALL SELECT id, [2, 3, 0, 0], 'related ' || string_agg(DISTINCT name, ' ' ORDER BY name) FROM rel GROUP BY id UNION ALL SELECT id, [2, 4, 0, 0], 'operational_type: ' || type FROM ents WHERE type = 'state')""" % _CUT
+_KEYWORDS_SQL = f"""kt AS (SELECT id, pos, ref_pos, {_TOKENS} AS t FROM (SELECT id, pos, ref_pos, concat_ws(' ', context, content, array_to_string(tags, ' ')) AS text FROM mn)), ke AS (SELECT id, pos, ref_pos, unnest(t) AS token, generate_subscripts(t, 1) AS spot FROM kt),
+own AS (SELECT id, unnest(list_concat({_TOKENS}, ['name', 'type', 'context', 'content', 'related', 'tags', 'aliases'])) AS token FROM (SELECT id, concat_ws(' ', name, array_to_string(aliases, ' ')) AS text FROM ents)),
+kc AS (SELECT id, token, count(*) AS n, min([pos, ref_pos, spot]) AS first FROM ke WHERE (id, token) NOT IN (FROM own) GROUP BY ALL UNION ALL SELECT id, token, count(*), NULL FROM (SELECT id, unnest({_TOKENS.replace("text", "name")}) AS token FROM rel) GROUP BY ALL),
+kw AS (SELECT id, token, sum(n) AS n, row_number() OVER (PARTITION BY id ORDER BY sum(n) DESC, min(first) NULLS LAST, token) AS rank FROM kc GROUP BY id, token QUALIFY rank <= 8)"""
+
+
+@query(f"""WITH {_WORLD_SQL}, {_PROFILE_LINES}, {_KEYWORDS_SQL},
+one AS (SELECT id, count(*) AS mention_count, string_agg(chunk_id, ',' ORDER BY pos, ref_pos) AS chunks, array_to_string(list_slice(list(context ORDER BY pos, ref_pos), 1, 3), '|') AS contexts, string_agg(CASE WHEN content <> '' THEN {_CUT} END, '|' ORDER BY pos, ref_pos) AS excerpts FROM mn GROUP BY id)
+SELECT e.id, mention_count, md5(chunks) AS chunks, contexts, md5(coalesce(excerpts, '')) AS excerpts, (SELECT string_agg(DISTINCT t, ',' ORDER BY t) FROM (SELECT unnest(tags) AS t FROM mn WHERE mn.id = e.id)) AS tags, (SELECT string_agg(DISTINCT rel.name, ',' ORDER BY rel.name) FROM rel WHERE rel.id = e.id) AS related,
+(SELECT string_agg(token, ',' ORDER BY rank) FROM kw WHERE kw.id = e.id) AS keywords, (SELECT md5(string_agg(line, chr(10) ORDER BY spot)) FROM pl WHERE pl.id = e.id) AS representation FROM ents e JOIN one USING (id)""")
+def entity_profiles(spark: SparkSession, d: str) -> DataFrame:
+    own = profiles.profiles(*_world(spark, d))
+    joined = lambda c, by=",": F.array_join(c, by)
+    return own.select("id", "mention_count", F.md5(joined("mentioned_chunks")).alias("chunks"), joined("contexts", "|").alias("contexts"), F.md5(joined("content_excerpts", "|")).alias("excerpts"), joined("tags").alias("tags"), joined("related_entities").alias("related"), joined("keywords").alias("keywords"), F.md5("representation").alias("representation"))
+
+
+_GRAPH_SQL = f"""{_WORLD_SQL}, {_LINES_SQL}, src AS (SELECT id, string_agg(line, chr(10)) AS text FROM ln WHERE line IS NOT NULL GROUP BY id), {_TF}"""
+_SHARED = "(SELECT count(DISTINCT a.chunk_id) FROM mn a JOIN mn b ON a.chunk_id = b.chunk_id WHERE a.id = source AND b.id = target) AS shared_chunk_count"
+
+
 # --- graph ----------------------------------------------------------------------------------------------------------
 
 _BRAND_TEXT = "src AS (SELECT p_brand AS id, string_agg(p_name || ' ' || p_type, ' ' ORDER BY p_partkey) AS text FROM part GROUP BY p_brand)"
@@ -353,11 +483,22 @@ def entity_similar_edges(spark: SparkSession, d: str) -> DataFrame:
     return _similar(spark, d, "p_name", "p_type")
 
 
-@query(f"WITH {_BRAND_TEXT.replace(chr(39) + ' ' + chr(39) + ' || p_type', chr(39) + chr(39)).replace('p_name || ' + chr(39) * 2, 'p_name')}, {_TF}, {_EDGE_SQL} SELECT source, target, score FROM edges")
+@query(f"WITH src AS (SELECT p_brand AS id, string_agg(p_name, ' ' ORDER BY p_partkey) AS text FROM part GROUP BY p_brand), {_TF}, {_EDGE_SQL} SELECT source, target, score FROM edges")
 def metadata_mode_edges(spark: SparkSession, d: str) -> DataFrame:
     return _similar(spark, d, "p_name")
 
 
+@query(f"WITH {_GRAPH_SQL}, {_EDGE_SQL} SELECT source, target, score, {_SHARED} FROM edges")
+def graph_from_export_edges(spark: SparkSession, d: str) -> DataFrame:
+    return profiles.graph_from_export(*_world(spark, d))[1].select("source", "target", "score", "shared_chunk_count")
+
+
+@query(f"""WITH {_WORLD_SQL}, src AS (SELECT id, array_to_string(['name ' || name, 'type ' || type, CASE WHEN len(aliases) > 0 THEN 'aliases ' || array_to_string(aliases, ' ') END], chr(10)) AS text FROM ents), {_TF}, {_EDGE_SQL}
+SELECT source, target, score, {_SHARED} FROM edges""")
+def graph_from_profiles_metadata(spark: SparkSession, d: str) -> DataFrame:
+    return profiles.graph_from_profiles(profiles.profiles(*_world(spark, d)), "metadata")[1].select("source", "target", "score", "shared_chunk_count")
+
+
 #: A small catalogue of skills: name, preconditions, postconditions, cost, idempotent.
 SKILLS = (
     ("browse", [], ["view"], "low", True),
