@@ -129,15 +129,15 @@ def test_sessions_run_to_their_ends(spark):
     skills = spark.createDataFrame(SKILLS[:3], SKILL_TYPE)
     sessions = spark.createDataFrame([(1, "goal", ["raw"], []), (2, "goal", [], []), (3, "goal", ["goal"], [])], SESSION_TYPE)
     history, end = planning.run_sessions(sessions, skills, 20)
-    assert rows(history) == [(1, 1, "parse"), (1, 2, "match"), (1, 3, "plan")]
+    assert rows(history.select("session_id", "iteration", "name", "result")) == [(1, 1, "parse", "success"), (1, 2, "match", "success"), (1, 3, "plan", "success")]
     assert {r["session_id"]: r["reason"] for r in end.collect()} == {1: "goal_reached", 2: "no_candidates", 3: "goal_reached"}
-    assert planning.completed_edges(history, skills).count() == 3
+    assert planning.completed_edges(history).count() == 3
 
 
 def test_sessions_are_built_from_all_events(spark, tmp_path):
-    events = spark.createDataFrame([(1, 7, "view"), (3, 7, "purchase"), (2, 8, "view"), (5, 8, "click")], "event_id long, user_id long, event_type string")
+    events = spark.createDataFrame([(1, 7, "view", 60.0), (3, 7, "purchase", 90.0), (2, 8, "view", 51.0), (5, 8, "click", 70.0), (6, 8, "view", 50.0), (7, 9, "view", None)], "event_id long, user_id long, event_type string, value double")
     events.write.parquet(str(tmp_path / "events.parquet"))
-    assert rows(queries._sessions(spark, str(tmp_path)).select("session_id", "active")) == [(7, ["view"]), (8, ["click", "view"])]
+    assert rows(queries._sessions(spark, str(tmp_path)).select("session_id", "active")) == [(7, ["view"]), (8, ["click"]), (9, [])]
 
 
 def test_causal_edges_take_the_first_state(spark):
