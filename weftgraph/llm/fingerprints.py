@@ -7,7 +7,10 @@ each doubling of the number of steps, as one hex digit each, for ``WALKS`` walks
 covers it to its end, and has the same steps for texts of any length. Each sample stands for as much text as its
 doubling has steps per sample; likeness is the weighted share of equal samples, less what chance gives.
 
-Banding hashes runs of samples into keys; documents that share a key are candidates, verified by likeness.
+Banding hashes runs of samples into keys; documents that share a key are candidates, verified by likeness. Equal
+fingerprints are one candidate, whatever number of texts has them. In a few turns each tries one other that a key of its
+names, and those linked so far are one class; only pairs of a key that are still in different classes are then made and
+verified. So a large group of near copies costs a pair for each, and no link of two that share a key is missed.
 
 Walks go in step for all texts of a slice, a few numpy operations per step for all of them.
 
@@ -27,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import kept, mix
+from .components import components
 
 WALKS = 2
 SAMPLES = 32
@@ -162,6 +166,58 @@ def with_fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fingerprint string")
 
 
+#: Least likeness of near copies, and turns in which each fingerprint tries one other.
+NEAR = 0.75
+TURNS = 2
+
+
+def _verified(pairs: DataFrame, prints: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of prints (print, fingerprint) that are as alike as that."""
+    side = lambda x: prints.select(F.col("print").alias(x), F.col("fingerprint").alias(f"_{x}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = pa.array([likeness(x, y) >= least for x, y in zip(batch.column("_a").to_pylist(), batch.column("_b").to_pylist(), strict=True)], pa.bool_())
+            yield batch.select(["a", "b"]).filter(good)
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "_a", "_b").mapInArrow(run, "a long, b long")
+
+
+def near_copies(docs: DataFrame, least: float = NEAR) -> DataFrame:
+    """doc_id, fingerprint and class_id of each row: the smallest doc_id of those reached by links of likeness least or more between texts that share a band key; a text without characters is alone, as is one too short for a band unless it has an equal. A null doc_id names no class unless all of the class are null."""
+    rows = kept(with_fingerprints(docs).withColumn("print", F.when(F.col("fingerprint") != "", F.xxhash64("fingerprint"))), "prints")
+    prints = kept(rows.filter("print IS NOT NULL").groupBy("print").agg(F.first("fingerprint").alias("fingerprint")), "distinct")
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sorted(set(band_keys(x))) for x in batch.column("fingerprint").to_pylist()]
+            numbers = np.repeat(batch.column("print").to_numpy(), [len(x) for x in found])
+            yield pa.record_batch([pa.array(numbers, pa.int64()), pa.array([k for x in found for k in x], pa.int64())], ["print", "key"])
+
+    placed = prints.mapInArrow(keys, "print long, key long")
+    shared = placed.groupBy("key").agg(F.min("print").alias("low"), F.max("print").alias("high")).filter("low <> high").select("key")
+    placed = kept(placed.join(shared, "key").withColumn("class", F.col("print")), "placed")
+    found = groups = None
+    for turn in range(TURNS):
+        lot = F.struct(F.xxhash64("print", "key", F.lit(turn)).alias("lot"), F.col("print").alias("hub"), F.col("class").alias("its"))
+        named = placed.groupBy("key").agg(F.min(lot).alias("n"))
+        met = placed.join(named, "key").filter(F.col("class") != F.col("n.its"))
+        tried = met.groupBy("print").agg(F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("lot"), F.col("n.hub").alias("hub"))).alias("t"))
+        pairs = kept(tried.select(F.least("print", "t.hub").alias("a"), F.greatest("print", "t.hub").alias("b")).distinct(), "tried")
+        links = _verified(pairs, prints, least)
+        found = kept(links if found is None else found.unionByName(links).distinct(), "links")
+        groups = components(found)
+        named = placed.drop("class").join(groups.withColumnsRenamed({"node": "print", "component": "class"}), "print", "left").withColumn("class", F.coalesce("class", "print"))
+        several = named.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("key")
+        placed = kept(named.join(several, "key"), "placed")
+    one = placed.select("key", F.col("print").alias("a"), F.col("class").alias("ca"))
+    pairs = one.join(one.withColumnsRenamed({"a": "b", "ca": "cb"}), "key").filter("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    groups = components(kept(found.unionByName(_verified(kept(pairs, "pairs"), prints, least)), "links"))
+    named = rows.join(groups.withColumnRenamed("node", "print"), "print", "left").withColumn("class", F.coalesce("component", "print"))
+    names = named.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("class_id"))
+    return named.join(names, "class", "left").select("doc_id", "fingerprint", F.coalesce("class_id", "doc_id").alias("class_id"))
+
+
 def edited_text(text: str, following: str) -> str:
     """The text with its last half (rounded down) replaced by the first as many characters of the following one, or all of it."""
     half = len(text) // 2

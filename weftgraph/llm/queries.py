@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import benchmark_matches
-from .fingerprints import compare_neighbours
+from .fingerprints import compare_neighbours, near_copies
 from .jaccard import near_duplicates
 from .mixing import mix_sources
 from .pii import replace_entities, session_key
@@ -62,6 +62,11 @@ def op5_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_neighbours(_table(spark, sf_dir, "documents"))
 
 
+def near_copies_by_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search of op5 over all documents: its classes of near copies."""
+    return near_copies(_table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -77,5 +82,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_suffix_tree_lm": op9_suffix_tree_lm,
     "op10_jaccard_join": op10_jaccard_join,
+    "near_copies_by_fingerprint": near_copies_by_fingerprint,
 }
 ORACLE_SQL: dict[str, str] = {}
