@@ -254,6 +254,22 @@ def test_url_rules_and_segments(spark):
     assert got[5]["words"].startswith("cheap pills online") and got[5]["verdict"] == "block" and got[6]["words"].startswith("daily news") and got[6]["verdict"] == "allow"
 
 
+def test_url_parts_of_any_script(spark):
+    rows = [(1, "http://bet365.net/a"), (2, "http://новости-дня.net/7/страница"), (1, "http://bet365.net/a"), (None, "http://x.net/12345")]
+    got = urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    words = {(r["page_id"], r["verdict"], r["words"]) for r in got}
+    assert len(got) == 4 and (1, "block", "bet365 a") in words and {w for i, _, w in words if i == 2} == {"новости дня страница"}
+    assert urls.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_quality_defined_cases(spark, docs):
+    ratings = spark.createDataFrame([(0, 2), (1, 0), (2, 1), (22, 0), (None, 2), (4, None)], "doc_id long, grade int")
+    got = quality.score_quality(docs, ratings).collect()
+    assert len(got) == docs.count() and all(0 <= r["tail"] <= 1 and 0 <= r["expected_grade"] <= 2 for r in got)
+    assert len({round(r["tail"], 9) for r in got if r["doc_id"] == 3}) == 1 and quality.score_quality(docs.limit(0), ratings).count() == 0
+    assert {r["expected_grade"] for r in quality.score_quality(docs, ratings.limit(0)).collect()} == {0.0}
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     """Toxic, copied, near, benchmark and personal rows, each on its own; sets and alignments by plain Python."""
     pipeline = pytest.importorskip("corpus_pipeline")

@@ -5,7 +5,8 @@ by all grades, the thresholds are ordered. The score is linear in hashed feature
 their shapes (letters, digits and signs by kind), and how many of the words or lines stand in the text before. Expected grade and the
 probability of a grade of at least ``keep_from`` follow; selection takes texts by that tail probability.
 
-Weights are learnt on a bounded sample of rated rows, those of the smallest hashed ids; scoring is one pass without a shuffle.
+Weights are learnt on a bounded sample of rated rows, those of the smallest hashed ids whose texts are neither null nor of more
+than ``SAMPLE_TEXT_BYTES``; scoring is one pass without a shuffle.
 
 Defined cases: a null or empty text has no features, its score is that of a text at 0; with ratings of fewer than two grades
 every text gets the one known grade, or 0; null ids are held out; repeated rows score alike; an empty table gives an empty
@@ -26,6 +27,8 @@ from .suffix_tree import held_out
 
 #: Most rated rows that training sees.
 SAMPLE_ROWS = 4000
+#: Rated texts of more bytes are not learnt from, as the sample is one of whole texts; they are scored like all others.
+SAMPLE_TEXT_BYTES = 1 << 18
 BITS = 11
 STEPS = 400
 _SHAPE = np.arange(256, dtype=np.uint8)
@@ -124,7 +127,7 @@ def rated_sample(docs: DataFrame, ratings: DataFrame, parts: int, most: int) ->
     known = ratings.filter(F.col("doc_id").isNotNull() & F.col("grade").isNotNull() & ~held_out(F.col("doc_id"), parts)).select("doc_id", "grade").distinct()
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(most)
     ids = docs.sparkSession.createDataFrame(picked.collect(), picked.schema)
-    rows = docs.select("doc_id", "text").filter(F.octet_length("text") <= 1 << 18).join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most)
+    rows = docs.select("doc_id", "text").filter(F.octet_length("text") <= SAMPLE_TEXT_BYTES).join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most)
     texts, grades = [], []
     for r in rows.select("text", "grade").toLocalIterator():
         texts.append(r["text"])
