@@ -38,7 +38,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_warc_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = write_archives(_table(spark, sf_dir, "pages"), archive_folder(spark))
-    return read_archives(spark, archives, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "archive", "offset")
+    return read_archives(spark, archives, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op6_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,4 +84,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_jaccard_join": op10_jaccard_join,
     "near_copies_by_fingerprint": near_copies_by_fingerprint,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: A row's digest is told as five-bit pieces of its hash, a component by reaching every smaller id.
+ORACLE_SQL: dict[str, str] = {
+    "op4_warc_splits": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS digest, row_number() OVER () AS row FROM pages),
+     named AS (
+  SELECT digest, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(digest, 1 + 10 * (k // 8), 10) AS BIGINT) >> (35 - 5 * (k % 8))) & 31 AS INTEGER), 1), '' ORDER BY k) AS base32
+  FROM (SELECT DISTINCT digest FROM p), range(32) t(k) GROUP BY digest),
+     placed AS (SELECT p.*, first_value(row) OVER w AS first_row, first_value(page_id) OVER w AS first_id FROM p WINDOW w AS (PARTITION BY digest ORDER BY page_id NULLS LAST, row))
+SELECT page_id, octet_length(encode(payload)) AS payload_bytes, base32 AS payload_digest,
+       CASE WHEN row = first_row THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN row <> first_row THEN first_id END AS refers_to
+FROM placed JOIN named USING (digest)
+""",
+    "op10_jaccard_join": r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+     sets AS (SELECT doc_id, CASE WHEN len(w) = 0 OR w IS NULL THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                ELSE list_sort(list_distinct([array_to_string(w[i:i + 3], ' ') for i in range(1, len(w) - 2)])) END AS s FROM words),
+     kinds AS (SELECT min(doc_id) AS kind, s, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+     held AS (SELECT kind, n, unnest(s) AS shingle FROM kinds),
+     links AS (SELECT a.kind AS a, b.kind AS b FROM held a JOIN held b ON a.shingle = b.shingle AND a.kind < b.kind AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+               GROUP BY a.kind, b.kind, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+     edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+     reach(node, seen) AS (SELECT kind, kind FROM kinds UNION SELECT e.b, r.seen FROM reach r JOIN edges e ON e.a = r.node WHERE r.seen < e.b),
+     named AS (SELECT node, min(seen) AS component FROM reach GROUP BY node)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(m.component, s.doc_id) AS component_id
+FROM sets s LEFT JOIN kinds k ON k.s = s.s LEFT JOIN named m ON m.node = k.kind
+""",
+}
