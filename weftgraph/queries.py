@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .constants import GENERIC_NAMES, STOPWORDS
+from .constants import GENERIC_NAMES, KEYWORD_STOPWORDS, STOPWORDS
 from .functions import text as T
-from .operators import checks, graph, mentions, planning, profiles, retrieval, validation, vectors
+from .operators import catalog, checks, graph, mentions, planning, profiles, retrieval, validation, vectors
 from .streaming.sessions import active_states, state_counts
 from .tables import stored, table
 
@@ -32,6 +32,7 @@ def query(sql: str | None) -> Callable:
 
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 _TOKENS = r"""list_filter(regexp_extract_all(regexp_replace(lower(text), '[^\x00-\x7F\PL]|[^\x00-\x7F\PN]', 'X', 'g'), '\b[a-z][a-z0-9_-]+\b'), lambda t: t NOT IN (%s))""" % _STOP
+_LONG = r"""list_filter(regexp_extract_all(regexp_replace(lower(text), '[^\x00-\x7F\PL]|[^\x00-\x7F\PN]', 'X', 'g'), '\b[a-z][a-z0-9_-]+\b'), lambda t: len(t) > 2 AND t NOT IN (%s))""" % ", ".join(f"'{w}'" for w in KEYWORD_STOPWORDS)
 _PLAIN = r"""regexp_extract_all(regexp_replace(lower(text), '[^\x00-\x7F\PL]|[^\x00-\x7F\PN]', 'X', 'g'), '\b[a-z]{3,}\b')"""
 _TF = f"""tok AS (SELECT id, {_TOKENS} AS t FROM src), one AS (SELECT id, len(t) AS size, unnest(t) AS token FROM tok),
 tf AS (SELECT id, token, size, count(*) AS n FROM one GROUP BY ALL),
@@ -617,6 +618,55 @@ def min_mention_catalog(spark: SparkSession, d: str) -> DataFrame:
     return counted.join(known, "p_brand", "left").filter("n >= 5 OR known").select("p_brand", "p_name", "n")
 
 
+#: Orders as lessons: skills are the parts of their lines, prerequisites the types of these, in line order.
+_LESSONS = r"""nm AS (SELECT l_orderkey AS chunk_id, p_name || '.' || p_brand AS name, 'skill' AS kind FROM lineitem JOIN part ON l_partkey = p_partkey
+UNION ALL SELECT l_orderkey, p_type, 'prerequisite' FROM lineitem JOIN part ON l_partkey = p_partkey),
+na AS (SELECT *, 'entity:' || trim(regexp_replace(replace(lower(name), '.', ''), '[^a-z0-9]+', '-', 'g'), '-') AS entity_id FROM nm),
+cg AS (SELECT entity_id, min(name) AS name, count(*) AS mentions FROM na GROUP BY entity_id HAVING count(*) >= 5 OR entity_id = 'entity:economy')"""
+
+
+def _lessons(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("chunk_id"), "l_linenumber", F.col("l_partkey").alias("p_partkey"))
+    parts = table(spark, d, "part").select("p_partkey", F.concat("p_name", F.lit("."), "p_brand").alias("skill"), "p_type")
+    rows = lines.join(parts, "p_partkey").groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "skill", "p_type"))).alias("lines"))
+    return rows.select("chunk_id", F.col("lines.skill").alias("skills"), F.col("lines.p_type").alias("prerequisites"))
+
+
+def _catalogued(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    names = stored(catalog.named(_lessons(spark, d)))
+    return names, stored(catalog.entity_catalog(names, spark.createDataFrame([("entity:economy",)], "entity_id string")))
+
+
+@query(f"WITH {_LESSONS} SELECT entity_id, name, mentions FROM cg")
+def lesson_entity_catalog(spark: SparkSession, d: str) -> DataFrame:
+    return _catalogued(spark, d)[1].select("entity_id", "name", "mentions")
+
+
+@query(f"""WITH {_LESSONS}, st AS (SELECT DISTINCT 'entity:' || trim(regexp_replace(replace(lower(p_name || '.' || p_brand), '.', ''), '[^a-z0-9]+', '-', 'g'), '-') AS a, 'entity:' || lower(p_type) AS b, CASE WHEN p_size > 25 THEN 0.85 ELSE 0.65 END AS score FROM part),
+ed AS (SELECT * FROM st UNION ALL SELECT DISTINCT s.entity_id, p.entity_id, 0.70 FROM na s JOIN na p USING (chunk_id) WHERE s.kind = 'skill' AND p.kind = 'prerequisite' AND s.entity_id <> p.entity_id)
+SELECT least(a, b) AS source, greatest(a, b) AS target, max(score)::DOUBLE AS score FROM ed WHERE a IN (SELECT entity_id FROM cg) AND b IN (SELECT entity_id FROM cg) GROUP BY ALL""")
+def lesson_graph_edges(spark: SparkSession, d: str) -> DataFrame:
+    names, known = _catalogued(spark, d)
+    parts = table(spark, d, "part")
+    stated = parts.select(F.concat("p_name", F.lit("."), "p_brand").alias("source"), F.col("p_type").alias("target"), F.when(F.col("p_size") > 25, "requires").otherwise("relatedTo").alias("relation")).distinct()
+    return catalog.catalog_edges(stated, names, known)
+
+
+@query(f"""WITH {_LESSONS}, co AS (SELECT e.entity_id, s.name AS skill, count(*) AS n FROM na e JOIN na s USING (chunk_id) WHERE s.kind = 'skill' AND s.entity_id <> e.entity_id AND e.entity_id IN (SELECT entity_id FROM cg) GROUP BY ALL)
+SELECT entity_id, skill, n, row_number() OVER (PARTITION BY entity_id ORDER BY n DESC, skill) AS rank FROM co QUALIFY rank <= 8""")
+def lesson_co_skills(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.co_skills(*_catalogued(spark, d)).select("entity_id", "skill", F.col("n").cast("long").alias("n"), "rank")
+
+
+@query(f"""WITH tk AS (SELECT doc_id, lang, source, unnest({_LONG}) AS token FROM documents), ct AS (SELECT 'entity:' || e AS entity_id, token, count(*) AS n FROM (SELECT token, lang AS e FROM tk UNION ALL SELECT token, source FROM tk) WHERE e IS NOT NULL GROUP BY ALL)
+SELECT entity_id, token, n, row_number() OVER (PARTITION BY entity_id ORDER BY n DESC, token) AS rank FROM ct QUALIFY rank <= 10""")
+def lesson_keywords(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as lessons of their language, with their source as what they need."""
+    lessons = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", F.array("lang").alias("skills"), F.array("source").alias("prerequisites"))
+    names = catalog.named(lessons)
+    return catalog.lesson_keywords(lessons, names, catalog.entity_catalog(names, least=1)).select("entity_id", "token", F.col("n").cast("long").alias("n"), "rank")
+
+
 # --- planning -------------------------------------------------------------------------------------------------------
 
 #: A session is a user; a state is active if the last of its events has a value over 50. What the goal gives is never active at first.
