@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, by_row, slices, span_hashes, word_bounds
+from .common import LOWER, by_row, learnt, slices, span_hashes, word_bounds
 from .suffix_tree import held_out
 
 #: Most rated rows that training sees.
@@ -123,22 +123,26 @@ def fit(x: np.ndarray, ratings: np.ndarray, steps: int = STEPS, decay: float = 1
     return Ordinal(grades, w, np.cumsum(np.concatenate([theta[:1], np.exp(theta[1:])])))
 
 
-def rated_sample(docs: DataFrame, ratings: DataFrame, parts: int, most: int) -> tuple[list[str], list[int]]:
+def rated_sample(docs: DataFrame, ratings: DataFrame, parts: int, most: int) -> DataFrame:
+    """text and grade of at most ``most`` rated rows that aren't held out, in an order of their own; texts of more than SAMPLE_TEXT_BYTES are passed over."""
     known = ratings.filter(F.col("doc_id").isNotNull() & F.col("grade").isNotNull() & ~held_out(F.col("doc_id"), parts)).select("doc_id", "grade").distinct()
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(most)
-    ids = docs.sparkSession.createDataFrame(picked.collect(), picked.schema)
-    rows = docs.select("doc_id", "text").filter(F.octet_length("text") <= SAMPLE_TEXT_BYTES).join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most)
-    texts, grades = [], []
-    for r in rows.select("text", "grade").toLocalIterator():
-        texts.append(r["text"])
+    rows = docs.select("doc_id", "text").filter(F.octet_length("text") <= SAMPLE_TEXT_BYTES).join(F.broadcast(picked), "doc_id")
+    return rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text", "grade").limit(most).select("text", "grade")
+
+
+def model_of(rows: Iterator[dict]) -> Ordinal:
+    """The model of rated rows; each text is let go once its features are counted."""
+    x, grades = [], []
+    for r in rows:
+        x.append(dense([r["text"]])[0])
         grades.append(int(r["grade"]))
-    return texts, grades
+    return fit(np.stack(x) if x else np.zeros((0, (2 << BITS) + EXTRA), np.float32), np.array(grades, np.int64))
 
 
 def score_quality(docs: DataFrame, ratings: DataFrame, keep_from: int = 1, parts: int = 5, most: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, held_out, expected_grade, tail (probability of a grade of keep_from or more) and keep of each row. ratings: doc_id, grade."""
-    texts, grades = rated_sample(docs, ratings, parts, most)
-    model = fit(dense(texts) if texts else np.zeros((0, (2 << BITS) + EXTRA), np.float32), np.array(grades, np.int64))
+    model = learnt(rated_sample(docs, ratings, parts, most), model_of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = model.weights
