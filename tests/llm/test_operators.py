@@ -262,6 +262,46 @@ def test_url_parts_of_any_script(spark):
     assert urls.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def plain_split(text, counts):
+    """All splits of all prefixes, every part of the names at hand."""
+    total = sum(counts.values()) + 1
+    best = [(0.0, 0)]
+    for end in range(1, len(text) + 1):
+        best.append(min((best[k][0] + min(-np.log(counts[text[k:end]] / total) if text[k:end] in counts else np.inf, 10 + 4.0 * (end - k)), k) for k in range(end)))
+    out, end = [], len(text)
+    while end:
+        out.insert(0, text[best[end][1] : end])
+        end = best[end][1]
+    return out
+
+
+def test_url_names_beyond_those_held(spark):
+    """Rare, long and many parts of names are words like the others, whether a task holds them or not."""
+    long, longer = "donaudampfschifffahrtsgesellschaftskapitaen", "ab" * 40
+    hosts = [f"{a}{b}-{c}{d}" for a in WORDS for b in WORDS for c, d in zip(WORDS, WORDS[3:], strict=False)][:300] + ["zzglorp-zzfrub", f"die-{long}", f"{longer}-shop", "новости-дня"]
+    hosts += ["zzglorpzzfrub", f"zzfrubcasino{long}bets", f"casino{'qx' * 30}zzglorp", f"{longer}zzfrub", "новостиzzfrubдня", "bafigohuzzglorpkale", "hotnews"]
+    pages = spark.createDataFrame([(n % 50, f"http://{h}.net/{h[::-1]}/{h}") for n, h in enumerate(hosts)] + [(None, "http://zzglorpzzfrub.net"), (1, None)], "page_id long, url string")
+    counts = {r["w"]: r["n"] for r in urls.part_counts(pages.select(urls.host_and_path(F.col("url"))[0].alias("host"))).collect()}
+    model = urls.UrlModel(counts)
+    every = {w: counts.get(w, 0) + model.listed[w] for w in counts.keys() | model.listed.keys()}
+    got = {held: sorted((str(r["page_id"]), r["host"], r["path"], r["verdict"], r["words"], r["odds"]) for r in urls.filter_urls(pages, held=held).collect()) for held in (urls.HELD_PARTS, 7, 0)}
+    assert got[0] == got[7] == got[urls.HELD_PARTS] and len(got[0]) == len(hosts) + 2
+    for _, host, path, _, words, _ in got[0]:
+        assert words.split() == [w for p in urls.parts(host, path) for w in plain_split(p, every)]
+    words = {host: words.split() for _, host, _, _, words, _ in got[0]}
+    assert words["zzglorpzzfrub.net"][:2] == ["zzglorp", "zzfrub"] and words[f"zzfrubcasino{long}bets.net"][:4] == ["zzfrub", "casino", long, "bets"]
+    assert words[f"{longer}zzfrub.net"][:2] == [longer, "zzfrub"] and words[f"casino{'qx' * 30}zzglorp.net"][:3] == ["casino", "qx" * 30, "zzglorp"]
+
+
+def test_url_more_names_than_held(spark):
+    """A part seen once is a word even where more parts than a task holds are seen twice."""
+    letters = F.translate(F.col("id").cast("string"), "0123456789", "bcdfghjklm")
+    common = spark.range(21_000).select(F.concat(F.lit("http://x-w"), letters, F.lit(".w"), letters, F.lit("-x.net")).alias("url"))
+    rare = spark.createDataFrame([("http://zzglorp-zzfrub.net",), ("http://zzglorpzzfrub.net",)], "url string")
+    got = urls.filter_urls(common.union(rare).select(F.lit(1).alias("page_id"), "url"))
+    assert [r["words"] for r in got.filter(F.col("host").startswith("zz")).collect()] == ["zzglorp zzfrub"] * 2
+
+
 def test_quality_defined_cases(spark, docs):
     ratings = spark.createDataFrame([(0, 2), (1, 0), (2, 1), (22, 0), (None, 2), (4, None)], "doc_id long, grade int")
     got = quality.score_quality(docs, ratings).collect()
