@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,15 +87,123 @@ def with_zeros(scores: DataFrame, queries: DataFrame, docs: DataFrame, k: int) -
     return scores.unionByName(missing.select("query_id", "id", F.lit(0.0).alias("score")))
 
 
-def dense_cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, block: int = 1024) -> DataFrame:
-    """query_id, id, rank: nearest dense vectors (id, v) of each query (id, v); queries are dealt into blocks of about block rows, so that no task holds more of them at once whatever their number. Each task keeps k of a query before the shuffle."""
-    dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    size = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    blocks = -(-queries.count() // block)
-    asked, found = queries.select(F.col("id").alias("query_id"), F.col("v").alias("q")), None
-    for n in range(blocks):
-        some = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n)
-        pairs = vectors.join(F.broadcast(some), F.col("id") != F.col("query_id"))
-        top = ranked(pairs.select("query_id", "id", (dot / (size("q") * size("v"))).alias("score")), "query_id", "id", k)
-        found = top if found is None else found.unionByName(top)
-    return found if found is not None else ranked(vectors.join(asked, F.col("id") != F.col("query_id")).select("query_id", "id", F.lit(0.0).alias("score")), "query_id", "id", k)
+def _norms(v: np.ndarray, given: np.ndarray) -> np.ndarray:
+    """The length of each given vector; NaN where a cosine with it is none, as of a vector of zeros."""
+    size = np.sqrt(np.einsum("ij,ij->i", v, v))
+    size[given & ~((size > 0) & (size < np.inf))] = np.nan
+    return size
+
+
+def _first_of_equals(ids: np.ndarray, keys: np.ndarray, k: int) -> np.ndarray:
+    """Places of those vectors that can be among the k best of a query: of equal ones (keys) the k + 1 smallest ids, k rows of each, as a query passes over its own id."""
+    order = np.lexsort((ids, keys))
+    key, own = keys[order], ids[order]
+    new_key = np.append(True, key[1:] != key[:-1])
+    new_id = new_key | np.append(True, own[1:] != own[:-1])
+    turn = np.cumsum(new_id)
+    nth_id = turn - np.maximum.accumulate(np.where(new_key, turn, 0))
+    at = np.arange(len(order))
+    nth_row = at - np.maximum.accumulate(np.where(new_id, at, 0))
+    return order[(nth_id <= k) & (nth_row < k)]
+
+
+def _best(q: np.ndarray, at: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best of each query: scores at nine digits, NaN first, -inf (no vector) last, ties by id."""
+    compared = np.where(np.isnan(score), np.inf, np.round(score, 9))
+    order = np.lexsort((ids[at], -compared, q))
+    first = np.append(True, q[order][1:] != q[order][:-1])
+    nth = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+    return order[nth < k]
+
+
+def cell_topk(qids: np.ndarray, q: np.ndarray, q_given: np.ndarray, ids: np.ndarray, v: np.ndarray, v_given: np.ndarray, k: int, tile: tuple[int, int] = (1024, 4096)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, place of the vector, and score of the k best vectors (ids, v) of each query (qids, q) by cosine; a row that isn't given has no vector. Scores are exact: products of single precision only sift the pairs, by a bound of their error."""
+    qn, vn = _norms(q, q_given), _norms(v, v_given)
+    keys = np.unique(np.ascontiguousarray(v + 0.0).view(np.dtype((np.void, 8 * v.shape[1]))).ravel(), return_inverse=True)[1].ravel() if len(v) and v.shape[1] else np.zeros(len(v), np.int64)
+    keys[~v_given], keys[v_given & np.isnan(vn)] = -1, -2
+    left = _first_of_equals(ids, keys, k)
+    odd, good = left[~v_given[left] | np.isnan(vn[left])], left[v_given[left] & ~np.isnan(vn[left])]
+    unit = (v[good] / vn[good, None]).astype(np.float32)
+    slack = np.float32((v.shape[1] + 8) * 2.0**-22)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def keep(rows: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pairs of different ids, with their scores."""
+        other = qids[rows] != ids[at]
+        rows, at = rows[other], at[other]
+        score = np.empty(len(rows))
+        for n in range(0, len(rows), 1 << 16):
+            r, a = rows[n : n + (1 << 16)], at[n : n + (1 << 16)]
+            score[n : n + (1 << 16)] = np.einsum("ij,ij->i", q[r], v[a]) / (qn[r] * vn[a])
+        score[~(q_given[rows] & v_given[at])] = -np.inf
+        return rows, at, score
+
+    plain = np.flatnonzero(q_given & ~np.isnan(qn))
+    for n in range(0, len(plain), tile[0]):
+        rows = plain[n : n + tile[0]]
+        asked = (q[rows] / qn[rows, None]).astype(np.float32)
+        held = keep(np.repeat(rows, len(odd)), np.tile(odd, len(rows)))
+        least = np.full(len(rows), -np.inf, np.float32)
+        for m in range(0, len(good), tile[1]):
+            some = good[m : m + tile[1]]
+            near = asked @ unit[m : m + tile[1]].T
+            if not m and len(some) > 2 * k:
+                # the k best of the first ones are a floor for the rest; as many more are looked at as a query's own id may have rows
+                own = np.where(qids[rows][:, None] == ids[some][None, :512], -np.inf, near[:, :512])
+                least = np.partition(own, -k, axis=1)[:, -k] if own.shape[1] > k else least
+            r, a = np.nonzero(near >= (least - slack)[:, None])
+            more = keep(rows[r], some[a])
+            held = tuple(np.concatenate(x) for x in zip(held, more, strict=True))
+            best = _best(*held, ids, k)
+            held = tuple(x[best] for x in held)
+            full, count = np.unique(held[0], return_counts=True)
+            worst = np.full(len(q), -np.inf)
+            np.minimum.at(low := np.full(len(q), np.inf), held[0], np.where(np.isnan(held[2]), np.inf, held[2]))
+            worst[full[count == k]] = low[full[count == k]]
+            least = np.maximum(least, worst[rows].astype(np.float32))
+        if not len(good):
+            held = tuple(x[best] for best in [_best(*held, ids, k)] for x in held)
+        found.append(held)
+    # a query without a cosine has the smallest ids, those of given vectors first if it is given itself
+    for rows in (np.flatnonzero(~q_given), np.flatnonzero(q_given & np.isnan(qn))):
+        if len(rows):
+            is_given = q_given[rows[0]]
+            group = np.where(v_given, 1, 0) if is_given else np.zeros(len(v), np.int64)
+            first = _first_of_equals(ids, group, k)
+            for n in range(0, len(rows), 4096):
+                held = keep(np.repeat(rows[n : n + 4096], len(first)), np.tile(first, len(rows[n : n + 4096])))
+                best = _best(*held, ids, k)
+                found.append(tuple(x[best] for x in held))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    rows, at, score = (np.concatenate(x) for x in zip(*found, strict=True))
+    return rows, at, score
+
+
+def dense_cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, block: int = 1 << 15) -> DataFrame:
+    """query_id, id, rank: nearest dense vectors (id, v: numbers) of each query (id, v), whose own id is passed over. Queries and vectors are dealt into blocks of about block rows at most, and each pair of blocks is a task that keeps k of a query. A pair without a vector has no score and is last, one with a vector of zeros has NaN and is first."""
+    counts = queries.agg(F.count("*")).first()[0], vectors.agg(F.count("*")).first()[0]
+    # small tables are dealt too, so that all cores have some; a row goes to as many tasks as the other side has blocks
+    dealt = [max(1, -(-n // block), min(8, -(-n // 1024))) for n in counts]
+    name = lambda c, to: F.pmod(F.xxhash64("id", F.lit(to)), F.lit(c)).cast("int")
+    number = "array<double>" if "double" in vectors.schema["v"].dataType.simpleString() + queries.schema["v"].dataType.simpleString() else "array<float>"
+    all_of = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
+    asked = queries.select(F.lit(True).alias("asks"), "id", F.col("v").cast(number).alias("v"), name(dealt[0], 0).alias("qb"), F.explode(all_of(dealt[1])).alias("vb"))
+    held = vectors.select(F.lit(False).alias("asks"), "id", F.col("v").cast(number).alias("v"), F.explode(all_of(dealt[0])).alias("qb"), name(dealt[1], 1).alias("vb"))
+    kind = vectors.schema["id"].dataType.simpleString()
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        given = pc.is_valid(table["v"]).to_numpy()
+        size = max(pc.max(pc.list_value_length(table["v"])).as_py() or 0, 1)
+        if not pc.all(pc.equal(pc.list_value_length(table["v"]), size)).as_py() and given.any():
+            raise ValueError("vectors differ in length")
+        v = np.zeros((len(given), size))
+        v[given] = pc.list_flatten(table["v"]).to_numpy().reshape(-1, size)
+        ids, asks = table["id"].to_numpy(), table["asks"].to_numpy(zero_copy_only=False)
+        rows, at, score = cell_topk(ids[asks], v[asks], given[asks], ids[~asks], v[~asks], given[~asks], k)
+        none = np.isneginf(score)
+        return pa.table({"query_id": ids[asks][rows], "id": ids[~asks][at], "score": pa.array(np.where(none, 0.0, score), pa.float64(), mask=none)})
+
+    found = asked.unionByName(held).groupBy("qb", "vb").applyInArrow(run, f"query_id {kind}, id {kind}, score double")
+    return ranked(found, "query_id", "id", k)
