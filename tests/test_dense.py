@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 
+from weftgraph import queries
 from weftgraph.operators import vectors
 
 
@@ -22,6 +23,13 @@ def brute(rows, k):
     return sorted(out)
 
 
+def test_every_row_is_a_query(spark, tmp_path):
+    points = {k: [math.cos(k * k), math.sin(k * k), math.cos(3 * k)] for k in range(101)}
+    spark.createDataFrame(list(points.items()), "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = queries.embedding_cosine_topk(spark, str(tmp_path)).collect()
+    assert sorted((r["query_id"], r["rank"]) for r in got) == [(q, r) for q in range(101) for r in (1, 2, 3)]
+
+
 def test_blocks_copies_and_odd_vectors(spark):
     rng = random.Random(5)
     rows = [(i, [rng.gauss(0, 1) for _ in range(5)]) for i in range(60)]

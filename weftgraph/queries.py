@@ -773,11 +773,11 @@ def active_state_set_ops(spark: SparkSession, d: str) -> DataFrame:
     return active_states(log)
 
 
-@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, vec_id AS id, list_cosine_similarity(q::DOUBLE[], embedding::DOUBLE[]) AS score FROM q, embeddings WHERE vec_id <> query_id)
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings), s AS (SELECT query_id, vec_id AS id, list_cosine_similarity(q::DOUBLE[], embedding::DOUBLE[]) AS score FROM q, embeddings WHERE vec_id <> query_id)
 SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s QUALIFY rank <= 3""")
 def embedding_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     points = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return vectors.dense_cosine_topk(points.filter("id % 20 = 0"), points, 3).select("query_id", "id", "rank")
+    return vectors.dense_cosine_topk(points, points, 3).select("query_id", "id", "rank")
 
 
 @query("""WITH x(pos, key, term) AS (VALUES (0, 'the', 'article'), (1, 'AND', 'joint'), (2, 'ing', 'gerund')) SELECT item_id, text || coalesce(' ' || string_agg(term, ' ' ORDER BY pos), '') AS expanded FROM benchmark LEFT JOIN x ON contains(lower(text), lower(key)) GROUP BY item_id, text""")
