@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,20 +13,85 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import MIN_SCORE, TOP_K
-from ..functions.text import tokens
+from ..functions import words as W
 from ..tables import stored
 
 
-def term_counts(texts: DataFrame) -> DataFrame:
-    """id, token, n and size (all tokens of the text); texts: id, text."""
-    exploded = texts.select("id", tokens(F.col("text")).alias("t")).select("id", F.size("t").cast("long").alias("size"), F.explode("t").alias("token"))
-    return exploded.groupBy("id", "token", "size").agg(F.count("*").alias("n"))
+#: Tokens that go to every task with their idf: the commonest. All others meet theirs in a join.
+COMMON = 100_000
+#: Tokens of queries that go to every task; of more of them, documents meet the queries in a join.
+ASKED = 1_000_000
+#: Rows that a task gathers before it hands them on, and tokens that it counts before it does.
+_ROWS, _COUNTED = 1 << 17, 1 << 18
+
+
+def repeated(texts: DataFrame) -> bool:
+    """Whether several texts have one id."""
+    return not texts.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+
+
+def term_counts(texts: DataFrame, rule: str = "tokens") -> DataFrame:
+    """id, token, n and size (all tokens of the text); texts: id, text. A text is counted where it is read, only ids that stand several times are brought together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, tokens, numbers, sizes = [], [], [], []
+
+            def out() -> pa.RecordBatch:
+                columns = [batch.column("id").take(pa.array(np.repeat(np.array(rows, np.int64), sizes_of))), W.strings(tokens), pa.array(numbers, pa.int64()), pa.array(np.repeat(np.array(sizes, np.int64), sizes_of))]
+                return pa.record_batch(columns, ["id", "token", "n", "size"])
+
+            sizes_of: list[int] = []
+            for row, found in enumerate(W.words(batch.column("text").to_pylist(), rule)):
+                counts = Counter(found)
+                rows.append(row)
+                sizes.append(len(found))
+                sizes_of.append(len(counts))
+                tokens += counts.keys()
+                numbers += counts.values()
+                if len(tokens) >= _ROWS:
+                    yield out()
+                    for held in (rows, tokens, numbers, sizes, sizes_of):
+                        held.clear()
+            if tokens:
+                yield out()
+
+    kind = texts.schema["id"].dataType.simpleString()
+    counts = texts.select("id", "text").mapInArrow(run, f"id {kind}, token string, n long, size long")
+    return counts.groupBy("id", "token", "size").agg(F.sum("n").alias("n")) if repeated(texts) else counts
+
+
+def _with_idf(counted: DataFrame, texts: DataFrame) -> DataFrame:
+    total = texts.agg(F.count("*").alias("total"))
+    return counted.crossJoin(F.broadcast(total)).select("token", "df", (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
 def idf(counts: DataFrame, texts: DataFrame) -> DataFrame:
     """token, df and idf = ln((1 + N) / (1 + df)) + 1; N counts texts without tokens too."""
-    total = texts.agg(F.count("*").alias("total"))
-    return counts.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total)).select("token", "df", (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("idf"))
+    return _with_idf(counts.groupBy("token").agg(F.count("*").alias("df")), texts)
+
+
+def frequencies(texts: DataFrame) -> DataFrame:
+    """The same of texts that are not counted yet: a task sends a token once for all of its texts, or for some hundred thousand tokens of them."""
+    if repeated(texts):
+        return idf(term_counts(texts), texts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            return pa.record_batch([W.strings(list(counts)), pa.array(list(counts.values()), pa.int64())], ["token", "n"])
+
+        for batch in batches:
+            for found in W.words(batch.column("text").to_pylist(), "tokens"):
+                counts.update(set(found))
+                if len(counts) >= _COUNTED:
+                    yield out()
+                    counts.clear()
+        if counts:
+            yield out()
+
+    return _with_idf(texts.select("text").mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("df")), texts)
 
 
 def vectors(texts: DataFrame) -> DataFrame:
@@ -68,8 +135,162 @@ def similar_edges(pairs: DataFrame, k: int = TOP_K, least: float = MIN_SCORE) ->
     return best.select(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target"), F.round("score", 4).alias("score")).distinct()
 
 
+def _measured(docs: DataFrame, known: DataFrame, asked: list[str] | None = None) -> DataFrame:
+    """id, size, norm, and of the asked tokens that a text holds, at (their places) and w (weights), of each text; ids are different. Each text is counted once where it is read: common tokens have their idf there, the rest is joined and summed. known: token, idf."""
+    near = known.orderBy(F.desc("df")).limit(COMMON).select("token", "idf").toArrow()
+    common = dict(zip((t.encode() for t in near["token"].to_pylist()), near["idf"].to_pylist(), strict=True))
+    places = {t.encode(): k for k, t in enumerate(asked or [])}
+    shared = docs.sparkSession.sparkContext.broadcast((common, places))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, places = shared.value
+        for batch in batches:
+            columns: list[list] = [[] for _ in range(7)]
+            rows, size, sq, rare, times, at, count = columns
+
+            def out() -> pa.RecordBatch:
+                lists = lambda x, kind: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(v) for v in x])]), pa.int32()), kind([v for r in x for v in r]))
+                values = [batch.column("id").take(pa.array(rows, pa.int64())), pa.array(size, pa.int64()), pa.array(sq, pa.float64()), lists(rare, W.strings), lists(times, lambda v: pa.array(v, pa.int64())), lists(at, lambda v: pa.array(v, pa.int32())), lists(count, lambda v: pa.array(v, pa.int64()))]
+                return pa.record_batch(values, ["id", "size", "sq", "rare", "times", "at", "count"])
+
+            for row, found in enumerate(W.words(batch.column("text").to_pylist(), "tokens")):
+                counts = Counter(found)
+                here = np.array([common.get(t, 0.0) for t in counts])
+                weights = np.array(list(counts.values()), np.float64) / max(len(found), 1) * here
+                others = [(t, n) for t, n in counts.items() if t not in common] if not here.all() else []
+                met = [(places[t], n) for t, n in counts.items() if t in places] if places else []
+                for held, value in zip(columns, (row, len(found), float(weights @ weights), [t for t, _ in others], [n for _, n in others], [k for k, _ in met], [n for _, n in met]), strict=True):
+                    held.append(value)
+                if len(rows) >= 1024:
+                    yield out()
+                    for held in columns:
+                        held.clear()
+            if rows:
+                yield out()
+
+    kind = docs.schema["id"].dataType.simpleString()
+    told = stored(docs.select("id", "text").mapInArrow(run, f"id {kind}, size long, sq double, rare array<string>, times array<long>, at array<int>, count array<long>"))
+    each = told.select("id", "size", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("id", F.col("r.rare").alias("token"), (F.col("r.times") / F.col("size")).alias("tf"))
+    rest = each.join(known.select("token", "idf"), "token").groupBy("id").agg(F.sum(F.col("tf") * F.col("idf") * F.col("tf") * F.col("idf")).alias("rest"))
+    return told.join(rest, "id", "left").select("id", "size", F.sqrt(F.col("sq") + F.coalesce("rest", F.lit(0.0))).alias("norm"), "at", "count")
+
+
+def text_norms(docs: DataFrame) -> DataFrame:
+    """id and norm of each text's vector; texts without tokens have none."""
+    if repeated(docs):
+        return norms(vectors(docs))
+    return _measured(docs, stored(frequencies(docs))).filter("size > 0").select("id", "norm")
+
+
+class _Asked:
+    """Weights of queries by token, for all of a task's texts at once."""
+
+    def __init__(self, q: pa.Table, tokens: pa.Array):
+        names = pc.unique(q["query_id"])
+        where = pc.index_in(q["token"], tokens).to_numpy().astype(np.int64)
+        order = np.argsort(where, kind="stable")
+        self.ids, self.begin = names, np.searchsorted(where[order], np.arange(len(tokens) + 1))
+        self.query = pc.index_in(q["query_id"], names).to_numpy().astype(np.int64)[order]
+        self.weight = q["wq"].to_numpy()[order]
+
+    def scores(self, batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """First row, scores and shares (a row for each text, a column for each query) of some rows at a time."""
+        wide = len(self.ids)
+        step = max(16, (1 << 20) // max(wide, 1))
+        for first in range(0, batch.num_rows, step):
+            some = batch.slice(first, step)
+            lists, counts = some.column("at"), some.column("count")
+            row = np.repeat(np.arange(some.num_rows), pc.list_value_length(lists).to_numpy())
+            at, n = lists.flatten().to_numpy().astype(np.int64), counts.flatten().to_numpy()
+            idf = some.column("idf").flatten().to_numpy()
+            size, norm = some.column("size").to_numpy(), some.column("norm").to_numpy()
+            weight = n / size[row] * idf / norm[row]
+            width = self.begin[at + 1] - self.begin[at]
+            spot = np.repeat(self.begin[at] - (np.cumsum(width) - width), width) + np.arange(int(width.sum()))
+            place = np.repeat(row, width) * wide + self.query[spot]
+            shape = (some.num_rows, wide)
+            score = np.bincount(place, np.repeat(weight, width) * self.weight[spot], some.num_rows * wide).reshape(shape)
+            yield first, score, score > 0
+
+
+def _asked(queries: DataFrame, docs: DataFrame) -> tuple[DataFrame, object] | None:
+    """Texts with their norm and their weights of asked tokens, and the queries' weights for every task; none if queries are too many or ids of texts repeat."""
+    if repeated(docs):
+        return None
+    known = stored(frequencies(docs))
+    q = query_vectors(queries, known)
+    q = stored(q.join(norms(q), "id").select(F.col("id").alias("query_id"), "token", (F.col("weight") / F.col("norm")).alias("wq")))
+    if q.count() > ASKED:
+        return None
+    told = q.select("token").distinct().join(known.select("token", "idf"), "token", "left").toArrow()
+    tokens, idfs = told["token"].combine_chunks(), told["idf"].to_numpy()
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast((_Asked(q.toArrow().combine_chunks(), tokens), idfs))
+    return stored(_measured(docs, known, tokens.to_pylist())), shared
+
+
+def _score(batch: pa.RecordBatch, shared) -> tuple[_Asked, pa.RecordBatch]:
+    asked, idfs = shared.value
+    lists = batch.column("at")
+    idf = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())]), pa.int32()), pa.array(idfs[lists.flatten().to_numpy()] if lists.flatten() else np.zeros(0)))
+    return asked, batch.append_column("idf", idf)
+
+
 def query_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """query_id, id and score of each query and each document that share a token. Documents of score 0 are left to with_zeros. Texts are read once; norms and dot products come from one aggregation of the weights."""
+    """query_id, id and score of each query and each document that share a token. Documents of score 0 are left to with_zeros. Queries go to every task, which scores its texts for all of them; of very many queries, tokens meet in a join."""
+    met = _asked(queries, docs)
+    kinds = f"query_id {queries.schema['id'].dataType.simpleString()}, id {docs.schema['id'].dataType.simpleString()}, score double"
+    if met is None:
+        return _joined_scores(queries, docs)
+    told, shared = met
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            asked, held = _score(batch, shared)
+            for first, score, some in asked.scores(held):
+                row, q = np.nonzero(some)
+                yield pa.record_batch([asked.ids.take(pa.array(q)), batch.column("id").take(pa.array(row + first)), pa.array(score[row, q])], ["query_id", "id", "score"])
+
+    return told.mapInArrow(run, kinds)
+
+
+def query_topk(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """query_id, id, score and rank: the k best documents of each query, filled up with documents of score 0 in id order. A task keeps k of a query."""
+    met = _asked(queries, docs)
+    if met is None:
+        return ranked(with_zeros(_joined_scores(queries, docs), queries, docs, k), "query_id", "id", k)
+    told, shared = met
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, list] = {}
+        asked = None
+        for batch in batches:
+            asked, held = _score(batch.take(pc.array_sort_indices(batch.column("id"))), shared)
+            ids = held.column("id")
+            for first, score, _ in asked.scores(held):
+                near = np.round(score, 9)
+                for _ in range(min(k, len(near))):
+                    row = near.argmax(axis=0)
+                    columns = np.arange(near.shape[1])
+                    for q, i, x in zip(columns.tolist(), ids.take(pa.array(row + first)).to_pylist(), score[row, columns].tolist(), strict=True):
+                        best.setdefault(q, []).append((-round(x, 9), i, x))
+                    near[row, columns] = -1
+                for held_best in best.values():
+                    held_best.sort()
+                    del held_best[k:]
+        if asked is not None:
+            rows = [(q, i, x) for q, held in best.items() for _, i, x in held]
+            yield pa.record_batch([asked.ids.take(pa.array([q for q, _, _ in rows], pa.int64())), pa.array([i for _, i, _ in rows], ids.type), pa.array([x for _, _, x in rows], pa.float64())], ["query_id", "id", "score"])
+
+    kinds = f"query_id {queries.schema['id'].dataType.simpleString()}, id {docs.schema['id'].dataType.simpleString()}, score double"
+    found = told.mapInArrow(run, kinds)
+    # a query without tokens has no score with any document
+    silent = queries.select("id").join(term_counts(queries).select("id").distinct(), "id", "left_anti").select(F.col("id").alias("query_id"))
+    none = silent.crossJoin(docs.select("id").orderBy("id").limit(k)).select("query_id", "id", F.lit(0.0).alias("score"))
+    return ranked(found.unionByName(none), "query_id", "id", k)
+
+
+def _joined_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
     counts = stored(term_counts(docs))
     frequencies = stored(idf(counts, docs))
     q = query_vectors(queries, frequencies)

@@ -65,12 +65,12 @@ def tokenize_counts(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_DOCS}, {_TF} SELECT token, df, round(idf, 9) AS idf FROM idf")
 def document_frequency_idf(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d)
-    return vectors.idf(vectors.term_counts(docs), docs).select("token", "df", F.round("idf", 9).alias("idf"))
+    return vectors.frequencies(docs).select("token", "df", F.round("idf", 9).alias("idf"))
 
 
 @query(f"WITH {_DOCS}, {_TF} SELECT id AS doc_id, round(norm, 7) AS norm FROM norm")
 def doc_vector_norms(spark: SparkSession, d: str) -> DataFrame:
-    return vectors.norms(vectors.vectors(_docs(spark, d))).select(F.col("id").alias("doc_id"), F.round("norm", 7).alias("norm"))
+    return vectors.text_norms(_docs(spark, d)).select(F.col("id").alias("doc_id"), F.round("norm", 7).alias("norm"))
 
 
 _QUERY_SQL = f"""WITH {_DOCS}, {_TF},
@@ -86,8 +86,7 @@ ranked AS (SELECT item_id, id AS doc_id, round(score, 4) AS score, row_number()
 def _nearest(spark: SparkSession, d: str, k: int) -> DataFrame:
     docs = _docs(spark, d)
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
-    scores = vectors.with_zeros(vectors.query_scores(items, docs), items, docs, k)
-    return vectors.ranked(scores, "query_id", "id", k).select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "rank", F.round("score", 4).alias("score"))
+    return vectors.query_topk(items, docs, k).select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "rank", F.round("score", 4).alias("score"))
 
 
 @query(f"{_QUERY_SQL} SELECT item_id, doc_id, rank, score FROM ranked WHERE rank <= 3")
