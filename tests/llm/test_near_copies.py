@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from weftgraph.llm import fingerprints as fp
 
 WORDS = "ba de fi go hu ka le mi no pu ra se ti vo wa xe yo zu an el".split()
@@ -59,3 +61,19 @@ def test_likeness_is_told_by_plain_counting():
             total += weight
             same += weight * (k < min(len(x), len(y)) and x[k] == y[k])
     assert abs(fp.likeness(a, b) - max(0.0, (same / total - 1 / 16) / (15 / 16))) < 1e-12
+
+
+def test_marks_lose_no_near_pair_and_tell_most_others():
+    rng = random.Random(23)
+    texts = []
+    for size in (3, 12, 50, 200, 900):
+        base = " ".join(rng.choice(WORDS) + rng.choice(WORDS) for _ in range(size))
+        texts += [edited(rng, base, k * max(1, size // 40)) for k in range(6)] + [base[: len(base) * 9 // 10]]
+        texts += [" ".join(rng.choice(WORDS) + rng.choice(WORDS) for _ in range(size)) for _ in range(3)]
+    prints = [x for x in fp.embed([fp.points(t) for t in texts]) if x]
+    told = np.array([fp.marks(x) for x in prints], np.int64)
+    a, b = np.triu_indices(len(prints), 1)
+    good = fp.may_be_near(told, a, b, fp.NEAR)
+    near = np.array([fp.likeness(prints[x], prints[y]) >= fp.NEAR for x, y in zip(a, b, strict=True)])
+    assert near.sum() > 20 and not (near & ~good).any()
+    assert good.sum() < 2 * near.sum()
