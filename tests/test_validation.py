@@ -54,3 +54,19 @@ def test_bodies(spark):
     assert rows(got.filter("doc = 'e'")) == []
     counted = {r["doc"]: (r["errors"], r["warnings"], r["infos"]) for r in V.severities(got).collect()}
     assert counted == {"d": (6, 1, 0)}
+
+
+def test_heads_in_pieces_have_the_issues_of_the_whole(spark, monkeypatch, tmp_path):
+    import json
+
+    from weftgraph import queries
+
+    entities = [{"id": f"e{k % 3}", "name": "N", "type": ("state", "alien")[k % 2]} if k != 2 else 7 for k in range(5)]
+    chunks = [{"id": f"c{k % 3}", "version": k, "dependencies": [f"c{k + 1}"], "entities": ["e0", "gone"], "state_refs": ["e1"]} for k in range(5)]
+    whole = spark.createDataFrame([("d", json.dumps({"entities": entities, "chunks": chunks})), ("n", None)], "doc string, head string")
+    pieces = [("d", json.dumps({"entities": entities[k : k + 2], "chunks": chunks[k : k + 2]}), k) for k in (4, 0, 2)] + [("n", None, 0)]
+    assert rows(V.head_issues(spark.createDataFrame(pieces, "doc string, head string, before int"))) == rows(V.head_issues(whole))
+    monkeypatch.setattr(queries, "HEAD_PIECE", 7)
+    spark.createDataFrame([(k, "Brand#1", k % 5) for k in range(1, 31)], "p_partkey long, p_brand string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    held = sorted((r["before"], len(json.loads(r["head"])["chunks"])) for r in queries._heads(spark, str(tmp_path)).collect())
+    assert held == [(0, 7), (7, 7), (14, 7), (21, 7), (28, 2)]

@@ -72,8 +72,9 @@ def _repeats(rows: DataFrame, rule: str) -> DataFrame:
 
 
 def head_issues(docs: DataFrame, files: DataFrame | None = None) -> DataFrame:
-    """Issues of heads. docs: doc, head (JSON, null without one); files: doc and content_path of the media that exist."""
-    heads = docs.select("doc", F.lit(1).alias("line"), F.try_parse_json("head").alias("v"))
+    """Issues of heads. docs: doc, head (JSON, null without one); files: doc and content_path of the media that exist. A long head may come in pieces, rows of one doc that each hold some of its entities and chunks; before is then the number of those of either kind in the pieces before."""
+    before = F.col("before") if "before" in docs.columns else F.lit(0)
+    heads = docs.select("doc", F.lit(1).alias("line"), before.alias("before"), F.try_parse_json("head").alias("v"))
     chunks, entities = field(F.col("v"), "chunks"), field(F.col("v"), "entities")
     nothing = F.lit(None)
     out = [
@@ -81,7 +82,10 @@ def head_issues(docs: DataFrame, files: DataFrame | None = None) -> DataFrame:
         _found(heads, F.col("v").isNotNull() & chunks.isNull(), "no_chunks", "warning", nothing),
         _found(heads, entities.isNotNull() & ~is_list(entities), "entities_not_list", "error", nothing),
     ]
-    each = heads.select("doc", F.posexplode(items(entities)).alias("pos", "v")).withColumn("line", F.col("pos") + 2)
+    if "before" in docs.columns:
+        out = [x.distinct() for x in out]
+    placed = lambda x: heads.select("doc", "before", F.posexplode(items(x)).alias("at", "v")).select("doc", (F.col("before") + F.col("at")).alias("pos"), "v").withColumn("line", F.col("pos") + 2)
+    each = placed(entities)
     names = [field(F.col("v"), c) for c in ("id", "name", "type")]
     a_thing = kind(F.col("v")).startswith("OBJECT")
     whole = reduce(lambda a, b: a & b, [n.isNotNull() for n in names])
@@ -92,7 +96,7 @@ def head_issues(docs: DataFrame, files: DataFrame | None = None) -> DataFrame:
     good = each.filter(a_thing & whole).select("doc", "line", text(F.col("v"), "$.id").alias("id"), "v")
     own = text(F.col("v"), "$.type")
     out += [_repeats(good, "duplicate_entity"), _found(good, (own != "") & ~own.isin(*ENTITY_TYPES), "unknown_type", "warning", F.col("id")), *_fields(good, catalog)]
-    out += _chunk_issues(heads.select("doc", F.posexplode(items(chunks)).alias("pos", "v")).withColumn("line", F.col("pos") + 2), catalog, files)
+    out += _chunk_issues(placed(chunks), catalog, files)
     return reduce(DataFrame.unionByName, out)
 
 

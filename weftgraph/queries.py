@@ -266,13 +266,19 @@ _CHUNK_FIELDS = (
 )
 
 
+#: Entities and chunks of a piece of a head.
+HEAD_PIECE = 1000
+
+
 def _heads(spark: SparkSession, d: str) -> DataFrame:
     made = lambda fields: "concat('{', concat_ws(', ', " + ", ".join(f"if({when}, {value}, null)" for when, value in fields) + "), '}')"
     parts = table(spark, d, "part").select(F.col("p_brand").alias("doc"), F.col("p_partkey").alias("k"), F.col("p_size").alias("z"))
     rows = parts.selectExpr("doc", "k", f"if(k % 50 = 0, '7', {made(_ENTITY_FIELDS)}) AS e", f"{made(_CHUNK_FIELDS)} AS c")
-    listed = rows.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("k", "e", "c"))).alias("l"))
+    # a brand's head comes in pieces, as it grows with the table
+    rows = rows.withColumn("pos", F.row_number().over(Window.partitionBy("doc").orderBy("k", "e", "c")) - 1)
+    listed = rows.groupBy("doc", F.floor(F.col("pos") / HEAD_PIECE).alias("piece")).agg(F.array_sort(F.collect_list(F.struct("k", "e", "c"))).alias("l"))
     entities, chunks = F.array_join("l.e", ", "), F.array_join("l.c", ", ")
-    return listed.select("doc", F.concat(F.lit('{"entities": ['), entities, F.lit('], "chunks": ['), chunks, F.lit("]}")).alias("head"))
+    return listed.select("doc", F.concat(F.lit('{"entities": ['), entities, F.lit('], "chunks": ['), chunks, F.lit("]}")).alias("head"), (F.col("piece") * HEAD_PIECE).cast("int").alias("before"))
 
 
 def _state_rules(rows: str, of: str) -> str:
@@ -299,7 +305,7 @@ UNION ALL SELECT doc, line, 'dependency_not_found', 'warning', ref FROM need LEF
 UNION ALL SELECT doc, line, 'bad_media_type', 'error', c FROM h WHERE k % 14 = 0 UNION ALL SELECT doc, line, 'path_of_text', 'warning', c FROM h WHERE k % 14 = 2 UNION ALL SELECT doc, line, 'path_missing', 'warning', c FROM h WHERE k % 14 = 1 AND k % 28 <> 1 UNION ALL {_state_rules("sref", "state_refs")}""")
 def head_structure_issues(spark: SparkSession, d: str) -> DataFrame:
     files = table(spark, d, "part").filter("p_partkey % 28 = 1").select(F.col("p_brand").alias("doc"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("content_path"))
-    return validation.head_issues(_heads(spark, d), files)
+    return validation.head_issues(stored(_heads(spark, d)), files)
 
 
 @query("""WITH l AS (SELECT conv_id AS doc, row_number() OVER (PARTITION BY conv_id ORDER BY turn) + 9 AS line, CASE role WHEN 'user' THEN 1 WHEN 'assistant' THEN -1 ELSE 0 END AS step, 'c' || (turn % 3) AS id FROM conversations),
