@@ -52,3 +52,25 @@ def test_ranking_and_norms_equal_those_by_joins(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     norm = lambda df: sorted((r["id"], round(r["norm"], 9)) for r in df.collect())
     assert norm(vectors.text_norms(docs)) == norm(vectors.norms(vectors.vectors(docs)))
+
+
+def test_words_are_counted_by_equal_ids(spark):
+    rows = [(["a", "b", "a"], 3, "red blue red"), (["a", "b", "a"], 1, "blue the red"), (["b"], 0, "red"), ([], 2, "red"), (["c"], 5, None)]
+    df = spark.createDataFrame(rows, "ids array<string>, pos long, text string").coalesce(1)
+    got = {(tuple(r["ids"]), r["token"]): (r["n"], tuple(r["first"])) for r in W.counts_by_ids(df, "tokens").collect()}
+    assert got == {(("a", "b", "a"), "red"): (3, (1, 1)), (("a", "b", "a"), "blue"): (2, (1, 0)), (("b",), "red"): (1, (0, 0))}
+
+
+def test_texts_of_lessons_and_mentions_are_not_shuffled(spark):
+    from weftgraph.operators import catalog, profiles
+    from weftgraph.tables import stored
+
+    lessons = spark.createDataFrame([("l", "walks on graphs", ["A"], ["B"])], "chunk_id string, text string, skills array<string>, prerequisites array<string>")
+    names = catalog.named(lessons)
+    shown = plan(catalog.lesson_keywords(lessons, names, catalog.entity_catalog(names, least=1)))
+    assert "hashpartitioning(chunk_id" not in shown
+    chunks = spark.createDataFrame([(0, "c", "ctx", "word " * 200, ["t"], ["s", "n"])], "pos long, chunk_id string, context string, content string, tags array<string>, entities array<string>")
+    entities = stored(spark.createDataFrame([("s", "S", "state", [])], "id string, name string, type string, aliases array<string>"))
+    found = profiles.mentioned(chunks, entities)
+    assert "BroadcastHashJoin" in plan(found)
+    assert [(r["id"], len(r["content"].split())) for r in found.collect()] == [("s", 80)]

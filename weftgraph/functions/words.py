@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 from ..constants import KEYWORD_STOPWORDS, STOPWORDS
 
@@ -97,3 +99,42 @@ def words(texts: list[str | None], rule: str) -> Iterator[list[bytes]]:
 
 def strings(values: list[bytes]) -> pa.Array:
     return pa.array(values, pa.binary()).cast(pa.string())
+
+
+#: Words that a task counts before it hands them on.
+COUNTED = 1 << 18
+
+
+def counts_by_ids(rows: DataFrame, rule: str) -> DataFrame:
+    """ids, token, n and first (pos and at of its first occurrence) of the words of texts that have the same ids, counted where they are read. rows: ids (array<string>), pos (long) and text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple[Counter, dict]] = {}
+        room = 0
+
+        def out() -> pa.RecordBatch:
+            told = [(ids, token, n, *first[token]) for ids, (counts, first) in held.items() for token, n in counts.items()]
+            ids, tokens, n, pos, at = map(list, zip(*told, strict=True))
+            first = pa.StructArray.from_arrays([pa.array(pos, pa.int64()), pa.array(at, pa.int32())], ["pos", "at"])
+            return pa.record_batch([pa.array(ids, pa.list_(pa.string())), strings(tokens), pa.array(n, pa.int64()), first], ["ids", "token", "n", "first"])
+
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for ids, pos, found in zip(batch.column("ids").to_pylist(), batch.column("pos").to_pylist(), words(texts, rule), strict=True):
+                if not ids or not found:
+                    continue
+                counts, first = held.setdefault(tuple(ids), (Counter(), {}))
+                room -= len(counts)
+                counts.update(found)
+                room += len(counts)
+                for at in range(len(found) - 1, -1, -1):
+                    if (before := first.get(found[at])) is None or (pos, at) < before:
+                        first[found[at]] = (pos, at)
+                if room >= COUNTED:
+                    yield out()
+                    held.clear()
+                    room = 0
+        if held:
+            yield out()
+
+    return rows.select("ids", "pos", "text").mapInArrow(run, "ids array<string>, token string, n long, first struct<pos: long, at: int>")

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import EDGE_SCORES, MIN_MENTIONS, TOP_KEYWORDS
-from ..functions.text import long_tokens, slug
+from ..functions import words
+from ..functions.text import slug
 from .graph import strongest
 
 
@@ -61,9 +62,9 @@ def co_skills(names: DataFrame, catalog: DataFrame, k: int = TOP_KEYWORDS) -> Da
 
 
 def lesson_keywords(lessons: DataFrame, names: DataFrame, catalog: DataFrame, k: int = 10) -> DataFrame:
-    """entity_id, token, n and rank: the commonest tokens in the texts of an entity's lessons. Tokens are counted by lesson before lessons meet their entities."""
-    tokens = lessons.select("chunk_id", F.explode(long_tokens(F.col("text"))).alias("token")).groupBy("chunk_id", "token").agg(F.count("*").alias("c"))
-    entities = names.join(catalog.select("entity_id"), "entity_id", "left_semi").groupBy("chunk_id", "entity_id").agg(F.count("*").alias("times"))
-    counted = entities.join(tokens, "chunk_id").groupBy("entity_id", "token").agg(F.sum(F.col("c") * F.col("times")).alias("n"))
+    """entity_id, token, n and rank: the commonest tokens in the texts of an entity's lessons. names: as named tells them of the lessons. Tasks count the tokens of all lessons that name the same entities, so neither texts nor their tokens meet names in a join."""
+    ids = F.array_sort(F.transform(F.array_compact(F.concat(_names("skills"), _names("prerequisites"))), lambda n: slug(n)))
+    told = words.counts_by_ids(lessons.select(ids.alias("ids"), F.lit(0).cast("long").alias("pos"), "text"), "long")
+    counted = told.select(F.explode("ids").alias("entity_id"), "token", "n").groupBy("entity_id", "token").agg(F.sum("n").alias("n")).join(catalog.select("entity_id"), "entity_id", "left_semi")
     order = Window.partitionBy("entity_id").orderBy(F.desc("n"), "token")
     return counted.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k)
