@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import CONTEXT_WORDS, GENERIC_NAMES, JACCARD_NEAR, MAX_LINKS, OPENER_OVERLAP, OPENER_WORDS, UBIQUITOUS_SHARE
 from ..functions.text import category, is_chunk_id, jaccard, plain_words, split_words, word_count
+from . import near
 
 
 def repeats(rows: DataFrame, keys: list[str], position: str) -> DataFrame:
@@ -57,16 +58,8 @@ def tag_issues(depths: DataFrame) -> DataFrame:
 
 
 def near_pairs(chunks: DataFrame, least: float = JACCARD_NEAR) -> DataFrame:
-    """doc, a < b and similarity of chunks (doc, pos, text) of a document whose word sets are this near. Chunks meet on words of a prefix in a global order, so not all pairs are made."""
-    sets = chunks.select("doc", "pos", F.array_distinct(plain_words(F.col("text"))).alias("w")).filter(F.size("w") > 0)
-    often = sets.select("doc", F.explode("w").alias("word")).groupBy("doc", "word").agg(F.count("*").alias("df"))
-    words = sets.select("doc", "pos", F.size("w").alias("n"), F.explode("w").alias("word")).join(often, ["doc", "word"])
-    place = F.row_number().over(Window.partitionBy("doc", "pos").orderBy("df", "word"))
-    prefix = words.withColumn("_at", place).filter(F.col("_at") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select("doc", "pos", "n", "word")
-    p, q = prefix.withColumnsRenamed({"pos": "a", "n": "na"}), prefix.withColumnsRenamed({"pos": "b", "n": "nb"})
-    candidates = p.join(q, ["doc", "word"]).filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9)).select("doc", "a", "b").distinct()
-    full = candidates.join(sets.select("doc", F.col("pos").alias("a"), F.col("w").alias("wa")), ["doc", "a"]).join(sets.select("doc", F.col("pos").alias("b"), F.col("w").alias("wb")), ["doc", "b"])
-    return full.withColumn("similarity", jaccard(F.col("wa"), F.col("wb"))).filter(F.col("similarity") >= least).select("doc", "a", "b", "similarity")
+    """doc, a < b and similarity of chunks (doc, pos, text) of a document whose word sets are this near."""
+    return near.near_pairs(chunks, least)
 
 
 def context_issues(chunks: DataFrame) -> DataFrame:
