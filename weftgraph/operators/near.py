@@ -22,7 +22,7 @@ from ..tables import stored
 
 #: Words whose number of sets goes to every task: the commonest. All others count as rare.
 COMMON = 500_000
-#: Sets of a block, pairs that a task looks at at once, and longs of parity bits of a set.
+#: Most sets of a block (smaller documents are dealt into up to eight of some thousand), pairs that a task looks at at once, and longs of parity bits of a set.
 BLOCK, PAIRS, LONGS = 1 << 15, 1 << 20, 32
 _HASHES: dict[bytes, int] = {}
 
@@ -30,7 +30,7 @@ _HASHES: dict[bytes, int] = {}
 def _hashed(found: set[bytes]) -> np.ndarray:
     if len(_HASHES) > 1 << 20:
         _HASHES.clear()
-    for w in found - _HASHES.keys():
+    for w in [w for w in found if w not in _HASHES]:
         _HASHES[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True)
     out = np.fromiter((_HASHES[w] for w in found), np.int64, len(found))
     out.sort()
@@ -91,6 +91,8 @@ def cell_pairs(left: tuple, right: tuple, least: float, same: bool) -> tuple[np.
     (na, wa, ra, pa_, ma), (nb, wb, rb, pb, mb) = left, right
     order = np.argsort(wb, kind="stable")
     wb, rb, pb = wb[order], rb[order], pb[order]
+    xa, xb = na[ra], nb[rb]
+    la, lb = xa - pa_, xb - pb
     low, high = np.searchsorted(wb, wa), np.searchsorted(wb, wa, side="right")
     width = high - low
     ends, found, at = np.cumsum(width), [np.zeros(0, np.int64)], 0
@@ -101,12 +103,15 @@ def cell_pairs(left: tuple, right: tuple, least: float, same: bool) -> tuple[np.
         i = np.repeat(np.arange(at, stop), some)
         j = np.repeat(low[at:stop] - (np.cumsum(some) - some), some) + np.arange(len(i))
         at = stop
-        a, b = ra[i], rb[j]
-        x, y = na[a], nb[b]
-        good = (np.minimum(x, y) >= least * np.maximum(x, y) - 1e-6) & (np.minimum(x - pa_[i], y - pb[j]) >= share * (x + y) - 1e-6)
+        # sizes sift first, then what is left of both from the shared word on
+        x, y = xa[i], xb[j]
+        good = np.flatnonzero(np.minimum(x, y) >= least * np.maximum(x, y) - 1e-6)
+        i, j, both = i[good], j[good], (x + y)[good]
+        good = np.minimum(la[i], lb[j]) >= share * both - 1e-6
+        a, b = ra[i[good]], rb[j[good]]
         if same:
-            good &= a < b
-        pairs = np.unique(a[good] * len(nb) + b[good])
+            a, b = a[a < b], b[a < b]
+        pairs = np.unique(a * len(nb) + b)
         for k in range(0, len(pairs), 1 << 15):
             a, b = pairs[k : k + (1 << 15)] // len(nb), pairs[k : k + (1 << 15)] % len(nb)
             differ = np.bitwise_count(ma[a] ^ mb[b]).sum(axis=1, dtype=np.int64)
@@ -118,7 +123,7 @@ def cell_pairs(left: tuple, right: tuple, least: float, same: bool) -> tuple[np.
 def near_sets(sets: DataFrame, least: float) -> DataFrame:
     """doc, a, b of pairs of different sets that may be near."""
     signed = stored(_signed(sets, least))
-    blocks = stored(signed.groupBy("doc").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
+    blocks = stored(signed.groupBy("doc").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.least(F.ceil(F.count("*") / 4096), F.lit(8))).cast("int").alias("blocks")))
     own = signed.join(blocks, "doc").withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("blocks", "other")
 
